@@ -9,6 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from marginalia.llm.tables import read
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.mixing import mix
+
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "shard")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.warc import roundtrip
+
+    return roundtrip(read(spark, sf_dir, "pages"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.packing import pack_documents
+
+    return pack_documents(read(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm.quality import quality
 
@@ -16,6 +34,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_source_mix": op3_source_mix,
+    "op4_warc": op4_warc,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
 }
 

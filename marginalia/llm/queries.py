@@ -21,6 +21,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(read(spark, sf_dir, "pages"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.pii import report
+
+    return report(read(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm.packing import pack_documents
 
@@ -36,6 +42,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op4_warc": op4_warc,
+    "op5_pii": op5_pii,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
 }

@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from marginalia.llm.tables import read
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.neardup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), words=2)
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm.mixing import mix
 
@@ -40,6 +46,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_source_mix": op3_source_mix,
     "op4_warc": op4_warc,
     "op5_pii": op5_pii,

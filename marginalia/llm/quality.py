@@ -125,3 +125,27 @@ def quality(docs: DataFrame, max_loss: int = 50, min_open_words: int = 8, with_t
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return take_columns(docs, "doc_id", "text").mapInArrow(judge, schema)
+
+
+def keep_good(docs: DataFrame, max_loss: int = 50, min_open_words: int = 8) -> DataFrame:
+    """The rows of docs that are kept, failing lines removed from text; n_chars, where there is one, follows. All columns stay.
+
+    Done in place, so repeated rows and null ids need no join.
+    """
+    schema = docs.schema
+    at = schema.fieldNames().index("text")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [clean(t, max_loss, min_open_words) for t in batch.column(at).to_pylist()]
+            stay = [i for i, (figures, _) in enumerate(rows) if figures[-1]]
+            texts = [rows[i][1] for i in stay]
+            out = batch.take(pa.array(stay, pa.int64()))
+            columns = list(out.columns)
+            columns[at] = pa.array(texts, pa.string())
+            if "n_chars" in out.schema.names:
+                k = out.schema.names.index("n_chars")
+                columns[k] = pa.array([len(t) for t in texts], pa.int64()).cast(out.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays(columns, names=out.schema.names)
+
+    return docs.mapInArrow(sift, schema)

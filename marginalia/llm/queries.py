@@ -15,6 +15,12 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), words=2)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.linededup import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm.mixing import mix
 
@@ -45,13 +51,21 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.licenses import scan
+
+    return scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_source_mix": op3_source_mix,
     "op4_warc": op4_warc,
     "op5_pii": op5_pii,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_license_scan": op9_license_scan,
 }
 
 ORACLE: dict[str, str] = {}

@@ -57,6 +57,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))
 
 
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.htmltext import extract
+
+    return extract(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_license_scan": op9_license_scan,
+    "op10_html_main_text": op10_html_main_text,
 }
 
 ORACLE: dict[str, str] = {}

@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from marginalia.llm.tables import take_columns, utf8, written
 CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a task remembers before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 
 Segment = tuple[int, int, int, int, int, int]
 
@@ -148,21 +149,56 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Segment]:
 
 
 class WordIds(dict):
-    """Word: the bytes of its ids. White space ends every token of this vocabulary, so a text's ids are its words' ids."""
+    """Word: the bytes of its ids. White space ends every token of this vocabulary, so a text's ids are its words' ids.
+
+    The vocabulary has small letters only, and a mark after a letter or digit is a token of its own: a word is first looked
+    for in small letters and without its last mark. What is left to encode is handed to the tokenizer a batch of texts at a time.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    @staticmethod
+    def shorter(word: bytes) -> tuple[bytes, bytes]:
+        """A simpler word and a mark whose ids together are the word's; (word, b"") if there is none."""
+        if word.isascii() and not word.islower() and b"<|" not in word:
+            word = word.lower()
+        if word[-1:] in b".,;:!?" and word[-2:-1].isalnum():
+            return word[:-1], word[-1:]
+        return word, b""
+
+    def learn(self, words: set[bytes]) -> None:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[word] = ids
+        new = {w: self.shorter(w) for w in words if w not in self}
+        bases = list({base for base, _ in new.values() if base not in self})
+        if bases:
+            texts = [w.decode() for w in bases]
+            got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            first = np.fromiter((x for x, _ in got.offsets), np.int64, len(got.ids))
+            starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+            ids, ends = np.array(got.ids, "<u4"), np.searchsorted(first, starts)
+            whole, at = ids.tobytes(), (4 * ends).tolist()
+            self.update(zip(bases, (whole[x:y] for x, y in zip(at, at[1:], strict=False)), strict=True))
+        for w, (base, mark) in new.items():
+            if mark:
+                self[w] = self[base] + self[mark]
+            elif w is not base:
+                self[w] = self[base]
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         return ids
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for each worker process, so that later tasks find what earlier ones have encoded."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32[, ids]): the token ids of each text and an end token, cut only where longer than capacity."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
@@ -170,12 +206,14 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        known = WordIds(tokenizer_path or public_tokenizers.path(TOKENIZER))
+        known = word_ids(tokenizer_path or public_tokenizers.path(TOKENIZER))
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = b"".join(map(known.__getitem__, utf8(text).split())) + end
+            words = [utf8(t).split() for t in batch.column(1).to_pylist()]
+            known.learn(set().union(*words))
+            for doc, own in zip(batch.column(0).to_pylist(), words, strict=True):
+                ids = b"".join(map(known.__getitem__, own)) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc, k, k * capacity, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<i4")] if with_ids else ())))

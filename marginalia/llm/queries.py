@@ -39,6 +39,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(read(spark, sf_dir, "documents"))
 
 
+def op6_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.ann import nearest
+
+    return nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm.packing import pack_documents
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op4_warc": op4_warc,
     "op5_pii": op5_pii,
+    "op6_projected_neighbours": op6_projected_neighbours,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_license_scan": op9_license_scan,

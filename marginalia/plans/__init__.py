@@ -1 +1 @@
-
+"""Named queries: each module registers its own with the SQL it must agree with."""

@@ -1 +1,3 @@
 """Named queries: each module registers its own with the SQL it must agree with."""
+
+from marginalia.plans import graphs, logs, ranking, relations, scalars, scans, search  # noqa: F401

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.paths import depth
@@ -11,7 +11,10 @@ from marginalia.operators import joins
 from marginalia.plans.registry import query
 from marginalia.sources.tables import START_MS, activity, load, messages, notes, with_views
 
-COUNT = F.count(F.lit(1))
+
+def rows() -> Column:
+    return F.count(F.lit(1))
+
 
 #: The price list: a fixed dimension of five models, dollars per million tokens in and out.
 PRICES = [("view", "acme", 0.5, 1.5, 8000), ("click", "acme", 1.0, 3.0, 16000), ("purchase", "bolt", 10.0, 30.0, 128000), ("signup", "bolt", 2.5, 10.0, 64000), ("error", "cosa", 0.0, 0.0, 4000)]
@@ -35,7 +38,7 @@ USAGE = f"SELECT a.*, type AS model, k * 100 AS tokens_in, CAST(floor(value) AS
 @query("hierarchy_nest", "SELECT c_custkey, count(DISTINCT o_orderkey) AS sessions, coalesce(string_agg(o_orderkey || '/' || n, ',' ORDER BY o_orderkey), '') AS tree FROM (SELECT c_custkey, o_orderkey, count(l_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE c_custkey < 300 GROUP BY 1, 2) GROUP BY 1")
 def hierarchy_nest(spark: SparkSession, sf: str) -> DataFrame:
     """Workspaces with their sessions and the number of traces in each; workspaces without sessions stay."""
-    lines = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(COUNT.alias("n"))
+    lines = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(rows().alias("n"))
     orders = load(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(lines, "o_orderkey", "left").na.fill(0, ["n"])
     tree = joins.nested(load(spark, sf, "customer").where("c_custkey < 300").select("c_custkey"), orders, "c_custkey", "o_orderkey", ["n"], "sessions")
     text = F.array_join(F.transform("sessions", lambda s: F.concat_ws("/", s["o_orderkey"].cast("string"), s["n"].cast("string"))), ",")
@@ -61,7 +64,7 @@ def bucket_range_join(spark: SparkSession, sf: str) -> DataFrame:
     """Events in each of seven overlapping six-day ranges."""
     ranges = spark.range(7).select(F.col("id").alias("bucket"), (F.lit(START_MS) + F.col("id") * 432_000_000).alias("lo"), (F.lit(START_MS) + F.col("id") * 432_000_000 + 518_400_000).alias("hi"))
     spans = activity(spark, sf).select("id", F.col("ms").alias("start"), F.col("ms").alias("end"))
-    return joins.overlapping(ranges, spans, 86_400_000).groupBy("bucket").agg(COUNT.alias("items"), F.min("id").alias("first_id"))
+    return joins.overlapping(ranges, spans, 86_400_000).groupBy("bucket").agg(rows().alias("items"), F.min("id").alias("first_id"))
 
 
 @query("link_resolve", with_views("SELECT DISTINCT s.path AS src, t.path AS dst FROM notes s JOIN notes t ON t.name = 'doc_' || (s.doc_id * 7 % 500) WHERE s.path <> t.path"))
@@ -97,7 +100,7 @@ def prior_results(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("count_all", "SELECT o_orderstatus, count(*) AS items, count(CASE WHEN o_totalprice > 250000 THEN 1 END) AS large FROM orders GROUP BY o_orderstatus")
 def count_all(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "orders").groupBy("o_orderstatus").agg(COUNT.alias("items"), F.count_if(F.col("o_totalprice") > 250_000).alias("large"))
+    return load(spark, sf, "orders").groupBy("o_orderstatus").agg(rows().alias("items"), F.count_if(F.col("o_totalprice") > 250_000).alias("large"))
 
 
 @query("db_stats", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in ("customer", "orders", "events", "documents", "conversations")) + " UNION ALL SELECT 'total', CAST((SELECT count(*) FROM customer) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM events) + (SELECT count(*) FROM documents) + (SELECT count(*) FROM conversations) AS BIGINT)")
@@ -116,7 +119,7 @@ def next_sequence(spark: SparkSession, sf: str) -> DataFrame:
 def conv_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Replayed messages count once."""
     own = messages(spark, sf)
-    return own.union(own.where("seq = 0")).groupBy("conv_id", "id").agg(F.max("ms").alias("ms")).groupBy("conv_id").agg(COUNT.alias("message_count"), F.max("ms").alias("updated"))
+    return own.union(own.where("seq = 0")).groupBy("conv_id", "id").agg(F.max("ms").alias("ms")).groupBy("conv_id").agg(rows().alias("message_count"), F.max("ms").alias("updated"))
 
 
 @query("group_by_key", with_views("SELECT CASE WHEN type = 'error' THEN 'none' ELSE type END AS kind, count(*) AS items, round(sum(value), 4) AS total_score, round(avg(value), 6) AS average_score FROM activity GROUP BY 1"))
@@ -133,38 +136,38 @@ def group_by_two(spark: SparkSession, sf: str) -> DataFrame:
 @query("group_stats", with_views("SELECT workspace, count(*) AS items, min(value) AS min_score, max(value) AS max_score, round(stddev_pop(value), 6) AS deviation, count(CASE WHEN type = 'click' THEN 1 END) AS clicks, count(CASE WHEN type = 'view' THEN 1 END) AS views, min(ms) AS oldest, max(ms) AS newest FROM activity GROUP BY workspace"))
 def group_stats(spark: SparkSession, sf: str) -> DataFrame:
     return activity(spark, sf).groupBy("workspace").agg(
-        COUNT.alias("items"), *agg.spread("value"), F.count_if(F.col("type") == "click").alias("clicks"), F.count_if(F.col("type") == "view").alias("views"), F.min("ms").alias("oldest"), F.max("ms").alias("newest")
+        rows().alias("items"), *agg.spread("value"), F.count_if(F.col("type") == "click").alias("clicks"), F.count_if(F.col("type") == "view").alias("views"), F.min("ms").alias("oldest"), F.max("ms").alias("newest")
     )
 
 
 @query("stats_of_groups", with_views("SELECT band, count(*) AS groups, max(items) AS largest, min(items) AS smallest, round(avg(items), 6) AS mean_size FROM (SELECT workspace, count(*) AS items, CASE WHEN s < 0.2 THEN 'very low' WHEN s < 0.4 THEN 'low' WHEN s < 0.6 THEN 'medium' WHEN s < 0.8 THEN 'high' WHEN s < 1.0 THEN 'very high' ELSE 'top' END AS band FROM (SELECT workspace, round(avg(value) OVER (PARTITION BY workspace) / 50, 6) AS s FROM activity) GROUP BY workspace, s) GROUP BY band"))
 def stats_of_groups(spark: SparkSession, sf: str) -> DataFrame:
-    groups = activity(spark, sf).groupBy("workspace").agg(COUNT.alias("items"), F.round(F.avg("value") / 50, 6).alias("s"))
-    return groups.groupBy(agg.band(F.col("s")).alias("band")).agg(COUNT.alias("groups"), F.max("items").alias("largest"), F.min("items").alias("smallest"), F.round(F.avg("items"), 6).alias("mean_size"))
+    groups = activity(spark, sf).groupBy("workspace").agg(rows().alias("items"), F.round(F.avg("value") / 50, 6).alias("s"))
+    return groups.groupBy(agg.band(F.col("s")).alias("band")).agg(rows().alias("groups"), F.max("items").alias("largest"), F.min("items").alias("smallest"), F.round(F.avg("items"), 6).alias("mean_size"))
 
 
 @query("result_summary", with_views("SELECT count(*) AS total, round(avg(value), 3) AS average_score, count(DISTINCT type) AS types, min(ms) AS oldest, max(ms) AS newest FROM activity WHERE success"))
 def result_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return activity(spark, sf).where("success").agg(COUNT.alias("total"), F.round(F.avg("value"), 3).alias("average_score"), F.countDistinct("type").alias("types"), F.min("ms").alias("oldest"), F.max("ms").alias("newest"))
+    return activity(spark, sf).where("success").agg(rows().alias("total"), F.round(F.avg("value"), 3).alias("average_score"), F.countDistinct("type").alias("types"), F.min("ms").alias("oldest"), F.max("ms").alias("newest"))
 
 
 @query("conv_stats", with_views("SELECT vault, count(*) AS conversations, CAST(sum(n) AS BIGINT) AS message_total, min(created) AS first_created, max(created) AS last_created FROM (SELECT CASE WHEN conv_id % 4 = 0 THEN 'Unknown' ELSE 'vault' || conv_id % 4 END AS vault, conv_id, count(*) AS n, min(ms) AS created FROM messages GROUP BY 1, 2) GROUP BY vault"))
 def conv_stats(spark: SparkSession, sf: str) -> DataFrame:
     vault = F.when(F.col("conv_id") % 4 != 0, F.concat(F.lit("vault"), (F.col("conv_id") % 4).cast("string")))
-    one = messages(spark, sf).groupBy("conv_id").agg(COUNT.alias("n"), F.min("ms").alias("created"))
-    return one.groupBy(F.coalesce(vault, F.lit("Unknown")).alias("vault")).agg(COUNT.alias("conversations"), F.sum("n").alias("message_total"), F.min("created").alias("first_created"), F.max("created").alias("last_created"))
+    one = messages(spark, sf).groupBy("conv_id").agg(rows().alias("n"), F.min("ms").alias("created"))
+    return one.groupBy(F.coalesce(vault, F.lit("Unknown")).alias("vault")).agg(rows().alias("conversations"), F.sum("n").alias("message_total"), F.min("created").alias("first_created"), F.max("created").alias("last_created"))
 
 
 @query("ws_counters", with_views("SELECT workspace, count(DISTINCT session) AS sessions, count(*) AS traces FROM activity GROUP BY workspace"))
 def ws_counters(spark: SparkSession, sf: str) -> DataFrame:
     """Counted by session first, so distinct sessions need no second shuffle of the traces."""
-    one = activity(spark, sf).groupBy("workspace", "session").agg(COUNT.alias("n"))
-    return one.groupBy("workspace").agg(COUNT.alias("sessions"), F.sum("n").alias("traces"))
+    one = activity(spark, sf).groupBy("workspace", "session").agg(rows().alias("n"))
+    return one.groupBy("workspace").agg(rows().alias("sessions"), F.sum("n").alias("traces"))
 
 
 @query("ext_histogram", with_views("SELECT extension, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM notes GROUP BY extension"))
 def ext_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return notes(spark, sf).groupBy("extension").agg(COUNT.alias("files"), F.sum("size").alias("bytes"))
+    return notes(spark, sf).groupBy("extension").agg(rows().alias("files"), F.sum("size").alias("bytes"))
 
 
 TAG_ROWS = "(SELECT id, type AS tag FROM activity UNION ALL SELECT id, 'user' || workspace % 40 FROM activity)"
@@ -177,25 +180,25 @@ def tag_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("popular_tags", with_views(f"SELECT tag, count(*) AS uses, least(1.0::DOUBLE, count(*) / 1000.0::DOUBLE) AS score FROM {TAG_ROWS} GROUP BY tag ORDER BY uses DESC, tag LIMIT 20"))
 def popular_tags(spark: SparkSession, sf: str) -> DataFrame:
-    counted = tag_rows(spark, sf).groupBy("tag").agg(COUNT.alias("uses"))
+    counted = tag_rows(spark, sf).groupBy("tag").agg(rows().alias("uses"))
     return counted.withColumn("score", F.least(F.lit(1.0), F.col("uses") / 1000.0)).orderBy(F.desc("uses"), "tag").limit(20)
 
 
 @query("tag_stats", with_views(f"SELECT count(DISTINCT tag) AS tags, count(*) AS uses, count(DISTINCT id) AS items FROM {TAG_ROWS}"))
 def tag_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return tag_rows(spark, sf).agg(F.countDistinct("tag").alias("tags"), COUNT.alias("uses"), F.countDistinct("id").alias("items"))
+    return tag_rows(spark, sf).agg(F.countDistinct("tag").alias("tags"), rows().alias("uses"), F.countDistinct("id").alias("items"))
 
 
 @query("tree_stats", with_views("SELECT count(*) AS files, count(DISTINCT folder) AS folders, count(CASE WHEN lang = 'en' THEN 1 END) AS related, max(len(string_split(path, '/'))) AS max_depth FROM notes"))
 def tree_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return notes(spark, sf).agg(COUNT.alias("files"), F.countDistinct("folder").alias("folders"), F.count_if(F.col("lang") == "en").alias("related"), F.max(depth(F.col("path"))).cast("long").alias("max_depth"))
+    return notes(spark, sf).agg(rows().alias("files"), F.countDistinct("folder").alias("folders"), F.count_if(F.col("lang") == "en").alias("related"), F.max(depth(F.col("path"))).cast("long").alias("max_depth"))
 
 
 @query("usage_rollup", with_views(f"SELECT coalesce(month, 'all') AS month, provider, count(*) AS requests, round(sum(cost), 8) AS cost FROM (SELECT *, strftime(make_timestamp(ms * 1000), '%Y-%m') AS month FROM ({USAGE})) GROUP BY GROUPING SETS ((month, provider), (provider))"))
 def usage_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """By month and provider, and by provider over all time, in one pass of grouping sets."""
     monthly = usage(spark, sf).withColumn("month", F.date_format(F.timestamp_millis("ms"), "yyyy-MM"))
-    rolled = monthly.groupingSets([["month", "provider"], ["provider"]], "month", "provider").agg(COUNT.alias("requests"), F.round(F.sum("cost"), 8).alias("cost"))
+    rolled = monthly.groupingSets([["month", "provider"], ["provider"]], "month", "provider").agg(rows().alias("requests"), F.round(F.sum("cost"), 8).alias("cost"))
     return rolled.select(F.coalesce("month", F.lit("all")).alias("month"), "provider", "requests", "cost")
 
 
@@ -209,7 +212,7 @@ def budget_status(spark: SparkSession, sf: str) -> DataFrame:
 @query("cost_by_model", with_views(f"SELECT provider || '/' || model AS model, count(*) AS requests, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, round(sum(cost), 8) AS cost, round(avg(cost), 8) AS average_cost FROM ({USAGE}) GROUP BY 1"))
 def cost_by_model(spark: SparkSession, sf: str) -> DataFrame:
     return usage(spark, sf).groupBy(F.concat_ws("/", "provider", "model").alias("model")).agg(
-        COUNT.alias("requests"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.round(F.sum("cost"), 8).alias("cost"), F.round(F.avg("cost"), 8).alias("average_cost")
+        rows().alias("requests"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.round(F.sum("cost"), 8).alias("cost"), F.round(F.avg("cost"), 8).alias("average_cost")
     )
 
 
@@ -231,15 +234,15 @@ def cost_once(spark: SparkSession, sf: str) -> DataFrame:
     """A message that was recorded twice costs once."""
     own = usage(spark, sf).select("id", "workspace", "cost")
     once = own.union(own.where("id % 3 = 0")).groupBy("workspace", "id").agg(F.max("cost").alias("cost"))
-    return once.groupBy("workspace").agg(F.round(F.sum("cost"), 8).alias("cost"), COUNT.alias("requests"))
+    return once.groupBy("workspace").agg(F.round(F.sum("cost"), 8).alias("cost"), rows().alias("requests"))
 
 
 @query("batch_stats", with_views("SELECT session, count(*) AS total, count(CASE WHEN success THEN 1 END) AS succeeded, count(CASE WHEN NOT success THEN 1 END) AS failed, round(sum(value), 4) AS total_time, round(avg(value), 6) AS average_time, round(100.0 * count(CASE WHEN success THEN 1 END) / count(*), 3) AS success_rate, CAST(sum(CASE WHEN success THEN k END) AS BIGINT) AS tokens, count(DISTINCT type) AS models FROM activity GROUP BY session"))
 def batch_stats(spark: SparkSession, sf: str) -> DataFrame:
     good = F.count_if("success")
     return activity(spark, sf).groupBy("session").agg(
-        COUNT.alias("total"), good.alias("succeeded"), F.count_if(~F.col("success")).alias("failed"), F.round(F.sum("value"), 4).alias("total_time"), F.round(F.avg("value"), 6).alias("average_time"),
-        F.round(100.0 * good / COUNT, 3).alias("success_rate"), F.sum(F.when(F.col("success"), F.col("k"))).alias("tokens"), F.size(F.collect_set("type")).cast("long").alias("models"),
+        rows().alias("total"), good.alias("succeeded"), F.count_if(~F.col("success")).alias("failed"), F.round(F.sum("value"), 4).alias("total_time"), F.round(F.avg("value"), 6).alias("average_time"),
+        F.round(100.0 * good / rows(), 3).alias("success_rate"), F.sum(F.when(F.col("success"), F.col("k"))).alias("tokens"), F.size(F.collect_set("type")).cast("long").alias("models"),
     )
 
 
@@ -251,13 +254,13 @@ def ordered_concat(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("catalogue_stats", "SELECT p_brand, count(*) AS models, round(avg(p_size), 6) AS average_context, max(p_size) AS largest_context, min(p_retailprice) AS cheapest, max(p_retailprice) AS dearest FROM part GROUP BY p_brand")
 def catalogue_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "part").groupBy("p_brand").agg(COUNT.alias("models"), F.round(F.avg("p_size"), 6).alias("average_context"), F.max("p_size").alias("largest_context"), F.min("p_retailprice").alias("cheapest"), F.max("p_retailprice").alias("dearest"))
+    return load(spark, sf, "part").groupBy("p_brand").agg(rows().alias("models"), F.round(F.avg("p_size"), 6).alias("average_context"), F.max("p_size").alias("largest_context"), F.min("p_retailprice").alias("cheapest"), F.max("p_retailprice").alias("dearest"))
 
 
 @query("payload_ratio", with_views("SELECT lang, count(*) AS results, round(avg(length(content)), 4) AS average_length, round(150.0 * count(*) / sum(length(content)), 8) AS ratio FROM notes GROUP BY lang"))
 def payload_ratio(spark: SparkSession, sf: str) -> DataFrame:
     n = F.length("content")
-    return notes(spark, sf).groupBy("lang").agg(COUNT.alias("results"), F.round(F.avg(n), 4).alias("average_length"), F.round(F.lit(150.0) * COUNT / F.sum(n), 8).alias("ratio"))
+    return notes(spark, sf).groupBy("lang").agg(rows().alias("results"), F.round(F.avg(n), 4).alias("average_length"), F.round(F.lit(150.0) * rows() / F.sum(n), 8).alias("ratio"))
 
 
 @query("related_files", with_views("SELECT session, array_to_string(list_sort(list_distinct(flatten(list([type, 'user' || workspace])))), ',') AS files FROM activity GROUP BY session"))

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 SCHEMA = "id string, type string, deviceId string, timestamp long, workspaceId string, sessionId string, conversationId string, data string"
 
 
+#: Logs that others append to, and those that append_log adds.
+GLOB = "*.{jsonl,json}"
+
+
 def parse_lines(lines: DataFrame, schema: str = SCHEMA) -> DataFrame:
     """Lines (value) to events; blank and malformed lines, and lines without an id, are skipped."""
     event = F.from_json(F.trim("value"), f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
@@ -16,21 +20,21 @@ def parse_lines(lines: DataFrame, schema: str = SCHEMA) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Every event of the .jsonl files below path, with the file it came from. A missing folder is an error of Spark's, an empty one has no events."""
-    lines = spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").text(path)
+    """Every event of the JSON lines files below path, with the file it came from. A missing folder is an error of Spark's, an empty one has no events."""
+    lines = spark.read.option("pathGlobFilter", GLOB).option("recursiveFileLookup", "true").text(path)
     return parse_lines(lines)
 
 
 def file_stats(spark: SparkSession, path: str) -> DataFrame:
     """One row per log file: name, bytes, time of change and number of events."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(path).select("path", "length", "modificationTime")
-    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(path).select("value", F.col("_metadata.file_path").alias("path")).where(F.trim("value") != "")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", GLOB).load(path).select("path", "length", "modificationTime")
+    lines = spark.read.option("pathGlobFilter", GLOB).text(path).select("value", F.col("_metadata.file_path").alias("path")).where(F.trim("value") != "")
     return files.join(lines.groupBy("path").agg(F.count(F.lit(1)).alias("events")), "path", "left").na.fill(0, ["events"])
 
 
 def append_log(events: DataFrame, path: str) -> None:
     """Adds events as JSON lines; files are added, none is rewritten."""
-    events.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").option("fileExtension", ".jsonl").text(path)
+    events.write.mode("append").json(path)
 
 
 def since(events: DataFrame, ms: int) -> DataFrame:

@@ -102,7 +102,7 @@ def mix(docs: DataFrame, block_words: int = 16, max_repeats: int = 3, shard_docs
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed rows: each document as often as the mix takes it whole, and once more with the words taken in part.
+    """The mixed rows: each document as often as the mix takes it whole, and once more with the words taken in part, two runs of them parted by a line end.
 
     Columns are those of docs; n_chars, where there is one, follows the text. doc_id must name a document.
     """
@@ -115,7 +115,7 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     rows = rows.withColumn("_cut", F.explode(pieces))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     run = lambda a, b: F.array_join(F.slice(words, F.col(a).cast("int") + 1, (F.col(b) - F.col(a)).cast("int")), "")
-    text = F.when(F.col("_cut") == 0, F.col("text")).otherwise(F.concat(run("_part_from", "_part_to"), run("_part2_from", "_part2_to")))
+    text = F.when(F.col("_cut") == 0, F.col("text")).otherwise(F.concat_ws("\n", F.nullif(run("_part_from", "_part_to"), F.lit("")), F.nullif(run("_part2_from", "_part2_to"), F.lit(""))))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))

@@ -82,11 +82,11 @@ def remove_repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 8)
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 n = 0
                 if spans and text:
-                    parts, at = [], 0
+                    parts, at, last = [], 0, ""
                     for s in spans:
                         parts.append(text[at : s["start"]])
-                        at = s["end"]
-                        if parts[-1] and parts[-1][-1].isspace() and text[at : at + 1].isspace():
+                        at, last = s["end"], parts[-1][-1:] or last
+                        if (not last or last.isspace()) and text[at : at + 1].isspace():
                             at += 1  # one of the two separators goes with the unit
                         n += s["end"] - s["start"]
                     text = "".join([*parts, text[at:]])

@@ -28,7 +28,12 @@ from marginalia.llm.tables import take_columns, utf8, written
 CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a task remembers before it starts anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
+#: Words that are encoded at a time: the tokenizer's own notes take about a kilobyte a word while it runs.
+LEARN_WORDS = 5_000
+
+#: ASCII marks; not the apostrophe, which can stand within a word.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 Segment = tuple[int, int, int, int, int, int]
 
@@ -151,8 +156,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Segment]:
 class WordIds(dict):
     """Word: the bytes of its ids. White space ends every token of this vocabulary, so a text's ids are its words' ids.
 
-    The vocabulary has small letters only, and a mark after a letter or digit is a token of its own: a word is first looked
-    for in small letters and without its last mark. What is left to encode is handed to the tokenizer a batch of texts at a time.
+    The vocabulary has small letters only, and marks after a letter or digit are tokens of their own: a word is first looked
+    for in small letters and without its last marks. What is left to encode is handed to the tokenizer a batch of texts at a time.
     """
 
     def __init__(self, path: str) -> None:
@@ -162,30 +167,34 @@ class WordIds(dict):
 
     @staticmethod
     def shorter(word: bytes) -> tuple[bytes, bytes]:
-        """A simpler word and a mark whose ids together are the word's; (word, b"") if there is none."""
-        if word.isascii() and not word.islower() and b"<|" not in word:
-            word = word.lower()
-        if word[-1:] in b".,;:!?" and word[-2:-1].isalnum():
-            return word[:-1], word[-1:]
-        return word, b""
+        """A simpler word and marks whose ids together are the word's; (word, b"") if there is none."""
+        text = word.decode()
+        if "<|" in text or "|>" in text:
+            return word, b""
+        if not text.islower() and max(text) < "\u0100":
+            text = text.lower()
+        if text[-1] in MARKS and (bare := text.rstrip(MARKS)) and bare[-1].isalnum():
+            return bare.encode(), text[len(bare) :].encode()
+        return text.encode(), b""
 
     def learn(self, words: set[bytes]) -> None:
         if len(self) >= CACHE_WORDS:
             self.clear()
         new = {w: self.shorter(w) for w in words if w not in self}
-        bases = list({base for base, _ in new.values() if base not in self})
-        if bases:
-            texts = [w.decode() for w in bases]
+        bases = list({x for both in new.values() for x in both if x and x not in self})
+        for k in range(0, len(bases), LEARN_WORDS):
+            part = bases[k : k + LEARN_WORDS]
+            texts = [w.decode() for w in part]
             got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             first = np.fromiter((x for x, _ in got.offsets), np.int64, len(got.ids))
             starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
             ids, ends = np.array(got.ids, "<u4"), np.searchsorted(first, starts)
             whole, at = ids.tobytes(), (4 * ends).tolist()
-            self.update(zip(bases, (whole[x:y] for x, y in zip(at, at[1:], strict=False)), strict=True))
+            self.update(zip(part, (whole[x:y] for x, y in zip(at, at[1:], strict=False)), strict=True))
         for w, (base, mark) in new.items():
             if mark:
                 self[w] = self[base] + self[mark]
-            elif w is not base:
+            elif w != base:
                 self[w] = self[base]
 
     def __missing__(self, word: bytes) -> bytes:

@@ -10,9 +10,9 @@ fewer words is one shingle, a text without words has an empty set and links with
 4. Signatures are compared ``STEP`` values at a time; a pair is dropped as soon as the posterior chance (uniform prior) that
    its similarity reaches the threshold falls below ``MISS``. Survivors are verified on their full sets.
 5. Links give components. In buckets whose members aren't all in one component yet, the other pairs across components are
-   tried too: by a join where the bucket has at most ``SMALL`` members, else block against block inside tasks, which first
-   return one pair for each two components that could merge, and once those are verified whatever pairs still remain.
-   Within a component no further pair can matter, so a large group of copies never is expanded into pairs.
+   tried too: by a join where the bucket has at most ``SMALL`` members, else block against block inside tasks, where signatures pick
+   the members that could link, and these are verified on full sets; only links that join two components come out. Within a component no further pair can matter, so a large
+   group of copies never is expanded into pairs, nor is a large group of texts that are almost similar enough.
 
 Rows with equal doc_id are one document with several sets. A null doc_id links with nothing. An empty table gives none.
 """
@@ -34,11 +34,11 @@ from marginalia.llm.tables import take_columns, utf8, written
 BANDS, ROWS = 36, 5
 HASHES = BANDS * ROWS
 STEP, MISS = 20, 1e-6
-SMALL, BLOCK = 24, 1000
+SMALL, BLOCK, BLOCK_SHINGLES = 24, 1000, 500_000
 #: So many ids at most are broadcast to pick texts; beyond it they are picked by a shuffled join.
 BROADCAST_IDS = 1_000_000
 #: Words whose hashes a task remembers before it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 _rng = np.random.default_rng(20)
 _MUL = (_rng.integers(1, 2**31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -92,8 +92,8 @@ def least_matches(percent: int = 80, miss: float = MISS) -> list[tuple[int, int]
     return [(n, next(m for m in range(n + 1) if chance(n, m) >= miss)) for n in range(STEP, HASHES + 1, STEP)]
 
 
-def likely(a: np.ndarray, b: np.ndarray, needed: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of two signature arrays that survive all steps, and their matches."""
+def likely(a: np.ndarray, b: np.ndarray, needed: list[tuple[int, int]]) -> np.ndarray:
+    """Rows of two signature arrays that survive all steps."""
     alive = np.arange(len(a))
     matches = np.zeros(len(a), np.int32)
     at = 0
@@ -101,7 +101,7 @@ def likely(a: np.ndarray, b: np.ndarray, needed: list[tuple[int, int]]) -> tuple
         matches[alive] += (a[alive, at:n] == b[alive, at:n]).sum(axis=1, dtype=np.int32)
         alive = alive[matches[alive] >= least]
         at = n
-    return alive, matches[alive]
+    return alive
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -142,41 +142,47 @@ def _surviving(pairs: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, HASHES) for c in (2, 3))
-            stay = pa.array(likely(a, b, needed)[0])
+            stay = pa.array(likely(a, b, needed))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(stay), batch.column(1).take(stay)], names=["a", "b"])
 
     return pairs.mapInArrow(prune, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough; pairs is read several times."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
+def _sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(id, members) of the documents with these doc_ids: their full sets, sorted."""
+    ids = written(ids.distinct(), "set-ids")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            sets = [shingles(t, words, known).view(np.int64) for t in batch.column(1).to_pylist()]
+            sets = [np.sort(shingles(t, words, known).view(np.int64)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "members"])
 
-    sets = written(take_columns(docs, "doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(members, "id long, members array<long>"), "pair-sets")
+    return written(take_columns(docs, "doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(members, "id long, members array<long>"), "sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are similar enough; pairs is read several times."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, words)
     left, right = (sets.withColumnsRenamed({"id": c, "members": f"set_{c}"}) for c in ("a", "b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     near = 100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)
     return written(pairs.join(left, "a").join(right, "b").where(near).select("a", "b").distinct(), "pair-links")
 
 
-def _across_blocks(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
-    """Pairs across components within buckets of more than SMALL members, pruned inside tasks.
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of buckets of more than SMALL members, dealt to pairs of blocks (key, kind, i, j), with the side they stand on.
 
-    rows: key, rep, comp, n_shingles, sig, main (the component of the bucket's smallest member), n_main, n_rest. Members
-    of the main component meet all others block by block, the others each other; two main members never meet. Without
-    all_pairs a task returns, of the pairs it finds likely, only a forest of the most alike over components.
+    rows: key, band, rep, comp, n_shingles, sig, main (the component of the bucket's smallest member). Members of the main
+    component meet all others block by block, the others each other; two main members never meet. A block holds
+    about BLOCK members and BLOCK_SHINGLES shingles at most.
     """
-    needed = least_matches(percent)
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK)
-    rows = rows.withColumns({"in_main": F.col("comp") == F.col("main"), "mains": blocks("n_main"), "rests": blocks("n_rest")})
+    in_main = F.col("comp") == F.col("main")
+    counted = lambda c: F.ceil(F.greatest(F.count_if(c) / BLOCK, F.sum(F.when(c, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES))
+    blocks = rows.groupBy("key").agg(counted(in_main).alias("mains"), counted(~in_main).alias("rests"))
+    rows = rows.join(blocks, "key").withColumn("in_main", in_main)
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("rests"))))
     upto = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), f)
     spot = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
@@ -185,40 +191,85 @@ def _across_blocks(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
     facing_main = upto("mains", lambda x: spot(0, x, own, F.lit(1)))
     facing_own = upto("rests", lambda x: spot(1, F.least(own, x), F.greatest(own, x), F.when(own == x, 2).when(own < x, 0).otherwise(1)))
     rows = rows.withColumn("at", F.explode(F.when(F.col("in_main"), facing_rest).otherwise(F.concat(facing_main, facing_own))))
+    return rows.select("key", "at.kind", "at.i", "at.j", "at.side", "band", "rep", "comp", "n_shingles", "sig")
+
 
-    def meet(group: pa.Table) -> pa.Table:
-        rep, comp, size, side = (group.column(c).to_numpy() for c in ("rep", "comp", "n_shingles", "side"))
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
-        alone = bool((side == 2).all())
-        first, second = (np.arange(len(rep)),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for at, i in enumerate(first):
-            others = second[at + 1 :] if alone else second
-            others = others[(comp[others] != comp[i]) & (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i]))]
-            if len(others):
-                stay, matches = likely(np.broadcast_to(sig[i], (len(others), HASHES)), sig[others], needed)
-                found.append((np.full(len(stay), i), others[stay], matches))
-        a, b, m = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(3))
-        if not all_pairs and len(a):
-            parent: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while parent.get(x, x) != x:
-                    parent[x] = parent.get(parent[x], parent[x])
-                    x = parent[x]
-                return x
-
-            keep = []
-            for k in np.argsort(-m, kind="stable"):
-                x, y = root(int(comp[a[k]])), root(int(comp[b[k]]))
-                if x != y:
-                    parent[x] = y
-                    keep.append(k)
-            a, b = a[keep], b[keep]
-        return pa.table({"a": pa.array(np.minimum(rep[a], rep[b]), pa.int64()), "b": pa.array(np.maximum(rep[a], rep[b]), pa.int64())})
-
-    rows = rows.select("key", "at.kind", "at.i", "at.j", "at.side", "rep", "comp", "n_shingles", "sig")
-    return rows.groupBy("key", "kind", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+class Roots(dict):
+    """Union-find over components."""
+
+    def of(self, x: int) -> int:
+        while self.get(x, x) != x:
+            self[x] = self.get(self[x], self[x])
+            x = self[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.of(x), self.of(y)
+        if x != y:
+            self[x] = y
+        return x != y
+
+
+def _facing(group: pa.Table, percent: int, needed: list[tuple[int, int]], roots: Roots) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows it likely is similar to) within a pair of blocks, across components as roots has them by then.
+
+    A pair that shares several buckets is looked at in the first of its bands alone.
+    """
+    comp, size, side = (group.column(c).to_numpy() for c in ("comp", "n_shingles", "side"))
+    band = group.column("band")[0].as_py()
+    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
+    alone = bool((side == 2).all())
+    first, second = (np.arange(len(comp)),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    for at, i in enumerate(first):
+        others = second[at + 1 :] if alone else second
+        others = others[(comp[others] != comp[i]) & (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i]))]
+        if roots and len(others):
+            own = roots.of(int(comp[i]))
+            others = others[[roots.of(int(c)) != own for c in comp[others]]]
+        if not len(others):
+            continue
+        others = others[likely(np.broadcast_to(sig[i], (len(others), HASHES)), sig[others], needed)]
+        new = (sig[others] == sig[i]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        if new.any():
+            yield i, others[new]
+
+
+def _settled(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links across components that two blocks hold, verified on full sets inside the task; pairs aren't handed on.
+
+    Sets are fetched for members of likely pairs alone. A task returns a link only where it joins two components.
+    """
+    needed = least_matches(percent)
+    columns = "key long, kind int, i long, j long, side int, band int, rep long, comp long, n_shingles long, sig binary"
+
+    def involved(group: pa.Table) -> pa.Table:
+        stay = np.zeros(group.num_rows, bool)
+        for i, others in _facing(group, percent, needed, Roots()):
+            stay[i] = True
+            stay[others] = True
+        return group.filter(pa.array(stay))
+
+    blocks = ["key", "kind", "i", "j"]
+    open_rows = written(rows.groupBy(*blocks).applyInArrow(involved, columns), "open")
+    sets = _sets(open_rows.select(F.col("rep").alias("doc_id")), docs, words).withColumnRenamed("id", "rep")
+
+    def verify(group: pa.Table) -> pa.Table:
+        rep, comp = group.column("rep").to_numpy(), group.column("comp").to_numpy()
+        lists = group.column("members").combine_chunks()
+        size = lists.value_lengths().to_numpy()
+        members, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(size)])
+        roots, links = Roots(), []
+        for i, others in _facing(group, percent, needed, roots):
+            own = members[ends[i] : ends[i + 1]]
+            rows_of = np.repeat(np.arange(len(others)), size[others])
+            theirs = members[np.concatenate([np.arange(ends[o], ends[o + 1]) for o in others])]
+            both = np.bincount(rows_of[own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs], minlength=len(others))
+            for o in others[100 * both >= percent * (size[i] + size[others] - both)]:
+                if roots.join(int(comp[i]), int(comp[o])):
+                    links.append((min(rep[i], rep[o]), max(rep[i], rep[o])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return written(open_rows.join(sets, "rep").select(*(c.split()[0] for c in columns.split(", ")), "members").groupBy(*blocks).applyInArrow(verify, "a long, b long").distinct(), "settled")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -229,9 +280,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     reps = written(reps, "classes")
     sigs = reps.select("rep", "n_shingles", "sig")
-    buckets = reps.select(F.explode("bands").alias("key"), "rep")
+    buckets = reps.select(F.posexplode("bands").alias("band", "key"), "rep")
     shared = buckets.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(buckets.join(shared, "key").select("key", "rep", "leader", "n"), "buckets")
+    shared = written(buckets.join(shared, "key").select("key", "band", "rep", "leader", "n"), "buckets")
 
     def tried(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of classes, pruned by size and signature."""
@@ -244,29 +295,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = _verified(written(tried(stars), "survivors"), docs, words, percent)
     labels = components(links)
 
-    def mixed() -> DataFrame:
-        """Members of buckets of three or more with more than one component."""
-        comp = shared.where("n > 2").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "leader", "n", F.coalesce("root", "rep").alias("comp"))
-        spread = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("rep") == F.col("leader"), F.col("comp"))).alias("main")).where("lo <> hi")
-        return written(comp.join(spread.select("key", "main"), "key"), "mixed")
-
-    for all_pairs in (False, True):
-        rows = mixed()
-        if not all_pairs:
-            small = rows.where(F.col("n") <= SMALL).where("rep <> leader").select("key", "rep", "comp")
-            other = small.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = small.withColumnRenamed("rep", "a").join(other, "key").where("a < b and comp <> comp_b").select("a", "b").distinct()
-            found = tried(pairs)
-        large = rows.where(F.col("n") > SMALL)
-        counts = large.groupBy("key").agg(F.count_if(F.col("comp") == F.col("main")).alias("n_main"), F.count_if(F.col("comp") != F.col("main")).alias("n_rest"))
-        across = _across_blocks(large.join(counts, "key").join(sigs, "rep"), percent, all_pairs)
-        survivors = written(across if all_pairs else found.union(across).distinct(), "survivors")
-        if survivors.isEmpty():
-            break
-        before = links.count()
-        links = written(links.union(_verified(survivors, docs, words, percent)).distinct(), "all-links")
-        if links.count() > before:
-            labels = components(links)
+    # Members of buckets of three or more with more than one component.
+    comp = shared.where("n > 2").join(labels, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", "leader", "n", F.coalesce("root", "rep").alias("comp"))
+    spread = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("rep") == F.col("leader"), F.col("comp"))).alias("main")).where("lo <> hi")
+    rows = written(comp.join(spread.select("key", "main"), "key"), "mixed")
+    small = rows.where((F.col("n") <= SMALL) & (F.col("rep") != F.col("leader"))).select("key", "rep", "comp")
+    other = small.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
+    pairs = small.withColumnRenamed("rep", "a").join(other, "key").where("a < b and comp <> comp_b").select("a", "b").distinct()
+    more = _verified(written(tried(pairs), "survivors"), docs, words, percent)
+    large = _dealt(rows.where(F.col("n") > SMALL).drop("n", "leader").join(sigs, "rep"))
+    more = written(more.union(_settled(large, docs, words, percent)), "more-links")
+    if not more.isEmpty():
+        links = written(links.union(more).distinct(), "all-links")
+        labels = components(links)
 
     ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     classes = reps.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left").join(ends, "rep", "left")

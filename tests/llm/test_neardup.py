@@ -38,8 +38,8 @@ def test_same_classes_as_all_pairs(spark, corpus, monkeypatch, words, small, blo
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
-def test_pairs_left_after_the_first_round_are_settled_in_tasks(spark, monkeypatch):
-    """A chain of families whose members are only just similar: stars and forests alone don't join them."""
+def test_large_buckets_are_settled_in_tasks(spark, monkeypatch):
+    """A chain of families whose members are only just similar: stars alone don't join them."""
     rng = random.Random(8)
     base = [f"w{i}" for i in range(100)]
     texts = {}
@@ -77,8 +77,8 @@ def test_pruning_keeps_what_is_similar():
     a = rng.integers(0, 60000, (4000, neardup.HASHES), dtype=np.uint16)
     near = np.where(rng.random(a.shape) < 0.8, a, a + 1)
     far = np.where(rng.random(a.shape) < 0.3, a, a + 1)
-    assert len(neardup.likely(a, near, needed)[0]) > 3996
-    assert len(neardup.likely(a, far, needed)[0]) == 0
+    assert len(neardup.likely(a, near, needed)) > 3996
+    assert len(neardup.likely(a, far, needed)) == 0
 
 
 def test_components_of_chains_and_stars(spark):

@@ -44,8 +44,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces and their places in sequences."""
-    return pack_documents(docs)
+    """The token pieces and their places in sequences. Executors have grown by then, so workers remember fewer words."""
+    return pack_documents(docs, cache_words=100_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -160,10 +160,10 @@ class WordIds(dict):
     for in small letters and without its last marks. What is left to encode is handed to the tokenizer a batch of texts at a time.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
 
     @staticmethod
     def shorter(word: bytes) -> tuple[bytes, bytes]:
@@ -178,7 +178,7 @@ class WordIds(dict):
         return text.encode(), b""
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.most:
             self.clear()
         new = {w: self.shorter(w) for w in words if w not in self}
         bases = list({x for both in new.values() for x in both if x and x not in self})
@@ -203,19 +203,19 @@ class WordIds(dict):
 
 
 @lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, most: int = CACHE_WORDS) -> WordIds:
     """One for each worker process, so that later tasks find what earlier ones have encoded."""
-    return WordIds(path)
+    return WordIds(path, most)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32[, ids]): the token ids of each text and an end token, cut only where longer than capacity."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        known = word_ids(tokenizer_path or public_tokenizers.path(TOKENIZER))
+        known = word_ids(tokenizer_path or public_tokenizers.path(TOKENIZER), cache_words)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
@@ -252,5 +252,6 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, shard_rows: int = 20_000) -
     return found.select(*parts.columns, "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    return pack(written(pieces(docs, tokenizer_path, capacity), "pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """cache_words: what a worker remembers, some 200 bytes each; it trades memory for time and changes no result."""
+    return pack(written(pieces(docs, tokenizer_path, capacity, cache_words=cache_words), "pieces"), capacity)

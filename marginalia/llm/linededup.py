@@ -3,8 +3,9 @@ r"""Substring deduplication by hashed units: a unit that stood earlier, in any d
 Units are ``paragraph`` (blank lines between), ``line``, or ``sentence``: lines cut further where ``.``, ``!`` or ``?`` is followed by
 white space, which also finds a passage that was set into the middle of a line. A unit is normalised (lower case, one
 space for any white space, no punctuation at its ends) and hashed to 128 bits. A unit of fewer than ``min_words`` words is
-hashed together with the unit before it, and counts only if the two have ``min_words`` words; so short phrases that anyone
-writes stay, but go with a passage that repeats.
+hashed as a chain, together with as many units before it as it takes to have ``min_words`` words; so short phrases that anyone
+writes stay, but go with a passage that repeats, however short its units are. The span of a chain begins at its first unit, so
+the first units of a passage go too, and spans of neighbouring chains overlap: what is removed is their union.
 
 Of equal digests the one of smallest (doc_id, start) stays, everywhere else its unit is removed. Digests are counted with a
 partial sum before the shuffle, and only those seen twice meet the units again in a join that Spark can split, so a line
@@ -17,7 +18,8 @@ equal units at equal places aren't copies of each other. An empty table gives no
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -35,18 +37,32 @@ EDGES = " \t\r\x0b\x0c.,;:!?\"'()[]{}«»“”…-*#|"
 
 
 def units(text: str | None, unit: str, min_words: int) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of each unit that can be a copy; white space at its ends isn't part of it."""
+    """(start, end, digest) of each unit or chain that can be a copy, by end; white space at its ends isn't part of it."""
     out = []
-    before: list[str] = []
+    chain: deque[tuple[int, list[str]]] = deque()  # the last units, as few as have min_words words
+    held = 0
     for m in UNITS[unit].finditer(text or ""):
         words = m[0].lower().strip(EDGES).split()
         if not words:
             continue
-        hashed = words if len(words) >= min_words else [*before, "\n", *words]
-        if len(hashed) - (hashed is not words) >= min_words:
-            lead = len(m[0]) - len(m[0].lstrip())
-            out.append((m.start() + lead, m.start() + len(m[0].rstrip()), xxhash.xxh3_128_digest(" ".join(hashed))))
-        before = words
+        start, end = m.end() - len(m[0].lstrip()), m.start() + len(m[0].rstrip())
+        chain.append((start, words))
+        held += len(words)
+        while held - len(chain[0][1]) >= min_words:
+            held -= len(chain.popleft()[1])
+        if held >= min_words:
+            out.append((chain[0][0], end, xxhash.xxh3_128_digest(" \n ".join(" ".join(w) for _, w in chain))))
+    return out
+
+
+def union(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with those that overlap made one."""
+    out: list[tuple[int, int]] = []
+    for start, end in spans:
+        if out and start < out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
     return out
 
 
@@ -71,7 +87,7 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = 8)
 
 
 def remove_repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 8) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, text without the removed units, n_removed, chars_removed, removed (their spans in the original)."""
+    """One row per row of docs (doc_id, text): doc_id, text without the removed units, n_removed, removed (their spans in the original, chains overlapping), chars_removed (of the union)."""
     spans = repeated_units(docs, unit, min_words).select(F.col("doc_id").alias("_id"), "spans")
     own = take_columns(docs, "doc_id", "text")
     joined = own.join(spans, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "spans")
@@ -83,12 +99,12 @@ def remove_repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 8)
                 n = 0
                 if spans and text:
                     parts, at, last = [], 0, ""
-                    for s in spans:
-                        parts.append(text[at : s["start"]])
-                        at, last = s["end"], parts[-1][-1:] or last
+                    for start, end in union((s["start"], s["end"]) for s in spans):
+                        parts.append(text[at:start])
+                        at, last = end, parts[-1][-1:] or last
                         if (not last or last.isspace()) and text[at : at + 1].isspace():
                             at += 1  # one of the two separators goes with the unit
-                        n += s["end"] - s["start"]
+                        n += end - start
                     text = "".join([*parts, text[at:]])
                 texts.append(text), gone.append(n)
             spans = batch.column(2)

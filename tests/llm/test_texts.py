@@ -133,3 +133,32 @@ def test_repeats_of_a_whole_table_as_brute_force_has_them(spark, sf):
         seen |= {d for _, _, d in own}
     got = by_id(linededup.remove_repeats(docs))
     assert {i: [tuple(s) for s in r["removed"]] for i, r in got.items()} == want
+
+
+def words_in_earlier_runs(texts, n=50):
+    """doc: (start, end) of every word that stands in a run of n words which an earlier document has, by brute force."""
+    seen, out = set(), {}
+    for doc in sorted(texts):
+        words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"\S+", texts[doc])]
+        runs = [tuple(w for _, _, w in words[i : i + n]) for i in range(len(words) - n + 1)]
+        out[doc] = {words[i + k][:2] for i, run in enumerate(runs) if run in seen for k in range(n)}
+        seen |= set(runs)
+    return out
+
+
+def test_runs_of_short_units_go_whole(spark):
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("abdegiklmnorstu") for _ in range(6))
+    shouts = " ".join(f"{name()}!!" for _ in range(60))
+    verse = "\n".join(f"{name()} {name()} {name()}" for _ in range(25))
+    talk = "\n".join(f"{name()}? {name()} {name()}. {name()} {name()} {name()} {name()}!" for _ in range(12))
+    own = lambda: " ".join(name() for _ in range(20)).capitalize() + "."
+    texts = {1: f"{own()} {shouts}\n{own()}", 2: f"{own()}\n{verse}\n{own()}", 3: f"{own()}\n{talk}", 4: f"{own()} {shouts} {own()}", 5: f"{own()}\n{verse}\n{own()}", 6: f"{own()}\n{talk}\n{own()}", 7: f"{own()}\n{shouts.split()[0]} {own()}"}
+    want = words_in_earlier_runs(texts)
+    assert {i: len(w) for i, w in want.items()} == {1: 0, 2: 0, 3: 0, 4: 60, 5: 75, 6: 84, 7: 0}
+    got = by_id(linededup.remove_repeats(documents(spark, texts)))
+    for i, text in texts.items():
+        gone = {m.span() for m in re.finditer(r"\S+", text) if any(s["start"] <= m.start() and m.end() <= s["end"] for s in got[i]["removed"])}
+        assert gone == want[i]
+        assert len(got[i]["text"].split()) == len(text.split()) - len(gone)
+        assert got[i]["chars_removed"] == len(text) - len(got[i]["text"]) - (1 if gone else 0)

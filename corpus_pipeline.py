@@ -44,7 +44,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces and their places in sequences. Executors have grown by then, so workers remember fewer words."""
+    """The token pieces with their ids and places in sequences. Executors have grown by then, so workers remember fewer words."""
     return pack_documents(docs, cache_words=100_000)
 
 

@@ -8,7 +8,7 @@ can be broadcast. Each piece finds its place from its rank among the pieces of i
 hashed shards, so a frequent length is spread too.
 
 Null text counts as empty; an empty text is its end token alone. Repeated rows are packed as rows of their own.
-An empty table gives an empty result.
+An empty table gives an empty result. The ids travel with their places, so the sequences can be read off the result.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ TOKENIZER = "word_bpe_49k.json"
 CACHE_WORDS = 500_000
 #: Words that are encoded at a time: the tokenizer's own notes take about a kilobyte a word while it runs.
 LEARN_WORDS = 5_000
+#: Bytes of ids that a task hands on at a time.
+BATCH_BYTES = 1 << 20
 
 #: ASCII marks; not the apostrophe, which can stand within a word.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -217,8 +219,16 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
 
         known = word_ids(tokenizer_path or public_tokenizers.path(TOKENIZER), cache_words)
         end = np.array([END_ID], "<u4").tobytes()
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+        names = [c.split()[0] for c in schema.split(", ")]
+
+        def table(out: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=False)], names=names)
+
         for batch in batches:
             out: list[tuple] = []
+            held = 0
             words = [utf8(t).split() for t in batch.column(1).to_pylist()]
             known.learn(set().union(*words))
             for doc, own in zip(batch.column(0).to_pylist(), words, strict=True):
@@ -226,9 +236,11 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc, k, k * capacity, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<i4")] if with_ids else ())))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            columns = list(zip(*out, strict=True)) or [()] * (5 + with_ids)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=False)], names=[c.split()[0] for c in schema.split(", ")])
+                    held += len(part)
+                if with_ids and held >= BATCH_BYTES:
+                    yield table(out)
+                    out, held = [], 0
+            yield table(out)
 
     return take_columns(docs, "doc_id", "text").mapInArrow(cut, schema)
 
@@ -253,5 +265,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, shard_rows: int = 20_000) -
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """cache_words: what a worker remembers, some 200 bytes each; it trades memory for time and changes no result."""
-    return pack(written(pieces(docs, tokenizer_path, capacity, cache_words=cache_words), "pieces"), capacity)
+    """The pieces with their ids, sequence_id and offset: a sequence is the ids of its pieces in order of offset.
+
+    cache_words: what a worker remembers, some 200 bytes each; it trades memory for time and changes no result.
+    """
+    return pack(written(pieces(docs, tokenizer_path, capacity, with_ids=True, cache_words=cache_words), "pieces"), capacity)

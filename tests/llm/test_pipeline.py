@@ -1,4 +1,7 @@
+import zlib
+
 import corpus_pipeline
+import numpy as np
 from plain import by_id, near_classes
 
 from marginalia.llm import packing, quality
@@ -36,3 +39,31 @@ def test_stages_take_effect(spark, sf):
 
 def test_run_applies_them_all(spark, sf):
     assert set(corpus_pipeline.run(spark, sf).columns) >= {"doc_id", "piece", "sequence_id", "offset", "length"}
+
+
+def test_the_last_stage_holds_the_sequences(spark, sf):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    rows = [(1, "Some words of a text, as they stand.", "en", "a", 36), (1, "words only", "en", "a", 10), (2, "x " * 5000, "en", "b", 10000), (None, None, None, None, None)]
+    mixed = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    placed = corpus_pipeline.packing(spark, mixed, sf).toPandas()
+    sequences = [[int(i) for ids in own.sort_values("offset")["ids"] for i in ids] for _, own in placed.groupby("sequence_id")]
+    assert sorted(map(len, sequences), reverse=True) == sorted(placed.groupby("sequence_id")["length"].sum(), reverse=True)
+    runs = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END_ID] for _, t, *_ in rows]
+    want = sorted(r[k : k + packing.CAPACITY] for r in runs for k in range(0, len(r), packing.CAPACITY))
+    assert sorted(list(map(int, x)) for x in placed["ids"]) == want
+    for _, r in placed.iterrows():
+        assert r["length"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+    assert sorted(i for s in sequences for i in s) == sorted(i for r in runs for i in r)
+
+
+def test_sequences_of_the_run_are_the_mixed_texts(spark, sf, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(corpus_pipeline, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    placed = corpus_pipeline.run(spark, sf).select("doc_id", "piece", "start", "ids", "length", "sequence_id", "offset").toPandas()
+    texts = packing.pieces(kept["source-mix"], with_ids=True).select("ids").collect()
+    assert sorted(tuple(x) for x in placed["ids"]) == sorted(tuple(r["ids"]) for r in texts)
+    for _, own in placed.sort_values("offset").groupby("sequence_id"):
+        assert own["offset"].tolist() == [0, *own["ids"].map(len).cumsum()[:-1]]

@@ -38,7 +38,7 @@ EXTRA = {
     "bare_phone": (r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", lambda t: t.rlike(r"[0-9]{3}[ .-][0-9]{4}")),
     "national_id": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda t: t.rlike(r"-[0-9]{2}-[0-9]{4}")),
     "account": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda t: t.rlike(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")),
-    "secret": (r"(?i)(?<![a-z])(?:api[_-]?key|token|secret|passw(?:or)?d|key)\x20{0,2}[:=]\x20{0,2}[\"']?[a-z0-9_/+.-]{6,200}[\"']?", lambda t: t.rlike(r"(?i)(?:token|secret|passw(?:or)?d|key)\x20{0,2}[:=]")),
+    "secret": (r"(?i)(?<![a-z])(?:api[_-]?key|token|secret|passw(?:or)?d|key)\x20{0,2}[:=]\x20{0,2}[\"']?[a-z0-9_/+.=-]{6,}+[\"']?", lambda t: t.rlike(r"(?i)(?:token|secret|passw(?:or)?d|key)\x20{0,2}[:=]")),
     "spelled_email": (r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[a-z0-9-]{1,63}(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?[a-z0-9-]{1,63}|\.[a-z0-9-]{1,63})+", lambda t: t.rlike(r"(?i)[\[(]\x20?at\x20?[\])]")),
 }
 KINDS = [*BASE, *EXTRA]

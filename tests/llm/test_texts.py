@@ -51,6 +51,17 @@ def test_generators_beyond_the_base(spark):
     assert kinds == [["bare_phone"], [], ["national_id"], ["secret"], [], ["spelled_email"], ["account"]]
 
 
+def test_secrets_go_whole(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(1000))
+    parts = ".".join((long[:40], long[40:700], long[700:]))
+    texts = [f'token = "{long}" end', f"token = {parts} end", f"secret = {long[:42]}== end", f"api_key: {long[:30]}={long[30:60]} end"]
+    got = by_id(pii.redact(documents(spark, texts)))
+    assert [got[i]["text"] for i in range(4)] == ["[SECRET] end"] * 4
+    spans = by_id(pii.report(documents(spark, texts)))
+    assert [spans[i]["spans"] for i in range(4)] == [f"secret:0:{len(t) - 4}" for t in texts]
+
+
 def test_trees_on_lines_not_fitted(spark):
     """Held out: trees of one half of the lines, judged on the other by the thresholds, at the precision asked for."""
     trees, limits = pii.fit(spark)

@@ -28,9 +28,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near-duplicates."""
-    found = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_kept"]), "left_semi")
+    """The document of smallest id of each group of near-duplicates; of rows with equal id and text one.
+
+    A row of null id goes where a row with an id, or another row of null id, has the same text.
+    """
+    found = near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = docs.join(written(found, "kept-ids"), docs["doc_id"].eqNullSafe(F.col("_kept"))).drop("_kept")
+    apart = rows.where("doc_id is not null and _n = 1").select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    again = rows.where("doc_id is null or _n > 1").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest")).select("doc_id", "text", "_rest.*").select(*docs.columns)
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    known = docs.where("doc_id is not null").select(digest.alias("_known"))
+    bare = again.where("doc_id is null").join(known, digest == F.col("_known"), "left_anti")
+    return apart.unionByName(again.where("doc_id is not null")).unionByName(bare)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,12 +59,14 @@ def sainte_lague(parties: DataFrame, group: list[str], key: list[str], weight: s
     return bids.groupBy(*group, *key).agg((F.min("_low") + F.count_if(won)).alias("quota"))
 
 
-def mix(docs: DataFrame, block_words: int = 16, max_repeats: int = 3, shard_docs: int = 1000, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, block_words: int = 16, max_repeats: int = 3, shard_docs: int = 1000, seed: int = 7, row: str | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text, source): size, source_size, target, taken, and the run taken in part.
 
     ``copies`` whole copies are taken, and besides the words [part_from, part_to) and [part2_from, part2_to).
+    row: a column that differs in every row; it comes out again, and orders rows of equal doc_id and size.
     """
-    sized = take_columns(docs, "doc_id", "text", "source").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    key = [row] if row else []
+    sized = take_columns(docs, "doc_id", "text", "source", *key).select(*key, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = written(sized, "mix-sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
     sources = targets(per_source.select("source", "source_size"), max_repeats)
@@ -77,7 +79,7 @@ def mix(docs: DataFrame, block_words: int = 16, max_repeats: int = 3, shard_docs
     quotas = sainte_lague(sources, ["one"], ["missing", "name"], "target", "blocks", "cap").withColumnRenamed("quota", "source_quota").drop("one")
     known = sources.select("missing", "name", "source_size", "target", "shards").join(quotas, ["missing", "name"])
 
-    keyed = sized.select("doc_id", "size", F.col("source").isNull().alias("missing"), F.coalesce("source", F.lit("")).alias("name"))
+    keyed = sized.select(*key, "doc_id", "size", F.col("source").isNull().alias("missing"), F.coalesce("source", F.lit("")).alias("name"))
     placed = keyed.join(known, ["missing", "name"]).withColumn("order", F.xxhash64(F.lit(seed), "doc_id"))
     placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards")))
     shards = placed.groupBy("missing", "name", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
@@ -87,7 +89,7 @@ def mix(docs: DataFrame, block_words: int = 16, max_repeats: int = 3, shard_docs
     shards = shards.drop("source_quota", "cap").join(dealt, ["missing", "name", "shard"])
 
     inside = Window.partitionBy("missing", "name", "shard")
-    placed = placed.withColumn("end", F.sum("size").over(inside.orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
+    placed = placed.withColumn("end", F.sum("size").over(inside.orderBy("order", "doc_id", "size", *key).rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.withColumn("start", F.col("end") - F.col("size")).join(shards, ["missing", "name", "shard"])
     placed = placed.withColumns({"copies": F.expr("quota div ring"), "extra": F.expr("quota % ring"), "first": F.pmod(F.xxhash64(F.lit(seed + 2), "missing", "name", "shard"), F.col("ring"))})
     edge = lambda k: f"(({k}) * shard_size div ring)"  # noqa: E731  the word at which block k of the ring begins
@@ -98,17 +100,19 @@ def mix(docs: DataFrame, block_words: int = 16, max_repeats: int = 3, shard_docs
     (a, b), (c, d) = cut("run_from", "run_to"), cut(None, "wrap_to")
     placed = placed.withColumns({"part_from": F.least(a, b), "part_to": b, "part2_from": c.cast("long"), "part2_to": d})
     taken = F.col("copies") * F.col("size") + F.col("part_to") - F.col("part_from") + F.col("part2_to") - F.col("part2_from")
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "copies", "part_from", "part_to", "part2_from", "part2_to", F.when(~F.col("missing"), F.col("name")).alias("source"), "shard")
+    return placed.select(*key, "doc_id", "size", "source_size", "target", taken.alias("taken"), "copies", "part_from", "part_to", "part2_from", "part2_to", F.when(~F.col("missing"), F.col("name")).alias("source"), "shard")
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows: each document as often as the mix takes it whole, and once more with the words taken in part, two runs of them parted by a line end.
 
-    Columns are those of docs; n_chars, where there is one, follows the text. doc_id must name a document.
+    Columns are those of docs; n_chars, where there is one, follows the text. Each row is taken by its own plan, repeated ids and null ids too.
     """
-    plan = mix(docs, **options)
-    plan = plan.groupBy("doc_id").agg(*(F.max(c).alias(f"_{c}") for c in ("size", "copies", "part_from", "part_to", "part2_from", "part2_to")))
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"])).drop(plan["doc_id"])
+    # Written once, so that the plan and the rows have the same keys.
+    keyed = written(docs.withColumn("_row", F.struct(F.xxhash64("text").alias("text"), F.monotonically_increasing_id().alias("n"))), "mix-rows")
+    plan = mix(keyed, row="_row", **options)
+    plan = plan.select(F.col("_row").alias("_key"), *(F.col(c).alias(f"_{c}") for c in ("size", "copies", "part_from", "part_to", "part2_from", "part2_to")))
+    rows = keyed.join(plan, F.col("_row") == F.col("_key"))
     whole = (F.col("_part_to") - F.col("_part_from") + F.col("_part2_to") - F.col("_part2_from")) == F.col("_size")
     some = (F.col("_part_to") > F.col("_part_from")) | (F.col("_part2_to") > F.col("_part2_from"))
     pieces = F.array_compact(F.concat(F.array_repeat(F.lit(0), F.col("_copies").cast("int")), F.array(F.when(some & whole, 0).when(some, 1))))

@@ -65,6 +65,27 @@ def test_mixed_texts_hold_the_words_taken(spark, sf):
     assert taken == {i: p["taken"] for i, p in plan.items() if p["taken"]}
 
 
+def test_repeated_and_null_ids_are_mixed_row_by_row(spark):
+    rng = np.random.default_rng(4)
+    sources = [None, "a", "b", "c"]
+    rows = [(None if i % 3 == 0 else i // 6, " ".join(f"r{i}w{k}" for k in range(int(rng.integers(1, 90)))), "en", sources[i % 4], 0) for i in range(240)]
+    rows += [(7, "s one two three", "en", "a", 0)] * 5  # exact copies
+    docs = spark.createDataFrame(rows, DOCS)
+    plan = mixing.mix(docs).collect()
+    want, got, runs = {}, {}, {}
+    for r in plan:
+        want[r["doc_id"], r["source"]] = want.get((r["doc_id"], r["source"]), 0) + r["taken"]
+    for r in mixing.apply_mix(docs).collect():
+        words = r["text"].split()
+        got[r["doc_id"], r["source"]] = got.get((r["doc_id"], r["source"]), 0) + len(words)
+        runs.setdefault((r["doc_id"], r["source"]), set()).update(words)
+    assert got == {k: n for k, n in want.items() if n}
+    texts = {}
+    for i, t, _, s, _ in rows:
+        texts.setdefault((i, s), set()).update(t.split())
+    assert all(w <= texts[k] for k, w in runs.items())
+
+
 def test_sainte_lague_deals_the_highest_quotients(spark):
     weights = {"a": 53.0, "b": 24.0, "c": 23.0, "d": 0.0, "e": 7.5}
     parties = spark.createDataFrame([(1, k, w, 40, 40) for k, w in weights.items()], "g int, k string, w double, seats int, cap int")

@@ -67,3 +67,12 @@ def test_sequences_of_the_run_are_the_mixed_texts(spark, sf, monkeypatch):
     assert sorted(tuple(x) for x in placed["ids"]) == sorted(tuple(r["ids"]) for r in texts)
     for _, own in placed.sort_values("offset").groupby("sequence_id"):
         assert own["offset"].tolist() == [0, *own["ids"].map(len).cumsum()[:-1]]
+
+
+def test_near_dedup_keeps_one_row_of_exact_copies(spark, sf):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (2, b), (2, c), (None, b), (None, a + " more " + b), (None, a + " more " + b), (3, a), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(1, a), (2, b), (2, c), (None, a + " more " + b), (None, None)], key=repr)

@@ -4,7 +4,7 @@ Line rules, in order; the first that holds names the reason:
 
 * ``symbols``      a third of the words or more in ``[#*$%&|<>]`` characters: tables, menus with separators, markup
 * ``shouting``     at least four words, with capitals and without a single small letter
-* ``boilerplate``  the line holds one of ``BOILERPLATE``
+* ``boilerplate``  a line of at most ``SHORT_LINE`` words holds one of ``BOILERPLATE``, or a fifth of a longer line's words stand in them
 * ``navigation``   no closing punctuation and fewer than ``min_open_words`` words
 * ``repeat``       equal to an earlier line of the document
 
@@ -29,6 +29,7 @@ BOILERPLATE = (
     b"enable javascript", b"cookie policy", b"cookies to", b"privacy policy", b"terms of use", b"terms of service",
     b"all rights reserved", b"lorem ipsum", b"click here", b"sign up for our newsletter", b"share this",
 )
+SHORT_LINE, BOILERPLATE_SHARE = 30, 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 SCHEMA = (
@@ -69,7 +70,8 @@ def judge_line(line: bytes, n_words: int, min_open_words: int) -> str | None:
         if text.upper() == text != text.lower():
             return "shouting"
     low = line.lower()
-    if any(x in low for x in BOILERPLATE):
+    found = sum(low.count(x) * len(x.split()) for x in BOILERPLATE)
+    if found and (n_words <= SHORT_LINE or BOILERPLATE_SHARE * found >= n_words):
         return "boilerplate"
     if n_words < min_open_words and not line.rstrip().endswith(CLOSING):
         return "navigation"

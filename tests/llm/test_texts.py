@@ -106,6 +106,14 @@ def test_failing_lines_go_and_documents_that_lose_too_much(spark):
     assert quality.quality(spark.createDataFrame([], DOCS)).isEmpty()
 
 
+def test_a_phrase_in_a_long_line_is_no_boilerplate():
+    prose = " ".join(f"word{i}" for i in range(60)) + ", as their privacy policy says. " + " ".join(f"more{i}" for i in range(40)) + "."
+    figures, text = quality.clean(prose)
+    assert text == prose and figures[5] == 0 and figures[-1]
+    for line in ("Read our privacy policy and the rest of it.", "Click here. Share this. " * 12):
+        assert quality.judge_line(line.encode(), len(line.split()), 8) == "boilerplate"
+
+
 def test_licenses_exact_changed_and_absent(spark):
     mit = licenses.TEMPLATES["MIT"]
     changed = mit.replace("free of charge", "without any charge").replace("copy, modify", "copy, alter")

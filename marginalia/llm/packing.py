@@ -16,23 +16,20 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.tables import take_columns, utf8, written
+from marginalia.llm.tables import BATCH_BYTES, take_columns, tidy, utf8, written
 
 CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a task remembers before it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Words that are encoded at a time: the tokenizer's own notes take about a kilobyte a word while it runs.
 LEARN_WORDS = 5_000
-#: Bytes of ids that a task hands on at a time.
-BATCH_BYTES = 1 << 20
 
 #: ASCII marks; not the apostrophe, which can stand within a word.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -86,21 +83,29 @@ def best_pair(live: list[int], counts: dict[int, int], x: int, room: int) -> int
     best, a, b = 0, 0, len(live) - 1
     have = lambda y: counts[y] - (y == x)
     while a <= b:
-        total = live[a] + live[b]
-        if total > room:
+        if not have(live[a]):
+            a += 1
+        elif not have(live[b]) or live[a] + live[b] > room:
             b -= 1
-            continue
-        if have(live[a]) > 0 and have(live[b]) > 0 and (a != b or have(live[a]) > 1):
-            best = max(best, total)
-        a += 1
+        else:
+            if a < b or have(live[a]) > 1:
+                best = max(best, live[a] + live[b])
+            a += 1
     return best
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Segment]:
-    """Segments (length, first rank, end rank, first bin, pieces in each bin, offset of the first)."""
-    counts = {x: n for x, n in histogram.items() if n > 0}
-    if any(x < 1 or x > capacity for x in counts):
+    """Segments (length, first rank, end rank, first bin, pieces in each bin, offset of the first).
+
+    Best fit can do worse on fewer pieces, so the instance is packed without the reduction too, and fewer bins win.
+    """
+    if any(x < 1 or x > capacity for x, n in histogram.items() if n > 0):
         raise ValueError("a piece is longer than a sequence, or empty")
+    return min((_planned(histogram, capacity, reduce) for reduce in (True, False)), key=lambda x: x[0])[1]
+
+
+def _planned(histogram: dict[int, int], capacity: int, reduce: bool) -> tuple[int, list[Segment]]:
+    counts = {x: n for x, n in histogram.items() if n > 0}
     rank = dict.fromkeys(counts, 0)
     segments: list[Segment] = []
     bins = 0
@@ -109,7 +114,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Segment]:
         segments.append((length, rank[length], rank[length] + pieces, first_bin, each, offset))
         rank[length] += pieces
 
-    for lengths, times in reduce_dominated(counts, capacity):
+    for lengths, times in reduce_dominated(counts, capacity) if reduce else ():
         offset = 0
         if len(lengths) == 2 and lengths[0] == lengths[1]:
             place(lengths[0], 2 * times, bins, 2, 0)
@@ -152,7 +157,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Segment]:
                 leave(room - left * length, first, 1)
                 left, first, n = 0, first + 1, n - 1
             leave(room, first, n)
-    return segments
+    return bins, segments
+
+
+def plain_end(c: str) -> bool:
+    """Whether c surely is a letter or digit to the tokenizer, whose normaliser leaves it one: not so for a dotted capital I, which gains a mark."""
+    return ("0" <= c <= "9" or c.isalpha()) and (c < "\u0250" or "\u0410" <= c <= "\u044f") and len(c.lower()) == 1
 
 
 class WordIds(dict):
@@ -175,7 +185,7 @@ class WordIds(dict):
             return word, b""
         if not text.islower() and max(text) < "\u0100":
             text = text.lower()
-        if text[-1] in MARKS and (bare := text.rstrip(MARKS)) and bare[-1].isalnum():
+        if text[-1] in MARKS and (bare := text.rstrip(MARKS)) and plain_end(bare[-1]):
             return bare.encode(), text[len(bare) :].encode()
         return text.encode(), b""
 
@@ -204,12 +214,6 @@ class WordIds(dict):
         return ids
 
 
-@lru_cache(maxsize=1)
-def word_ids(path: str, most: int = CACHE_WORDS) -> WordIds:
-    """One for each worker process, so that later tasks find what earlier ones have encoded."""
-    return WordIds(path, most)
-
-
 def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32[, ids]): the token ids of each text and an end token, cut only where longer than capacity."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
@@ -217,7 +221,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        known = word_ids(tokenizer_path or public_tokenizers.path(TOKENIZER), cache_words)
+        known = WordIds(tokenizer_path or public_tokenizers.path(TOKENIZER), cache_words)  # goes with the task
         end = np.array([END_ID], "<u4").tobytes()
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
         names = [c.split()[0] for c in schema.split(", ")]
@@ -242,11 +246,14 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
                     out, held = [], 0
             yield table(out)
 
-    return take_columns(docs, "doc_id", "text").mapInArrow(cut, schema)
+    return take_columns(docs, "doc_id", "text").mapInArrow(tidy(cut), schema)
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, shard_rows: int = 20_000) -> DataFrame:
-    """Adds sequence_id and offset to rows with doc_id, piece and length. parts is read several times: hand in a written table."""
+    """Adds sequence_id and offset to rows with doc_id, piece and length. parts is read several times: hand in a written table.
+
+    A shard holds about shard_rows pieces and is one task's sort; a length of a third of all pieces is spread over all shards.
+    """
     spark = parts.sparkSession
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     total = sum(histogram.values())

@@ -132,6 +132,21 @@ def test_plan_fills_sequences_without_gaps(histogram):
     assert bins <= len(rooms)
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 3), min_size=1, max_size=9), st.integers(0, 60), st.randoms(use_true_random=False))
+def test_best_pair_is_the_best_of_all_pairs(counts, room, rng):
+    live = sorted(counts)
+    x = rng.choice(live)
+    have = {y: n - (y == x) for y, n in counts.items()}
+    want = max((a + b for i, a in enumerate(live) for b in live[i:] if a + b <= room and have[a] and have[b] and (a != b or have[a] > 1)), default=0)
+    assert packing.best_pair(live, counts, x, room) == want
+
+
+def test_pairs_and_plans_that_once_were_wrong():
+    assert packing.best_pair([5, 11], {5: 2, 11: 1}, 11, 29) == 10
+    assert placed(packing.plan({11: 1, 5: 2}, 40), {11: 1, 5: 2}, 40) == 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(2, 12), min_size=1, max_size=8))
 def test_reduction_keeps_an_optimal_packing(pieces):
@@ -164,11 +179,11 @@ TRICKY = st.text(alphabet=st.sampled_from("aBé1.,'!?-<|>  ́ßIİ\t\n 日\U0
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.one_of(TRICKY, st.text(max_size=30), st.sampled_from(["<|endoftext|> x", "don't I'LL we've", "A<|startoftext|>b."])), min_size=1, max_size=6))
+@given(st.lists(st.one_of(TRICKY, st.text(max_size=30), st.sampled_from(["<|endoftext|> x", "don't I'LL we've", "A<|startoftext|>b.", "\u0130<", "\u0130. x", "E\u0301.", "\u039f\u03a3."])), min_size=1, max_size=6))
 def test_words_give_the_ids_of_their_text(tokenizer, texts):
     import public_tokenizers
 
-    known = packing.word_ids(public_tokenizers.path(packing.TOKENIZER))
+    known = packing.WordIds(public_tokenizers.path(packing.TOKENIZER))
     parts = [t.encode().split() for t in texts]
     known.learn(set().union(*parts))
     for text, words in zip(texts, parts, strict=True):

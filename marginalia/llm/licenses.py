@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from marginalia.llm.tables import take_columns
+from marginalia.llm.tables import take_columns, tidy
 
 GRAM, WINDOW, BAND = 3, 2, 12
 TOKEN = re.compile(r"[^\W_]+")
@@ -162,4 +162,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage:
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "license", "coverage", "matched_words", "start", "end"])
 
-    return take_columns(docs, "doc_id", "text").mapInArrow(look, "doc_id long, license string, coverage double, matched_words long, start long, end long")
+    return take_columns(docs, "doc_id", "text").mapInArrow(tidy(look), "doc_id long, license string, coverage double, matched_words long, start long, end long")

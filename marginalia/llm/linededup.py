@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.tables import take_columns
+from marginalia.llm.tables import take_columns, tidy
 
 UNITS = {
     "paragraph": re.compile(r"(?:[^\n]|\n(?![ \t]*\n))+"),
@@ -78,7 +78,7 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = 8)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digests, pa.binary())], names=["doc_id", "start", "end", "digest"])
 
     # Cut twice rather than written once: the units take about as much room as the texts.
-    found = take_columns(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(cut, "doc_id long, start int, end int, digest binary")
+    found = take_columns(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(tidy(cut), "doc_id long, start int, end int, digest binary")
     place = F.struct("doc_id", "start")
     twice = found.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("_digest"), "first")
     twice = twice.repartition("_digest")  # a plain exchange below the join, so that Spark can split the other side
@@ -110,5 +110,5 @@ def remove_repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 8)
             spans = batch.column(2)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string()), pa.array([len(x or ()) for x in spans.to_pylist()], pa.int64()), pa.array(gone, pa.int64()), spans], names=["doc_id", "text", "n_removed", "chars_removed", "removed"])
 
-    kept = joined.mapInArrow(cut, "doc_id long, text string, n_removed long, chars_removed long, removed array<struct<start: int, end: int>>")
+    kept = joined.mapInArrow(tidy(cut), "doc_id long, text string, n_removed long, chars_removed long, removed array<struct<start: int, end: int>>")
     return kept.withColumn("removed", F.coalesce("removed", F.expr("cast(array() as array<struct<start: int, end: int>>)")))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.components import components
-from marginalia.llm.tables import take_columns, utf8, written
+from marginalia.llm.tables import take_columns, tidy, utf8, written
 
 BANDS, ROWS = 36, 5
 HASHES = BANDS * ROWS
@@ -130,7 +130,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "digest", "sig", "bands"],
             )
 
-    return take_columns(docs, "doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>")
+    return take_columns(docs, "doc_id", "text").mapInArrow(tidy(sketch), "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>")
 
 
 def _surviving(pairs: DataFrame, percent: int) -> DataFrame:
@@ -145,7 +145,7 @@ def _surviving(pairs: DataFrame, percent: int) -> DataFrame:
             stay = pa.array(likely(a, b, needed))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(stay), batch.column(1).take(stay)], names=["a", "b"])
 
-    return pairs.mapInArrow(prune, "a long, b long")
+    return pairs.mapInArrow(tidy(prune), "a long, b long")
 
 
 def _sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -160,7 +160,7 @@ def _sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
             sets = [np.sort(shingles(t, words, known).view(np.int64)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "members"])
 
-    return written(take_columns(docs, "doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(members, "id long, members array<long>"), "sets")
+    return written(take_columns(docs, "doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(tidy(members), "id long, members array<long>"), "sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marginalia.llm.tables import take_columns, utf8
+from marginalia.llm.tables import take_columns, tidy, utf8
 
 SYMBOLS = b"#*$%&|<>"
 CLOSING = (b".", b"!", b"?", b":", b";", b'"', b"'", b")", "…".encode(), "”".encode(), "»".encode(), "。".encode())
@@ -126,7 +126,7 @@ def quality(docs: DataFrame, max_loss: int = 50, min_open_words: int = 8, with_t
                 columns.append([r[1] for r in rows])
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return take_columns(docs, "doc_id", "text").mapInArrow(judge, schema)
+    return take_columns(docs, "doc_id", "text").mapInArrow(tidy(judge), schema)
 
 
 def keep_good(docs: DataFrame, max_loss: int = 50, min_open_words: int = 8) -> DataFrame:
@@ -150,4 +150,4 @@ def keep_good(docs: DataFrame, max_loss: int = 50, min_open_words: int = 8) -> D
                 columns[k] = pa.array([len(t) for t in texts], pa.int64()).cast(out.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, names=out.schema.names)
 
-    return docs.mapInArrow(sift, schema)
+    return docs.mapInArrow(tidy(sift), schema)

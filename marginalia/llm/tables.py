@@ -2,33 +2,69 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch handed to a Python worker: texts may be long, so batches stay small.
-BATCH_ROWS = 512
+#: Bounds of an Arrow batch between the JVM and a Python worker, set in the session by ``bound_batches``.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
-#: Folder used where the session names none (single-machine tests only).
-_own_folder: dict[str, str] = {}
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batch bounds, rows and bytes: texts may be long, and Spark's default is 10,000 rows of any size."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``BATCH_BYTES`` and ``BATCH_ROWS`` rows at most, one row at least."""
+    rows = max(1, min(BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Run) -> Run:
+    """A function for mapInArrow that gets small batches, and hands memory back to the system when its task is over.
+
+    Workers live on after a task and their allocators keep what was freed; the executor's JVM needs that room.
+    """
+
+    @wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(part for batch in batches for part in small(batch))
+        hand_back()
+
+    return inner
+
+
+def hand_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset."""
+    """The folder that driver and executors share, which the session names in spark.checkpoint.dir."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="spark-marginalia-")
-    return _own_folder[app]
+    if not named:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

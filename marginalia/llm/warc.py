@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.tables import fresh_path, take_columns, written
+from marginalia.llm.tables import fresh_path, take_columns, tidy, written
 
 CHUNK = 1 << 20
 WARC_DATE = "2024-01-01T00:00:00Z"
@@ -95,7 +95,7 @@ def write_archives(marked: DataFrame, folder: str) -> DataFrame:
 
     where, path = located(folder)
     where.create_dir(path)
-    return written(marked.mapInArrow(write, "archive string, records long"), "warc-archives")
+    return written(marked.mapInArrow(tidy(write), "archive string, records long"), "warc-archives")
 
 
 def records(stream: BinaryIO) -> Iterator[bytes]:
@@ -161,7 +161,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     where, path = located(folder)
     where.create_dir(path)
     n = archives.count()
-    return written(archives.select("archive").repartition(max(1, n), "archive").mapInArrow(rewrite, "archive string, sidecar string, records long"), "warc-normalised")
+    return written(archives.select("archive").repartition(max(1, n), "archive").mapInArrow(tidy(rewrite), "archive string, sidecar string, records long"), "warc-normalised")
 
 
 def read_archives(normalised: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -196,7 +196,7 @@ def read_archives(normalised: DataFrame, with_payload: bool = False) -> DataFram
                     yield batch_of(rows)
 
     n = normalised.count()
-    return normalised.select("archive", "sidecar").repartition(max(1, n), "archive").mapInArrow(read, schema)
+    return normalised.select("archive", "sidecar").repartition(max(1, n), "archive").mapInArrow(tidy(read), schema)
 
 
 def roundtrip(pages: DataFrame, min_revisit_bytes: int = 100) -> DataFrame:

@@ -16,7 +16,7 @@ from marginalia.llm.neardup import near_duplicates
 from marginalia.llm.packing import pack_documents
 from marginalia.llm.pii import redact
 from marginalia.llm.quality import keep_good
-from marginalia.llm.tables import read, written
+from marginalia.llm.tables import bound_batches, read, written
 
 #: No single SQL statement has the trees, the tokenizer and the seeded mix; tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -24,6 +24,7 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, with their failing lines removed."""
+    bound_batches(spark)
     return keep_good(docs)
 
 
@@ -32,6 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A row of null id goes where a row with an id, or another row of null id, has the same text.
     """
+    bound_batches(spark)
     found = near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_n"))
     rows = docs.join(written(found, "kept-ids"), docs["doc_id"].eqNullSafe(F.col("_kept"))).drop("_kept")
     apart = rows.where("doc_id is not null and _n = 1").select(*docs.columns)
@@ -54,8 +56,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces with their ids and places in sequences. Executors have grown by then, so workers remember fewer words."""
-    return pack_documents(docs, cache_words=100_000)
+    """The token pieces with their ids and places in sequences."""
+    bound_batches(spark)
+    return pack_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -127,7 +127,7 @@ def test_recall_over_a_whole_table(spark, sf):
     rows = sorted((r["vec_id"], r["embedding"]) for r in table.collect())
     ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows], float)
     got = {}
-    for r in ann.nearest(table, part_rows=150).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(table).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     hit = total = 0
     for q in np.flatnonzero(ids % 100 == 0):
@@ -148,3 +148,50 @@ def test_vectors_that_take_no_part(spark):
     got = sorted(tuple(r) for r in ann.nearest(spark.createDataFrame(rows, schema)).collect())
     assert got == [(0, 1, 1, 0.0), (0, 2, 100, 0.0), (0, 3, 8, 2.0), (100, 1, 0, 0.0), (100, 2, 1, 0.0), (100, 3, 8, 2.0)]
     assert ann.nearest(spark.createDataFrame([], schema)).isEmpty()
+
+
+def plain_nearest(rows, k=10, every=100):
+    """The k nearest of each query by all distances; rows: (id, vector)."""
+    out = {}
+    for q in {i for i, _ in rows if i % every == 0}:
+        best = {}
+        for _, a in (r for r in rows if r[0] == q):
+            for i, b in rows:
+                if i != q and len(a) == len(b):
+                    best[i] = min(best.get(i, np.inf), float(np.sqrt(((np.array(a) - np.array(b)) ** 2).sum())))
+        out[q] = sorted((d, i) for i, d in best.items())[:k]
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"part_rows": 40, "fit_rows": 100, "max_cells": 8}])
+def test_copies_ties_lengths_repeats_and_clashing_columns(spark, options):
+    rng = np.random.default_rng(3)
+    rows = [(i, [1.0, 0.0, 2.0]) for i in range(210)] + [(i, [1.0, -0.0, 2.0]) for i in range(250, 260)]  # a large group of copies
+    centres = rng.normal(size=(12, 3)) * 20
+    rows += [(i, (centres[i % 12] + np.round(rng.normal(size=3), 1)).tolist()) for i in range(300, 900)]
+    rows += [(900, [1.0, 1.0]), (901, [1.0, 2.0]), (902, [2.0, 1.0]), (902, [2.0, 1.0]), (300, [5.0, 5.0, 5.0]), (300, [5.0, 5.0, 5.0]), (1000, [7.0])]
+    table = spark.createDataFrame([(*r, 1, 2, 3, "x") for r in rows], "vec_id long, embedding array<double>, id int, width int, cell int, digest string")
+    got = {}
+    for r in ann.nearest(table, confidence=0.999999, **options).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+        assert r["rank"] == len(got[r["query_id"]])
+    want = {q: found for q, found in plain_nearest(rows).items() if found}
+    assert {q: [i for _, i in f] for q, f in got.items()} == {q: [i for _, i in f] for q, f in want.items()}
+    assert all(np.allclose([d for d, _ in got[q]], [d for d, _ in f], rtol=1e-14, atol=0) for q, f in want.items())
+
+
+def test_cells_hold_their_points_and_far_cells_are_left_out():
+    rng = np.random.default_rng(2)
+    points = np.concatenate([rng.normal(size=(500, 4)) + 30 * c for c in rng.normal(size=(8, 4))])
+    top = ann.Cells(points[::5], 16)
+    cell = top.of(points)
+    assert set(cell) == set(range(len(top.low))) and len(top.low) == 16
+    assert ((points >= np.array(top.low)[cell]) & (points < np.array(top.high)[cell])).all()
+    visits = [set(top.within(p, 4.0).tolist()) for p in points[:200]]
+    for p, seen in zip(points[:200], visits, strict=True):
+        assert set(cell[((points - p) ** 2).sum(axis=1) <= 4.0]) <= seen
+    assert np.mean([len(seen) for seen in visits]) < 6
+
+
+def test_equal_points_make_one_cell():
+    assert len(ann.Cells(np.ones((50, 3)), 8).low) == 1 and ann.Cells(np.empty((0, 3)), 8).of(np.ones((2, 3))).tolist() == [0, 0]

@@ -5,7 +5,7 @@ fewer words is one shingle, a text without words has an empty set and links with
 ``intersection / union >= percent / 100``.
 
 1. Documents with equal sets collapse to the one of smallest id, so exact copies cost nothing later.
-2. ``BANDS`` bands of ``ROWS`` MinHash values make buckets. A pair at similarity 0.8 shares no bucket with a chance of 6e-7.
+2. ``BANDS`` bands of ``ROWS`` MinHash values, of which 16 bits are kept, make buckets. A pair at similarity 0.8 shares no bucket with a chance of 6e-7.
 3. In each bucket the smallest member is paired with every other: a star, linear in the bucket.
 4. Signatures are compared ``STEP`` values at a time; a pair is dropped as soon as the posterior chance (uniform prior) that
    its similarity reaches the threshold falls below ``MISS``. Survivors are verified on their full sets.
@@ -34,7 +34,7 @@ from marginalia.llm.tables import take_columns, tidy, utf8, written
 BANDS, ROWS = 36, 5
 HASHES = BANDS * ROWS
 STEP, MISS = 20, 1e-6
-SMALL, BLOCK, BLOCK_SHINGLES = 24, 1000, 500_000
+SMALL, BLOCK, BLOCK_SHINGLES, SALTS = 24, 1000, 500_000, 16
 #: So many ids at most are broadcast to pick texts; beyond it they are picked by a shuffled join.
 BROADCAST_IDS = 1_000_000
 #: Words whose hashes a task remembers before it starts anew.
@@ -82,6 +82,15 @@ def signature(members: np.ndarray) -> np.ndarray:
     return best
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A key (int64) of each band of a stored signature: bands share a key where their stored rows agree, which ``_facing`` relies on."""
+    rows = sig.reshape(BANDS, ROWS)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        key = _mixed(key * np.uint64(0x100000001B3) + rows[:, k])
+    return key.view(np.int64)
+
+
 def least_matches(percent: int = 80, miss: float = MISS) -> list[tuple[int, int]]:
     """(values compared, matches needed to go on): fewer make P(similarity >= percent) < miss under the posterior Beta(m + 1, n - m + 1)."""
     t = percent / 100
@@ -117,14 +126,10 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 if not len(members):
                     digests.append(None), sigs.append(None), bands.append(None)
                     continue
-                sig = signature(members)
+                sig = signature(members).astype("<u2")
                 digests.append(xxhash.xxh3_128_digest(members.tobytes()))
-                sigs.append(sig.astype("<u2").tobytes())
-                rows = sig.reshape(BANDS, ROWS)
-                key = np.arange(1, BANDS + 1, dtype=np.uint64)
-                for k in range(ROWS):
-                    key = _mixed(key * np.uint64(0x100000001B3) + rows[:, k])
-                bands.append(key.view(np.int64))
+                sigs.append(sig.tobytes())
+                bands.append(band_keys(sig))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "digest", "sig", "bands"],
@@ -172,6 +177,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return written(pairs.join(left, "a").join(right, "b").where(near).select("a", "b").distinct(), "pair-links")
 
 
+def _salted(rows: DataFrame, of_keys: DataFrame) -> DataFrame:
+    """rows joined with a table of one row a key, in SALTS parts a key, so that a bucket of very many rows is no single task's work."""
+    salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).alias("_salt")
+    return rows.select("*", salt).join(of_keys.select("*", F.explode(F.array(*(F.lit(k).cast("long") for k in range(SALTS)))).alias("_salt")), ["key", "_salt"]).drop("_salt")
+
+
 def _dealt(rows: DataFrame) -> DataFrame:
     """Rows of buckets of more than SMALL members, dealt to pairs of blocks (key, kind, i, j), with the side they stand on.
 
@@ -182,7 +193,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
     in_main = F.col("comp") == F.col("main")
     counted = lambda c: F.ceil(F.greatest(F.count_if(c) / BLOCK, F.sum(F.when(c, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES))
     blocks = rows.groupBy("key").agg(counted(in_main).alias("mains"), counted(~in_main).alias("rests"))
-    rows = rows.join(blocks, "key").withColumn("in_main", in_main)
+    rows = _salted(rows, blocks).withColumn("in_main", in_main)
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("rests"))))
     upto = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), f)
     spot = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
@@ -273,7 +284,7 @@ def _settled(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable), kept, and n_links of its set's class."""
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     own = written(sketches(docs, words), "sketches")
     reps = own.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
@@ -282,7 +293,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sigs = reps.select("rep", "n_shingles", "sig")
     buckets = reps.select(F.posexplode("bands").alias("band", "key"), "rep")
     shared = buckets.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(buckets.join(shared, "key").select("key", "band", "rep", "leader", "n"), "buckets")
+    # A plain exchange below each side, so that Spark can split a bucket of very many rows.
+    shared = written(buckets.join(shared.repartition("key"), "key").select("key", "band", "rep", "leader", "n"), "buckets")
 
     def tried(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of classes, pruned by size and signature."""
@@ -298,7 +310,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # Members of buckets of three or more with more than one component.
     comp = shared.where("n > 2").join(labels, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", "leader", "n", F.coalesce("root", "rep").alias("comp"))
     spread = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("rep") == F.col("leader"), F.col("comp"))).alias("main")).where("lo <> hi")
-    rows = written(comp.join(spread.select("key", "main"), "key"), "mixed")
+    rows = written(_salted(comp, spread.select("key", "main")), "mixed")
     small = rows.where((F.col("n") <= SMALL) & (F.col("rep") != F.col("leader"))).select("key", "rep", "comp")
     other = small.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
     pairs = small.withColumnRenamed("rep", "a").join(other, "key").where("a < b and comp <> comp_b").select("a", "b").distinct()
@@ -309,9 +321,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         links = written(links.union(more).distinct(), "all-links")
         labels = components(links)
 
-    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = reps.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left").join(ends, "rep", "left")
-    classes = classes.select(F.col("digest").alias("_digest"), F.coalesce("root", "rep").alias("_component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = reps.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left")
+    classes = classes.select(F.col("digest").alias("_digest"), F.coalesce("root", "rep").alias("_component"))
     found = own.select("doc_id", "n_shingles", "digest").join(classes, F.col("digest") == F.col("_digest"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

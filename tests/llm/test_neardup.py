@@ -81,6 +81,31 @@ def test_pruning_keeps_what_is_similar():
     assert len(neardup.likely(a, far, needed)) == 0
 
 
+def test_bands_share_a_key_exactly_where_stored_rows_agree():
+    """Signatures that agree in the 16 bits kept but not in the 32 bits drawn share the bucket that _facing names."""
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 2**16, neardup.HASHES, dtype=np.uint32)
+    b = a.copy()
+    b[: neardup.ROWS] += 1 << 16  # the first band: equal in the low bits alone
+    b[2 * neardup.ROWS :] = rng.integers(0, 2**16, neardup.HASHES - 2 * neardup.ROWS)
+    a, b = a.astype("<u2"), b.astype("<u2")
+    same = (a == b).reshape(neardup.BANDS, neardup.ROWS).all(axis=1)
+    assert same[:2].all() and (same == (neardup.band_keys(a) == neardup.band_keys(b))).all()
+
+
+def test_a_pair_whose_first_bands_agree_in_the_kept_bits_alone_is_linked(spark, monkeypatch):
+    """Minima that differ by a multiple of 2**16 look alike in storage; no link is lost over it, large buckets included."""
+    drawn = neardup.signature
+    monkeypatch.setattr(neardup, "signature", lambda members: drawn(members) % 3)  # nearly all stored rows agree somewhere
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    rng = random.Random(12)
+    texts = dict(enumerate(family(rng, 30, 50, 6) + family(rng, 12, 30, 3)))
+    stored = neardup.sketches(documents(spark, texts), 2).first()["sig"]
+    assert max(np.frombuffer(stored, "<u2")) < 3  # the change has reached the workers
+    got = by_id(neardup.near_duplicates(documents(spark, texts), 2))
+    assert {i: r["component_id"] for i, r in got.items()} == {i: c for i, (_, c) in near_classes(texts, 2).items()}
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 160)] + [(7, 7), (None, 3), (201, 200), (200, 201)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marginalia.llm import sql
 from marginalia.llm.tables import read
 
 
@@ -30,7 +31,7 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm.warc import roundtrip
 
-    return roundtrip(read(spark, sf_dir, "pages"))
+    return roundtrip(read(spark, sf_dir, "pages")).drop("url")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +83,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_main_text": op10_html_main_text,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_minhash_near_dedup": sql.OP1, "op4_warc": sql.OP4, "op8_quality_rules": sql.OP8}

@@ -1,11 +1,12 @@
-r"""Substring deduplication by hashed units: a unit that stood earlier, in any document, is removed; offsets are kept.
+r"""Substring deduplication by hashed lines: a unit that stood earlier, in any document, is removed; offsets are kept.
 
-Units are ``paragraph`` (blank lines between), ``line``, or ``sentence``: lines cut further where ``.``, ``!`` or ``?`` is followed by
-white space, which also finds a passage that was set into the middle of a line. A unit is normalised (lower case, one
-space for any white space, no punctuation at its ends) and hashed to 128 bits. A unit of fewer than ``min_words`` words is
-hashed as a chain, together with as many units before it as it takes to have ``min_words`` words; so short phrases that anyone
-writes stay, but go with a passage that repeats, however short its units are. The span of a chain begins at its first unit, so
-the first units of a passage go too, and spans of neighbouring chains overlap: what is removed is their union.
+Units are lines (``unit``; or ``paragraph``, with blank lines between). A unit is normalised (lower case, one space for any white
+space, no punctuation at its ends) and hashed to 128 bits. A unit of fewer than ``min_words`` words is hashed as a chain,
+together with as many units before it as it takes to have ``min_words`` words; so short lines that anyone writes stay, but go with a
+passage that repeats, however short its lines are. A passage that was set into the middle of a line is no line of its own:
+lines are therefore cut further (``inner``), where ``.``, ``!`` or ``?`` is followed by white space, and these sentences are hashed in
+chains of ``inner_words`` words. The span of a chain begins at its first unit, so the first units of a passage go too,
+and spans of neighbouring chains overlap: what is removed is their union.
 
 Of equal digests the one of smallest (doc_id, start) stays, everywhere else its unit is removed. Digests are counted with a
 partial sum before the shuffle, and only those seen twice meet the units again in a join that Spark can split, so a line
@@ -37,7 +38,7 @@ EDGES = " \t\r\x0b\x0c.,;:!?\"'()[]{}«»“”…-*#|"
 
 
 def units(text: str | None, unit: str, min_words: int) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of each unit or chain that can be a copy, by end; white space at its ends isn't part of it."""
+    """(start, end, digest) of each unit or chain that can be a copy, by end; white space at its ends isn't part of it. Digests of unlike kinds of units never meet."""
     out = []
     chain: deque[tuple[int, list[str]]] = deque()  # the last units, as few as have min_words words
     held = 0
@@ -51,7 +52,7 @@ def units(text: str | None, unit: str, min_words: int) -> list[tuple[int, int, b
         while held - len(chain[0][1]) >= min_words:
             held -= len(chain.popleft()[1])
         if held >= min_words:
-            out.append((chain[0][0], end, xxhash.xxh3_128_digest(" \n ".join(" ".join(w) for _, w in chain))))
+            out.append((chain[0][0], end, xxhash.xxh3_128_digest(" \n ".join([unit, *(" ".join(w) for _, w in chain)]))))
     return out
 
 
@@ -66,14 +67,15 @@ def union(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = 8) -> DataFrame:
+def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 15, inner: str | None = "sentence", inner_words: int = 25) -> DataFrame:
     """(doc_id, spans): the units of each document that stood earlier, as sorted structs (start, end); documents without any are absent."""
+    cuts = [(unit, min_words), *([(inner, inner_words)] if inner else [])]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, starts, ends, digests = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for start, end, digest in units(text, unit, min_words):
+                for start, end, digest in (u for own in cuts for u in units(text, *own)):
                     ids.append(doc), starts.append(start), ends.append(end), digests.append(digest)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digests, pa.binary())], names=["doc_id", "start", "end", "digest"])
 
@@ -86,9 +88,9 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = 8)
     return copies.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 8) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, text without the removed units, n_removed, removed (their spans in the original, chains overlapping), chars_removed (of the union)."""
-    spans = repeated_units(docs, unit, min_words).select(F.col("doc_id").alias("_id"), "spans")
+def remove_repeats(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, text without the removed units, n_removed, removed (their spans in the original, chains overlapping), chars_removed (of the union). Options are those of repeated_units."""
+    spans = repeated_units(docs, **options).select(F.col("doc_id").alias("_id"), "spans")
     own = take_columns(docs, "doc_id", "text")
     joined = own.join(spans, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "spans")
 

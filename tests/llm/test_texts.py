@@ -179,7 +179,7 @@ def test_each_template_finds_itself():
 def test_repeats_go_and_offsets_stay(spark):
     passage = "This passage of rather many words stands in several documents. It goes on for another sentence with some more words, and ends."
     texts = {5: f"Own text one of five. {passage} Tail.", 2: f"{passage}\nOther own text with a few more words in it than eight.", 9: passage, 11: "short\nshort\nshort", 12: None, 13: ""}
-    got = by_id(linededup.remove_repeats(documents(spark, texts), "sentence"))
+    got = by_id(linededup.remove_repeats(documents(spark, texts), unit="sentence", min_words=8, inner=None))
     assert got[2]["text"] == texts[2] and got[5]["text"] == "Own text one of five. Tail." and got[9]["text"] == "" and got[11]["text"] == texts[11] and got[12]["text"] is None
     for i in (5, 9):
         assert all(texts[i][s["start"] : s["end"]] in passage for s in got[i]["removed"]) and got[i]["n_removed"] == 2
@@ -187,16 +187,65 @@ def test_repeats_go_and_offsets_stay(spark):
     assert linededup.remove_repeats(spark.createDataFrame([], DOCS)).isEmpty()
 
 
+def plain_units(text, sentences):
+    """(start, end, words) of lines, or of the sentences in lines: a sentence ends after . ! or ? before white space."""
+    out, at = [], 0
+    for k, c in enumerate(text + "\n"):
+        ends = c == "\n"
+        if sentences and not ends and c in ".!?" and (k + 1 == len(text) or text[k + 1] in " \t\n"):
+            ends, k = True, k + 1
+        if ends:
+            piece = text[at:k]
+            words = piece.lower().strip(linededup.EDGES).split()
+            if words:
+                out.append((at + len(piece) - len(piece.lstrip()), at + len(piece.rstrip()), tuple(words)))
+            at = k if sentences and c != "\n" else k + 1
+    return out
+
+
+def plain_chains(text, sentences, least):
+    """(start, end, words of each) of every unit with as many before it as it takes to have that many words."""
+    out, own = [], plain_units(text, sentences)
+    for k in range(len(own)):
+        j = k
+        while j >= 0 and sum(len(w) for _, _, w in own[j : k + 1]) < least:
+            j -= 1
+        if j >= 0:
+            out.append((own[j][0], own[k][1], tuple(w for _, _, w in own[j : k + 1])))
+    return out
+
+
 def test_repeats_of_a_whole_table_as_brute_force_has_them(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
-    seen, want = set(), {}
-    for doc, text in rows:
-        own = linededup.units(text, "sentence", 8)
-        want[doc] = sorted((a, b) for k, (a, b, d) in enumerate(own) if d in seen or d in {x[2] for x in own[:k]})
-        seen |= {d for _, _, d in own}
+    first, want = {}, {}
+    for doc, text in sorted((r["doc_id"], r["text"]) for r in docs.collect()):
+        want[doc] = set()
+        for sentences, least in ((False, 15), (True, 25)):
+            for start, end, words in plain_chains(text or "", sentences, least):
+                if first.setdefault((sentences, words), (doc, start)) != (doc, start):
+                    want[doc].add((start, end))
     got = by_id(linededup.remove_repeats(docs))
-    assert {i: [tuple(s) for s in r["removed"]] for i, r in got.items()} == want
+    assert {i: [tuple(s) for s in r["removed"]] for i, r in got.items()} == {i: sorted(w) for i, w in want.items()}
+
+
+def test_a_passage_within_a_line_and_common_short_lines(spark):
+    passage = " ".join(f"p{i}" + "." * (i % 9 == 8) for i in range(60))
+    footer = "all of this was written by the same hand as ever"
+    texts = {1: f"One of a kind here. {passage}\n{footer}", 2: f"And again another start {passage} and its end.\n{footer}", 3: f"nothing else\n{footer}"}
+    got = by_id(linededup.remove_repeats(documents(spark, texts)))
+    assert [got[i]["n_removed"] > 0 for i in (1, 2, 3)] == [False, True, False]
+    lines = by_id(linededup.remove_repeats(documents(spark, texts), min_words=5, inner=None))
+    assert [lines[i]["n_removed"] for i in (1, 2, 3)] == [0, 1, 1] and lines[3]["text"] == "nothing else\n"
+
+
+def test_repeats_of_odd_rows(spark):
+    line = " ".join(f"w{i}" for i in range(20))
+    schema = "doc_id long, text string, digest string, first int, spans string, n int"
+    rows = [(1, line), (1, line), (None, line), (2, None), (3, ""), (4, f"{line}\n{line}"), (5, "x" * 100_000 + "\n" + line)]
+    got = sorted(((r["doc_id"], r["n_removed"], r["chars_removed"], len(r["text"] or "")) for r in linededup.remove_repeats(spark.createDataFrame([(*r, "d", 1, "s", 2) for r in rows], schema)).collect()), key=repr)
+    n = len(line)
+    assert got == sorted([(1, 0, 0, n), (1, 0, 0, n), (None, 0, 0, n), (2, 0, 0, 0), (3, 0, 0, 0), (4, 2, 2 * n, 0), (5, 1, n, 100_001)], key=repr)
+    assert linededup.remove_repeats(spark.createDataFrame([], schema)).isEmpty()
 
 
 def words_in_earlier_runs(texts, n=50):

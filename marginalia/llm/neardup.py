@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.components import components
-from marginalia.llm.tables import take_columns, tidy, utf8, written
+from marginalia.llm.tables import scratch, take_columns, tidy, utf8, written
 
 BANDS, ROWS = 36, 5
 HASHES = BANDS * ROWS
@@ -153,11 +153,14 @@ def _surviving(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(tidy(prune), "a long, b long")
 
 
+def _picked(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose column is among the ids (one column), which are counted first: few are broadcast, many are joined by a shuffle."""
+    ids = written(ids.toDF(column).distinct(), "picked")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, "left_semi")
+
+
 def _sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(id, members) of the documents with these doc_ids: their full sets, sorted."""
-    ids = written(ids.distinct(), "set-ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -165,7 +168,7 @@ def _sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
             sets = [np.sort(shingles(t, words, known).view(np.int64)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "members"])
 
-    return written(take_columns(docs, "doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(tidy(members), "id long, members array<long>"), "sets")
+    return written(_picked(take_columns(docs, "doc_id", "text"), "doc_id", ids).select("doc_id", "text").mapInArrow(tidy(members), "id long, members array<long>"), "sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -284,7 +287,12 @@ def _settled(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable), kept. Written already."""
+    with scratch(docs.sparkSession):
+        return written(_found(docs, words, percent), "near-duplicates", keep=True)
+
+
+def _found(docs: DataFrame, words: int, percent: int) -> DataFrame:
     own = written(sketches(docs, words), "sketches")
     reps = own.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
@@ -298,8 +306,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     def tried(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of classes, pruned by size and signature."""
-        left = sigs.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sig").alias("sig_a"))
-        right = sigs.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sig").alias("sig_b"))
+        pairs = written(pairs, "pairs")
+        some = _picked(sigs, "rep", pairs.select(F.explode(F.array("a", "b"))))
+        left = some.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sig").alias("sig_a"))
+        right = some.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sig").alias("sig_b"))
         compatible = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
         return _surviving(pairs.join(left, "a").join(right, "b").where(compatible).select("a", "b", "sig_a", "sig_b"), percent)
 
@@ -315,7 +325,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     other = small.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
     pairs = small.withColumnRenamed("rep", "a").join(other, "key").where("a < b and comp <> comp_b").select("a", "b").distinct()
     more = _verified(written(tried(pairs), "survivors"), docs, words, percent)
-    large = _dealt(rows.where(F.col("n") > SMALL).drop("n", "leader").join(sigs, "rep"))
+    large = rows.where(F.col("n") > SMALL).drop("n", "leader")
+    large = _dealt(large.join(_picked(sigs, "rep", large.select("rep")), "rep"))
     more = written(more.union(_settled(large, docs, words, percent)), "more-links")
     if not more.isEmpty():
         links = written(links.union(more).distinct(), "all-links")

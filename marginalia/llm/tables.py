@@ -7,6 +7,8 @@ import gc
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import wraps
 
 import pyarrow as pa
@@ -71,13 +73,35 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and outlives lost executors."""
+#: Tables that the innermost scratch() will delete.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, and outlives lost executors. keep: beyond the scratch() it is written in."""
     path = fresh_path(df.sparkSession, label)
+    own = _scratch.get()
+    if own is not None and not keep:
+        own.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was written within, but for what is kept: for operators whose result is a written table itself."""
+    token = _scratch.set([])
+    try:
+        yield
+    finally:
+        paths = _scratch.get()
+        _scratch.reset(token)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in paths:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def take_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of any name can't clash with derived ones."""
     return df.select(*(df[n] for n in names))

@@ -91,3 +91,9 @@ def tool_parts(name: Column) -> list[Column]:
 def sanitized(text: Column, most: int = 50_000) -> Column:
     """Without control characters but tab and line ends, at most ``most`` characters, trimmed."""
     return F.trim(F.left(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), F.lit(most)))
+
+
+def json_array(text: Column) -> Column:
+    """The items of a text that is a JSON array, as texts; null for any other, one that only looks like an array too."""
+    trimmed = F.trim(text)
+    return F.when(trimmed.startswith("[") & trimmed.endswith("]"), F.from_json(trimmed, "array<string>"))

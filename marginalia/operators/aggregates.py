@@ -46,3 +46,10 @@ def budget(spent: Column, limit: Column) -> list[Column]:
 def ordered_text(order: str, text: str, separator: str) -> Column:
     """The texts of a group in order, joined."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), separator)
+
+
+def merged_maps(df: DataFrame, key: str, maps: str, order: list[str]) -> DataFrame:
+    """(key, map): the maps of a key in one, of equal entries the value that comes last in order. The values are compared before they are gathered."""
+    entries = df.select(key, F.struct(*order).alias("_at"), F.explode(maps).alias("_k", "_v"))
+    last = entries.groupBy(key, "_k").agg(F.max_by("_v", "_at").alias("_v"))
+    return last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias(maps))

@@ -67,6 +67,11 @@ def file_filter(df: DataFrame, extensions: Sequence[str] = (), max_depth: int |
     ]))
 
 
+def batch_results(df: DataFrame, only_successful: bool = False, only_failed: bool = False, **wanted: object) -> DataFrame:
+    """Results of a batch by success and by any of their other fields; both kinds of success at once leave none."""
+    return df.where(conjunction([F.col("success") if only_successful else None, ~F.col("success") if only_failed else None, equals(**wanted)]))
+
+
 def by_name_or_id(df: DataFrame, wanted: str, id_column: str, name_column: str) -> DataFrame:
     """The row whose id is wanted, else the one of that name, whatever its case."""
     by_id = F.col(id_column).cast("string") == wanted

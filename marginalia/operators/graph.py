@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +36,33 @@ def propagated(scores: DataFrame, edges: DataFrame, boost: float = BOOST, distan
     return own
 
 
-def seeded(df: DataFrame, seeds: list[str]) -> DataFrame:
-    """score times 1.5 for a seed's path, times 1.3 for the base name of one."""
-    names = [s.rsplit("/", 1)[-1] for s in seeds]
-    base = F.element_at(F.split("path", "/"), -1)
-    return df.withColumn("score", F.col("score") * F.when(F.col("path").isin(seeds), 1.5).when(base.isin(names), 1.3).otherwise(1.0))
+def base_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
 
+def seeded(df: DataFrame, seeds: list[Column]) -> DataFrame:
+    """score times 1.5 for a seed's path, times 1.3 for the base name of one. Seeds are values, or scalar subqueries of other tables."""
+    own = df.withColumn("_base", base_name(F.col("path")))
+    exact, named = (reduce(lambda a, b: a | b, found) for found in ([F.col("path") == s for s in seeds], [F.col("_base") == base_name(s) for s in seeds]))
+    return own.withColumn("score", F.col("score") * F.when(exact, 1.5).when(named, 1.3).otherwise(1.0)).drop("_base")
 
-def below(path: Column, folder: str) -> Column:
+
+def below(path: Column, folder: str | Column) -> Column:
     """Everything in a folder, at any depth; the empty folder is the root."""
+    if isinstance(folder, Column):
+        return path.startswith(F.concat(folder, F.lit("/")))
     return path.startswith(folder.rstrip("/") + "/") if folder.strip("/") else F.lit(True)
+
+
+def flattened(parents: DataFrame, depth: int) -> DataFrame:
+    """(id, parent, name) to (id, path, level) of a tree of at most ``depth`` levels below its roots, whose parent is null: a join a level.
+
+    Nodes deeper than that, or in a circle, have no path and are absent.
+    """
+    level = parents.where("parent is null").select("id", F.col("name").alias("path"), F.lit(0).alias("level"))
+    found = level
+    for k in range(1, depth + 1):
+        above = level.select(F.col("id").alias("parent"), F.col("path").alias("_above"))
+        level = parents.join(above, "parent").select("id", F.concat_ws("/", "_above", "name").alias("path"), F.lit(k).alias("level"))
+        found = found.union(level)
+    return found

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from zlib import crc32
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.stem import stem_words
@@ -32,6 +33,25 @@ def all_of(index: DataFrame, words: Sequence[str]) -> DataFrame:
     return any_of(index, wanted).where(F.col("matched") == len(wanted)).select("id")
 
 
+def holding(text: Column, words: Sequence[str], every: bool = True) -> Column:
+    """Whether a text holds all (or any) of the words: for searches without a stored index, in one pass without postings or a shuffle."""
+    wanted = F.array(*(F.lit(w) for w in sorted({w.lower() for w in words})))
+    return F.size(F.array_intersect(terms(text), wanted)) == F.size(wanted) if every else F.arrays_overlap(terms(text), wanted)
+
+
+def store(index: DataFrame, path: str, buckets: int = 64) -> None:
+    """Keeps postings by the bucket of their word, sorted by word within, so that a search reads the buckets and row groups of its words alone."""
+    dealt = index.withColumn("bucket", (F.crc32(F.col("word").cast("binary")) % buckets).cast("int"))
+    dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "word", "id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def stored(spark: SparkSession, path: str, words: Sequence[str], buckets: int = 64) -> DataFrame:
+    """Postings of these words from a stored index."""
+    wanted = sorted({w.lower() for w in words})
+    numbers = sorted({crc32(w.encode()) % buckets for w in wanted})
+    return spark.read.parquet(path).where(F.col("bucket").isin(numbers) & F.col("word").isin(wanted)).select("word", "id")
+
+
 def stemmed(index: DataFrame) -> DataFrame:
     """Postings of stems. Only distinct words are stemmed, which are far fewer than postings."""
     stems = index.select("word").distinct().select("word", stem_words("word").alias("stem"))

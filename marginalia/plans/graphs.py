@@ -35,11 +35,11 @@ def graph_boost(spark: SparkSession, sf: str) -> DataFrame:
     return graph.propagated(scores, edges(spark, sf), distance=2).select("node", F.round("score", 5).alias("score"))
 
 
-@query("seed_boost", with_views("SELECT path, round(size / 1000.0::DOUBLE * CASE WHEN path = (SELECT min(path) FROM notes WHERE doc_id = 5) THEN 1.5 WHEN name || '.' || extension IN ('doc_7.md', 'doc_8.txt') THEN 1.3 ELSE 1.0 END, 6) AS score FROM notes WHERE doc_id < 50"))
+@query("seed_boost", with_views("SELECT path, round(size / 1000.0::DOUBLE * CASE WHEN path = (SELECT min(path) FROM notes WHERE doc_id = 5) THEN 1.5 WHEN name || '.' || extension IN ('doc_7.md', 'doc_8.txt') THEN 1.3 ELSE 1.0 END, 6) AS score FROM notes"))
 def seed_boost(spark: SparkSession, sf: str) -> DataFrame:
-    own = notes(spark, sf).where("doc_id < 50")
-    seed = own.where("doc_id = 5").agg(F.min("path")).first()[0]
-    return graph.seeded(own.select("path", (F.col("size") / 1000.0).alias("score")), [seed, "other/doc_7.md", "other/doc_8.txt"]).select("path", F.round("score", 6).alias("score"))
+    own = notes(spark, sf)
+    seed = own.where("doc_id = 5").agg(F.min("path")).scalar()
+    return graph.seeded(own.select("path", (F.col("size") / 1000.0).alias("score")), [seed, F.lit("other/doc_7.md"), F.lit("other/doc_8.txt")]).select("path", F.round("score", 6).alias("score"))
 
 
 @query("link_normalize", with_views("SELECT doc_id, 'doc_' || doc_id AS link_key FROM notes"))
@@ -54,7 +54,7 @@ def subtree(spark: SparkSession, sf: str) -> DataFrame:
     regions = load(spark, sf, "region")
     nations = load(spark, sf, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
     files = load(spark, sf, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat_ws("/", "r_name", "n_name", "c_name").alias("path"), "c_custkey")
-    name = regions.where("r_regionkey = 1").first()["r_name"]
+    name = regions.where("r_regionkey = 1").select("r_name").scalar()
     return files.where(graph.below(F.col("path"), name))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import events as ev
 from marginalia.plans.registry import query
-from marginalia.sources.tables import activity, messages, with_views
+from marginalia.sources.tables import activity, load, messages, with_views
 from marginalia.streaming import live
 
 
@@ -50,10 +50,10 @@ def tombstone(spark: SparkSession, sf: str) -> DataFrame:
     return ev.without_deleted(own.where("type <> 'error'"), deletes, "workspace").select("workspace", "id", "type")
 
 
-@query("fragment_concat", with_views("SELECT conv_id, role, string_agg(substr(content, 1, 20), '' ORDER BY seq) AS arguments, count(*) AS fragments FROM messages GROUP BY conv_id, role"))
+@query("fragment_concat", with_views("SELECT conv_id, role, string_agg(content, '' ORDER BY seq) AS arguments, count(*) AS fragments FROM messages GROUP BY conv_id, role"))
 def fragment_concat(spark: SparkSession, sf: str) -> DataFrame:
     """Fragments of a call joined in order of arrival."""
-    parts = messages(spark, sf).select("conv_id", "role", "seq", F.left("content", F.lit(20)).alias("part"))
+    parts = messages(spark, sf).select("conv_id", "role", "seq", F.col("content").alias("part"))
     packed = parts.groupBy("conv_id", "role").agg(F.array_sort(F.collect_list(F.struct("seq", "part"))).alias("all"))
     return packed.select("conv_id", "role", F.array_join(F.transform("all", lambda x: x["part"]), "").alias("arguments"), F.size("all").cast("long").alias("fragments"))
 
@@ -95,3 +95,19 @@ def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
 def stream_keyed_fold(spark: SparkSession, sf: str) -> DataFrame:
     updates = live.drained(live.keyed_fold(live.event_stream(spark, sf)), "update", "user_id long, items long, total double, last_ms long")
     return live.newest(updates, ["user_id"]).withColumn("total", F.round("total", 4))
+
+
+@query("stream_sessions", "SELECT user_id, epoch_us(min(ts)) // 1000 AS begun, count(*) AS items FROM (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE, TRUE) THEN 1 ELSE 0 END AS n FROM events)) GROUP BY user_id, s")
+def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of a stream, parted where a user is silent for half an hour; those still open when the stream ends are drained too."""
+    updates = live.drained(live.session_counts(live.event_stream(spark, sf)), "complete", "user_id long, begun long, items long")
+    return updates.where(F.col("batch") == updates.agg(F.max("batch")).scalar()).select("user_id", "begun", "items")
+
+
+@query("stream_fragments", "SELECT conv_id || '' AS call, string_agg(text, '' ORDER BY turn) AS text, count(*) AS fragments FROM conversations GROUP BY conv_id HAVING count(*) = max(turn) + 1")
+def stream_fragments(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of a conversation as fragments of one call; a call of which a fragment is missing stays open."""
+    ends = load(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("end"))
+    rows = live.table_stream(spark, sf, "conversations").join(ends, "conv_id")
+    parts = rows.select(F.col("conv_id").cast("string").alias("call"), F.col("turn").alias("seq"), F.col("text").alias("part"), (F.col("turn") == F.col("end")).alias("last"))
+    return live.drained(live.fragment_fold(parts), "append", "call string, text string, fragments long").select("call", "text", "fragments")

@@ -35,12 +35,12 @@ def usage(spark: SparkSession, sf: str) -> DataFrame:
 USAGE = f"SELECT a.*, type AS model, k * 100 AS tokens_in, CAST(floor(value) AS BIGINT) AS tokens_out, provider, context_window, k * 100 / 1e6 * price_in + CAST(floor(value) AS BIGINT) / 1e6 * price_out AS cost FROM activity a JOIN {PRICES_SQL} ON type = model"
 
 
-@query("hierarchy_nest", "SELECT c_custkey, count(DISTINCT o_orderkey) AS sessions, coalesce(string_agg(o_orderkey || '/' || n, ',' ORDER BY o_orderkey), '') AS tree FROM (SELECT c_custkey, o_orderkey, count(l_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE c_custkey < 300 GROUP BY 1, 2) GROUP BY 1")
+@query("hierarchy_nest", "SELECT c_custkey, count(DISTINCT o_orderkey) AS sessions, coalesce(string_agg(o_orderkey || '/' || n, ',' ORDER BY o_orderkey), '') AS tree FROM (SELECT c_custkey, o_orderkey, count(l_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2) GROUP BY 1")
 def hierarchy_nest(spark: SparkSession, sf: str) -> DataFrame:
     """Workspaces with their sessions and the number of traces in each; workspaces without sessions stay."""
     lines = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(rows().alias("n"))
     orders = load(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(lines, "o_orderkey", "left").na.fill(0, ["n"])
-    tree = joins.nested(load(spark, sf, "customer").where("c_custkey < 300").select("c_custkey"), orders, "c_custkey", "o_orderkey", ["n"], "sessions")
+    tree = joins.nested(load(spark, sf, "customer").select("c_custkey"), orders, "c_custkey", "o_orderkey", ["n"], "sessions")
     text = F.array_join(F.transform("sessions", lambda s: F.concat_ws("/", s["o_orderkey"].cast("string"), s["n"].cast("string"))), ",")
     return tree.select("c_custkey", F.size("sessions").cast("long").alias("sessions"), text.alias("tree"))
 
@@ -74,10 +74,10 @@ def link_resolve(spark: SparkSession, sf: str) -> DataFrame:
     return joins.resolve_links(own.select(F.col("path").alias("src"), target.alias("link")), own.select("path", "name"))
 
 
-@query("fuzzy_theta", "SELECT p_partkey, s_suppkey FROM (SELECT p_partkey, lower(replace(p_brand, '#', '')) AS a FROM part WHERE p_partkey < 500) JOIN (SELECT s_suppkey, 'brand' || s_nationkey AS b FROM supplier) ON contains(a, b) OR contains(b, a)")
+@query("fuzzy_theta", "SELECT p_partkey, s_suppkey FROM (SELECT p_partkey, lower(replace(p_brand, '#', '')) AS a FROM part) JOIN (SELECT s_suppkey, 'brand' || s_nationkey AS b FROM supplier) ON contains(a, b) OR contains(b, a)")
 def fuzzy_theta(spark: SparkSession, sf: str) -> DataFrame:
     """Names that hold one another. Equal names meet once: the join is on distinct names, which are few, and then back to rows."""
-    parts = load(spark, sf, "part").where("p_partkey < 500").select("p_partkey", F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("a"))
+    parts = load(spark, sf, "part").select("p_partkey", F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("a"))
     suppliers = load(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("brand"), F.col("s_nationkey").cast("string")).alias("b"))
     grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 4), lambda i: F.substring(F.col(c), i, F.lit(5)))))
     # One name within another shares its first five letters, so candidates come from an equi-join.
@@ -110,9 +110,9 @@ def db_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("next_sequence", "SELECT c_custkey, coalesce(max(n), -1) + 1 AS next_sequence FROM customer LEFT JOIN (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders) ON o_custkey = c_custkey GROUP BY c_custkey")
 def next_sequence(spark: SparkSession, sf: str) -> DataFrame:
-    numbered = load(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("n"))
-    top = numbered.groupBy("c_custkey").agg(F.max("n").alias("top"))
-    return load(spark, sf, "customer").select("c_custkey").join(top, "c_custkey", "left").select("c_custkey", (F.coalesce("top", F.lit(-1)) + 1).cast("long").alias("next_sequence"))
+    """Orders are numbered from 0 within a customer, so the next number is how many there are."""
+    held = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(rows().alias("n"))
+    return load(spark, sf, "customer").select("c_custkey").join(held, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("next_sequence"))
 
 
 @query("conv_rollup", with_views("SELECT conv_id, count(DISTINCT id) AS message_count, max(ms) AS updated FROM messages GROUP BY conv_id"))

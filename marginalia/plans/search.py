@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
 from marginalia.operators import index
+from marginalia.operators.ranking import top_per
 from marginalia.plans.ranking import SCORED, TERMS_SQL, scored
 from marginalia.plans.registry import query
 from marginalia.plans.relations import TAG_ROWS, tag_rows
 from marginalia.sources.tables import DAY_MS, NOW_MS, activity, load, messages, notes, with_views
+from marginalia.streaming import live
 
 QUERY = "the and ingthe"
 
@@ -160,8 +162,16 @@ def consolidate(spark: SparkSession, sf: str) -> DataFrame:
     """One row a file: best score, methods, and three snippets. Distinct snippets are found before they are gathered."""
     own = scored(spark, sf).withColumn("snippet", F.lower(F.trim(F.concat_ws(" ", "type", "session"))))
     once = own.groupBy("workspace", "snippet").agg(F.max("score").alias("score"), F.first("type").alias("type"), F.first("session").alias("session"))
-    files = once.groupBy("workspace").agg(F.max("score").alias("score"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("methods"), F.size(F.collect_set("session")).cast("long").alias("sessions"), F.array_sort(F.collect_list("snippet")).alias("all"))
-    return files.select("workspace", "score", "methods", "sessions", F.array_join(F.slice("all", 1, 3), " ... ").alias("snippets"))
+    files = once.groupBy("workspace").agg(F.max("score").alias("score"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("methods"), F.count_distinct("session").alias("sessions"))
+    first = top_per(once, "workspace", [F.col("snippet")], 3).groupBy("workspace").agg(F.array_join(F.array_sort(F.collect_list("snippet")), " ... ").alias("snippets"))
+    return files.join(first, "workspace").select("workspace", "score", "methods", "sessions", "snippets")
+
+
+@query("consolidation_stats", with_views(f"SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS results, max(n) AS most, round(avg(n), 6) AS mean, max(m) AS methods FROM (SELECT workspace, count(*) AS n, count(DISTINCT type) AS m FROM ({SCORED}) GROUP BY workspace)"))
+def consolidation_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Results per file, and the most methods that found one."""
+    files = scored(spark, sf).groupBy("workspace").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("type").alias("m"))
+    return files.agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("results"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"), F.max("m").alias("methods"))
 
 
 @query("bold_terms", with_views("SELECT id, regexp_replace(content, '(er)', '**\\1**', 'gi') AS bolded FROM messages"))
@@ -178,9 +188,7 @@ def time_buckets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fts_and", with_views(f"SELECT path, modified FROM notes WHERE doc_id IN (SELECT id FROM ({TERMS_SQL}) WHERE word IN ('the', 'and', 'with') GROUP BY id HAVING count(*) = 3) ORDER BY modified DESC, path LIMIT 50"))
 def fts_and(spark: SparkSession, sf: str) -> DataFrame:
-    own = notes(spark, sf)
-    found = index.all_of(index.postings(own, "doc_id", "content"), ["the", "and", "with"])
-    return own.join(found, F.col("doc_id") == F.col("id"), "left_semi").orderBy(F.desc("modified"), "path").limit(50).select("path", "modified")
+    return notes(spark, sf).where(index.holding(F.col("content"), ["the", "and", "with"])).orderBy(F.desc("modified"), "path").limit(50).select("path", "modified")
 
 
 _MESSAGE_TERMS = TERMS_SQL.replace("doc_id AS id, lang FROM notes", "id, conv_id FROM messages")
@@ -188,12 +196,20 @@ _MESSAGE_TERMS = TERMS_SQL.replace("doc_id AS id, lang FROM notes", "id, conv_id
 
 @query("fts_messages", with_views(f"SELECT id FROM ({_MESSAGE_TERMS}) WHERE word IN ('the', 'and') GROUP BY id HAVING count(*) = 2"))
 def fts_messages(spark: SparkSession, sf: str) -> DataFrame:
-    return index.all_of(index.postings(messages(spark, sf), "id", "content"), ["the", "and"])
+    return messages(spark, sf).where(index.holding(F.col("content"), ["the", "and"])).select("id")
 
 
 @query("fts_scoped", with_views(f"SELECT id FROM ({_MESSAGE_TERMS}) WHERE conv_id % 7 = 3 AND word IN ('the', 'and') GROUP BY id HAVING count(*) = 2"))
 def fts_scoped(spark: SparkSession, sf: str) -> DataFrame:
-    return index.all_of(index.postings(messages(spark, sf).where("conv_id % 7 = 3"), "id", "content"), ["the", "and"])
+    return messages(spark, sf).where("conv_id % 7 = 3").where(index.holding(F.col("content"), ["the", "and"])).select("id")
+
+
+@query("fts_stored", with_views(f"SELECT id FROM ({TERMS_SQL}) WHERE word IN ('the', 'and') GROUP BY id HAVING count(*) = 2"))
+def fts_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from postings that are kept: only the buckets of the two words are read."""
+    path = live.shared_dir(spark)
+    index.store(index.postings(notes(spark, sf), "doc_id", "content"), path)
+    return index.all_of(index.stored(spark, path, ["the", "and"]), ["the", "and"])
 
 
 @query("fts_stemmed")

@@ -16,13 +16,14 @@ GLOB = "*.{jsonl,json}"
 def parse_lines(lines: DataFrame, schema: str = SCHEMA) -> DataFrame:
     """Lines (value) to events; blank and malformed lines, and lines without an id, are skipped."""
     event = F.from_json(F.trim("value"), f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return lines.where(F.trim("value") != "").select(event.alias("e")).where("e._bad is null and e.id is not null").select("e.*").drop("_bad")
+    more = [c for c in lines.columns if c != "value"]
+    return lines.where(F.trim("value") != "").select(event.alias("e"), *more).where("e._bad is null and e.id is not null").select("e.*", *more).drop("_bad")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Every event of the JSON lines files below path, with the file it came from. A missing folder is an error of Spark's, an empty one has no events."""
+    """Every event of the JSON lines files below path, with the ``file`` it came from. A missing folder is an error of Spark's, an empty one has no events."""
     lines = spark.read.option("pathGlobFilter", GLOB).option("recursiveFileLookup", "true").text(path)
-    return parse_lines(lines)
+    return parse_lines(lines.select("value", F.col("_metadata.file_path").alias("file")))
 
 
 def file_stats(spark: SparkSession, path: str) -> DataFrame:
@@ -32,11 +33,27 @@ def file_stats(spark: SparkSession, path: str) -> DataFrame:
     return files.join(lines.groupBy("path").agg(F.count(F.lit(1)).alias("events")), "path", "left").na.fill(0, ["events"])
 
 
-def append_log(events: DataFrame, path: str) -> None:
-    """Adds events as JSON lines; files are added, none is rewritten."""
+def append_log(events: DataFrame, path: str, device: str | None = None) -> None:
+    """Adds events as JSON lines; files are added, none is rewritten. device: stamps events that have no id, device or time with a new id, this one and now."""
+    if device is not None:
+        held = lambda c, kind: F.col(c) if c in events.columns else F.lit(None).cast(kind)
+        events = events.withColumns({
+            "id": F.coalesce(held("id", "string"), F.uuid()), "deviceId": F.coalesce(held("deviceId", "string"), F.lit(device)), "timestamp": F.coalesce(held("timestamp", "long"), F.unix_millis(F.current_timestamp())),
+        })
     events.write.mode("append").json(path)
 
 
+def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Whole-file JSON documents (an object or an array a file), as older stores leave them, with their file; one that can't be read has null fields."""
+    rows = spark.read.schema(schema).option("multiLine", "true").option("pathGlobFilter", "*.json").json(path)
+    return rows.withColumn("file", F.col("_metadata.file_path"))
+
+
+def write_documents(df: DataFrame, key: str, path: str) -> None:
+    """A JSON document a row, in a folder of its key."""
+    df.withColumn("_key", F.col(key)).write.mode("overwrite").partitionBy("_key").json(path)
+
+
 def since(events: DataFrame, ms: int) -> DataFrame:
     return events.where(F.col("ms") > ms)
 

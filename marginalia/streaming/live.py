@@ -7,7 +7,6 @@ checkpoint; results go to files in the folder that the cluster shares, one set f
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,15 +19,21 @@ WATERMARK = "1 day"
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share, which the session names in spark.checkpoint.dir."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/') if named else 'file://' + tempfile.mkdtemp(prefix='spark-live-')}/live-{uuid.uuid4().hex}"
+    if not named:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{named.rstrip('/')}/live-{uuid.uuid4().hex}"
+
+
+def table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream with an event time that watermarks accept."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drained(stream: DataFrame, mode: str, schema: str, folder: str | None = None) -> DataFrame:
@@ -64,14 +69,27 @@ def session_counts(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 def keyed_fold(stream: DataFrame) -> DataFrame:
-    """(user_id, items, total, last_ms): an account per user, kept as state from batch to batch."""
+    """(user_id, items, total, last_ms): an account per user, which Spark keeps as state from batch to batch."""
+    return stream.groupBy("user_id").agg(F.count(F.lit(1)).alias("items"), F.sum("value").alias("total"), F.max(F.unix_millis("ts")).alias("last_ms"))
+
+
+def fragment_fold(fragments: DataFrame) -> DataFrame:
+    """(call, seq, part, last) to (call, text, fragments): the parts of each call joined in order once the last and all before it are there.
+
+    Fragments may come in any order and batch, and more than once; what is waiting is a call's own parts, and goes when the call is complete.
+    """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items, total, last = state.get if state.exists else (0, 0.0, 0)
+        numbers, parts, end = state.get if state.exists else ([], [], -1)
+        held = dict(zip(numbers, parts, strict=True))
         for frame in frames:
-            items, total, last = items + len(frame), total + float(frame["value"].sum()), max(last, int(frame["ms"].max()))
-        state.update((items, total, last))
-        yield pd.DataFrame({"user_id": [key[0]], "items": [items], "total": [total], "last_ms": [last]})
-
-    rows = stream.select("user_id", "value", F.unix_millis("ts").alias("ms"))
-    return rows.groupBy("user_id").applyInPandasWithState(fold, "user_id long, items long, total double, last_ms long", "items long, total double, last_ms long", "update", GroupStateTimeout.NoTimeout)
+            held.update(zip(frame["seq"].tolist(), frame["part"].tolist(), strict=True))
+            end = max(end, *frame.loc[frame["last"], "seq"].tolist(), -1)
+        if end >= 0 and len(held) == end + 1:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"call": [key[0]], "text": ["".join(held[k] or "" for k in sorted(held))], "fragments": [end + 1]})
+        else:
+            state.update(([int(k) for k in held], list(held.values()), int(end)))
+
+    return fragments.groupBy("call").applyInPandasWithState(fold, "call string, text string, fragments long", "numbers array<bigint>, parts array<string>, end bigint", "append", GroupStateTimeout.NoTimeout)

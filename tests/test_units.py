@@ -161,3 +161,66 @@ def test_stream_resumes_where_it_stopped(spark, tmp_path):
     spark.createDataFrame([(1, 5.0)], "user_id long, value double").withColumn("ts", F.timestamp_seconds(F.lit(50))).write.parquet(f"{tmp_path}/in/b")
     again = live.newest(live.drained(live.keyed_fold(stream()), "update", columns, f"{tmp_path}/run"), ["user_id"])
     assert rows(again) == [(1, 2, 7.0, 100_000), (2, 1, 1.0, 100_000)]
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+    return row[-1]
+
+
+def test_place_of_the_best_match_against_all_places():
+    import random
+
+    from marginalia.functions.locate import located
+
+    rng = random.Random(3)
+    for _ in range(150):
+        text, pattern = "".join(rng.choice("abc ") for _ in range(rng.randrange(40))), "".join(rng.choice("abc ") for _ in range(rng.randrange(1, 7)))
+        scores = [(min(edit_distance(pattern, text[k:e]) for e in range(k, len(text) + 1)) / len(pattern) + k / 1000, k) for k in range(len(text))]
+        best = min((s for s in scores if s[0] <= 0.4), default=(0, None))
+        assert located(text, pattern, 0.4) == best[1], (text, pattern)
+    assert located("x" * 2000 + "abc", "abc", 0.5) is None and located(None, "a", 1.0) is None and located("abc", "", 1.0) is None
+
+
+def test_fragments_in_any_order_and_batch(spark, tmp_path):
+    from marginalia.streaming import live
+
+    rows = [[("a", 2, "C", True), ("b", 0, "x", False)], [("a", 0, "A", False), ("a", 2, "C", True), ("c", 0, None, True)], [("a", 1, "B", False)]]
+    schema = "call string, seq long, part string, last boolean"
+    for k, batch in enumerate(rows):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = live.drained(live.fragment_fold(stream), "append", "call string, text string, fragments long").collect()
+    assert sorted((r["call"], r["text"], r["fragments"]) for r in got) == [("a", "ABC", 3), ("c", "", 1)]
+
+
+def test_log_files_are_named_and_events_stamped(spark, tmp_path):
+    from marginalia.sources import eventlog
+
+    path = str(tmp_path / "log")
+    eventlog.append_log(spark.createDataFrame([("message",)], "type string"), path, device="d1")
+    got = eventlog.read_log(spark, path).collect()
+    assert len(got) == 1 and got[0]["deviceId"] == "d1" and got[0]["id"] and got[0]["timestamp"] > 0 and got[0]["file"].startswith("file:")
+
+
+def test_later_entries_win_and_broken_arrays_stay_texts(spark):
+    from pyspark.sql import functions as F
+
+    from marginalia.functions.scalars import json_array
+    from marginalia.operators.aggregates import merged_maps
+
+    rows = spark.createDataFrame([("x", 2, {"a": "new"}), ("x", 1, {"a": "old", "b": None}), ("y", 1, {}), ("z", 1, None)], "k string, t int, m map<string, string>")
+    assert {r["k"]: r["m"] for r in merged_maps(rows, "k", "m", ["t"]).collect()} == {"x": {"a": "new", "b": None}}
+    texts = spark.createDataFrame([(x,) for x in ("[1, \"b\"]", " [] ", "[1", "[1,]x]", "text", None)], "t string")
+    assert [r[0] for r in texts.select(json_array(F.col("t"))).collect()] == [["1", "b"], [], None, None, None, None]
+
+
+def test_trees_without_circles(spark):
+    from marginalia.operators.graph import flattened
+
+    nodes = spark.createDataFrame([(1, None, "r"), (2, 1, "a"), (3, 2, "b"), (4, 5, "c"), (5, 4, "d"), (6, 3, "deep")], "id int, parent int, name string")
+    assert sorted((r["id"], r["path"], r["level"]) for r in flattened(nodes, 2).collect()) == [(1, "r", 0), (2, "r/a", 1), (3, "r/a/b", 2)]

@@ -176,6 +176,75 @@ def test_each_template_finds_itself():
         assert [(g[0], g[1]) for g in got] == [(name, 1.0)]
 
 
+def test_kindred_licenses_are_told_apart():
+    index = licenses.Index(licenses.TEMPLATES)
+    look = lambda t: [(g[0], t[g[3] : g[4]]) for g in licenses.findings(t, index, licenses.WordHashes(), 0.75)]
+    assert look("\u0130\u0130 x y. Released under the MIT License. tail") == [("MIT-line", "Released under the MIT License")]
+    assert look("so it is licensed under CC BY-NC-ND 4.0, says the author") == [("CC-BY-NC-ND-4.0-short", "licensed under CC BY-NC-ND 4.0")]
+    assert look("This work is licensed under the GNU General Public License, version 2.")[0][0] == "GPL-2.0-line"
+    assert look("This work is licensed under the GNU General Public License, version 1.") == []
+    lesser = licenses.TEMPLATES["GPL-3.0"].replace("GNU General", "GNU Lesser General")
+    assert [n for n, _ in look(lesser)] == ["LGPL-3.0"]
+
+
+def full_alignment(template, words):
+    """(matched, first, end) of the best local alignment without a band: a match 1, a word left out or exchanged -0.5."""
+    above, best = [(0.0, 0, j) for j in range(len(words) + 1)], (0.0, 0, 0, 0)
+    for want in template:
+        row = [(0.0, 0, 0)]
+        for j, w in enumerate(words):
+            d, u, left = above[j], above[j + 1], row[j]
+            cell = (d[0] + 1, d[1] + 1, d[2]) if w == want else max(((x[0] - 0.5, *x[1:]) for x in (d, u, left)), key=lambda x: x[0])
+            row.append(cell if cell[0] > 0 else (0.0, 0, j + 1))
+            if row[-1][0] > best[0]:
+                best = (row[-1][0], row[-1][1], row[-1][2], j + 1)
+        above = row
+    return best[1:]
+
+
+def test_licenses_of_a_whole_table_as_full_alignment_has_them(spark, sf):
+    """Every document and template that can match by the words it holds is aligned in full; what reaches the limit is found, or a better match in its place."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = {}
+    for r in licenses.scan(docs).collect():
+        found.setdefault(r["doc_id"], []).append(r)
+    index = licenses.Index(licenses.TEMPLATES)
+    n = 0
+    for r in docs.collect():
+        tokens = list(licenses.TOKEN.finditer(r["text"] or ""))
+        words = [m[0].lower() for m in tokens]
+        held = set(words)
+        for name, template in index.words.items():
+            if sum(w in held for w in template) < 0.75 * len(template):
+                continue
+            matched, first, end = full_alignment(template, words)
+            if matched < 0.75 * len(template) or licenses.telling(template) != licenses.telling(words[first:end], len(template)):
+                continue
+            n += 1
+            start, stop = tokens[first].start(), tokens[end - 1].end()
+            assert any(f["start"] < stop and start < f["end"] and f["matched_words"] >= matched for f in found.get(r["doc_id"], [])), (r["doc_id"], name)
+    assert n >= 3 and sum(map(len, found.values())) >= 3
+
+
+def test_licenses_of_odd_rows(spark):
+    schema = "doc_id long, text string, license string, start int, coverage string"
+    line = "Released under the MIT License."
+    rows = [(1, line), (1, line), (None, line), (2, None), (3, ""), (4, "word " * 100_000 + line)]
+    got = sorted(((r["doc_id"] or 0, r["license"], r["start"]) for r in licenses.scan(spark.createDataFrame([(*r, "x", 1, "y") for r in rows], schema)).collect()))
+    assert got == [(0, "MIT-line", 0), (1, "MIT-line", 0), (1, "MIT-line", 0), (4, "MIT-line", 500_000)]
+    assert licenses.scan(spark.createDataFrame([], schema)).isEmpty()
+
+
+def test_quality_of_odd_rows(spark):
+    good = " ".join(f"Word{i} goes{i} on and on{i} here, as{i} it should{i}." for i in range(20))
+    schema = "doc_id long, text string, kept string, n_words int, clean_text string"
+    docs = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in [(1, good), (1, good), (None, good), (2, None), (3, ""), (4, "a " * 100_000)]], schema)
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["kept"]) for r in quality.quality(docs, with_text=True).collect())
+    assert got == [(0, 180, True), (1, 180, True), (1, 180, True), (2, 0, False), (3, 0, False), (4, 100_000, False)]
+    assert sorted((r["doc_id"] or 0, r["kept"]) for r in quality.keep_good(docs).collect()) == [(0, "x"), (1, "x"), (1, "x")]
+    assert quality.quality(spark.createDataFrame([], schema)).isEmpty() and quality.keep_good(spark.createDataFrame([], schema)).isEmpty()
+
+
 def test_repeats_go_and_offsets_stay(spark):
     passage = "This passage of rather many words stands in several documents. It goes on for another sentence with some more words, and ends."
     texts = {5: f"Own text one of five. {passage} Tail.", 2: f"{passage}\nOther own text with a few more words in it than eight.", 9: passage, 11: "short\nshort\nshort", 12: None, 13: ""}

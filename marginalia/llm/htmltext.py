@@ -30,7 +30,8 @@ from marginalia.llm.tables import take_columns, tidy
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-NO_TEXT = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "xmp", "canvas", "audio", "video", "select"}
+#: Elements whose content is no text of the page: code, a document of its own, or a part of a form. All others' content is text, formulas and what stands in for a picture included.
+NO_TEXT = {"script", "style", "template", "textarea", "title", "iframe", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "button", "center", "caption", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure",
@@ -48,8 +49,8 @@ BY_WORD = {
     for role, words in {
         "nav": "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc skip sitemap",
         "header": "header masthead topbar toolbar logo branding banner",
-        "footer": "footer foot colophon copyright legal contentinfo",
-        "side": "sidebar side aside widget widgets related recommended recommendations trending popular rail complementary",
+        "footer": "footer foot colophon copyright contentinfo",
+        "side": "sidebar side aside widget widgets recommended recommendations trending popular rail complementary",
         "notice": "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall disclaimer",
         "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion adsense dfp",
         "form": "form login search contactform",

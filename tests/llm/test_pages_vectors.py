@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import json
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -115,6 +116,77 @@ def test_classifier_on_pages_not_fitted():
     assert right / total > 0.97
 
 
+class Article(HTMLParser):
+    """Blocks of the article element by the parser of the standard library, adverts, scripts and styles left out."""
+
+    BLOCKS = ("p", "h1", "h2", "h3", "h4", "li", "ul", "ol", "div", "article", "blockquote", "pre", "table", "tr", "td", "th", "section")
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.within, self.quiet, self.open, self.now, self.out = 0, 0, [], [], []
+
+    def cut(self):
+        text = " ".join("".join(self.now).split())
+        self.out += [text] * bool(text)
+        self.now = []
+
+    def handle_starttag(self, tag, attributes):
+        if tag in self.BLOCKS:
+            self.cut()
+            hidden = "ad" in (dict(attributes).get("class") or "").split()
+            self.open.append((tag, hidden))
+            self.quiet += hidden
+            self.within += tag == "article"
+        elif tag == "br":
+            self.handle_data(" ")
+        elif tag in ("script", "style"):
+            self.quiet += 1
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.quiet -= 1
+        if tag in self.BLOCKS:
+            self.cut()
+            while self.open:
+                name, hidden = self.open.pop()
+                self.quiet -= hidden
+                self.within -= name == "article"
+                if name == tag:
+                    break
+
+    def handle_data(self, data):
+        if self.within and not self.quiet:
+            self.now.append(data)
+
+
+def test_pages_of_a_whole_table_by_another_parser(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        reader = Article()
+        reader.feed(r["html"] or "")
+        reader.close()
+        want[r["page_id"]] = (r["url"], "\n".join(reader.out))
+    got = by_id(htmltext.extract(pages), "page_id")
+    assert {i: (r["url"], r["text"]) for i, r in got.items()} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values()) and any(t for _, t in want.values())
+
+
+def test_formulas_and_stand_ins_are_text():
+    page = """<html><body><nav><a href=/>Home</a></nav><article><h1>On numbers</h1><p>Whatever is said of it uses <math><mi>x</mi></math> in most of the places.</p>
+      <section class="legal related"><p>This part of the article tells what the law has to say of it.</p></section><noscript><p>The picture would be seen here, were it shown.</p></noscript></article></body></html>"""
+    assert text_of(page) == "On numbers\nWhatever is said of it uses x in most of the places.\nThis part of the article tells what the law has to say of it.\nThe picture would be seen here, were it shown."
+
+
+def test_archives_of_odd_rows(spark):
+    long = "<p>long enough to be a payload that others may revisit</p>" * 3
+    schema = "page_id long, url string, html string, digest string, refers_to long, payload_bytes int, n int"
+    rows = [(None, "u", long), (5, None, long), (5, None, long), (7, "u", long), (8, "u", None), (8, "u", None), (9, "u", "x" * 300_000)]
+    got = sorted(((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.roundtrip(spark.createDataFrame([(*r, "d", 1, 2, 3) for r in rows], schema)).collect()), key=repr)
+    n = len(long)
+    assert got == sorted([(0, n, "revisit", 5), (5, n, "response", None), (5, n, "response", None), (7, n, "revisit", 5), (8, 0, "response", None), (8, 0, "response", None), (9, 300_000, "response", None)], key=repr)
+
+
 def test_pages_as_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>" + "word " * 50000 + ".</p>"), (None, "u", "x")], PAGES).selectExpr("*", "1 as text", "2 as n_chars")
     got = by_id(htmltext.extract(pages), "page_id")

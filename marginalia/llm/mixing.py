@@ -7,21 +7,29 @@ source's blocks go to its shards the same way by shard size, so every shard has
 documents stand in a seeded order, the words form a ring of equal blocks, and the quota takes whole turns of the ring
 and a run of blocks from a seeded start. Only documents at the two ends of a run are cut.
 
-Shards hold about ``shard_docs`` documents, so no window sees more than that of a hot source's rows; what is gathered
-in one place is a row per source, or two or three rows per shard of one source.
+Documents are dealt and ordered by digests of id and text. Shards hold about ``shard_docs`` documents, so no window sees more
+than that of a hot source's rows; what is gathered in one place is a row per source, or two or three rows per shard of one
+source. So sources may be as many as one task sorts, some ten million.
 
+Rows equal in id and text share a shard: a shard of very many of them is one task's sort, which spills but doesn't hold them.
 Null text counts as empty (size 0, nothing taken); repeated rows are mixed as rows of their own; an empty table gives
 an empty result; a table without words has target 0 everywhere.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.tables import take_columns, written
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of so many sources at most are broadcast; with more, documents meet their source by a shuffled join.
+BROADCAST_SOURCES = 10_000
+
+
+def _number(hexadecimal: Column) -> Column:
+    return F.conv(hexadecimal, 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, max_repeats: int = 3) -> DataFrame:
@@ -66,22 +74,26 @@ def mix(docs: DataFrame, block_words: int = 16, max_repeats: int = 3, shard_docs
     row: a column that differs in every row; it comes out again, and orders rows of equal doc_id and size.
     """
     key = [row] if row else []
-    sized = take_columns(docs, "doc_id", "text", "source", *key).select(*key, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    mark = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id"), F.md5("text")))
+    sized = take_columns(docs, "doc_id", "text", "source", *key).select(*key, "doc_id", "source", mark.alias("mark"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = written(sized, "mix-sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
     sources = targets(per_source.select("source", "source_size"), max_repeats)
     sources = sources.join(per_source.select(F.col("source").alias("_s"), "source_docs"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     sources = sources.withColumns({
         "one": F.lit(1), "missing": F.col("source").isNull(), "name": F.coalesce("source", F.lit("")), "shards": F.ceil(F.col("source_docs") / shard_docs),
-        "cap": F.ceil(max_repeats * F.col("source_size") / block_words), "blocks": F.round(F.sum("target").over(Window.partitionBy()) / block_words),
+        "cap": F.ceil(max_repeats * F.col("source_size") / block_words), "blocks": F.round(F.round(F.sum("target").over(Window.partitionBy()) / block_words, 6)),
     })
     sources = written(sources, "mix-sources")
     quotas = sainte_lague(sources, ["one"], ["missing", "name"], "target", "blocks", "cap").withColumnRenamed("quota", "source_quota").drop("one")
     known = sources.select("missing", "name", "source_size", "target", "shards").join(quotas, ["missing", "name"])
+    few = sources.count() <= BROADCAST_SOURCES
 
-    keyed = sized.select(*key, "doc_id", "size", F.col("source").isNull().alias("missing"), F.coalesce("source", F.lit("")).alias("name"))
-    placed = keyed.join(known, ["missing", "name"]).withColumn("order", F.xxhash64(F.lit(seed), "doc_id"))
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards")))
+    keyed = sized.select(*key, "doc_id", "size", "mark", F.col("source").isNull().alias("missing"), F.coalesce("source", F.lit("")).alias("name"))
+    placed = keyed.join(F.broadcast(known) if few else known, ["missing", "name"])
+    placed = placed.withColumn("shard", _number(F.substring("mark", 17, 15)) % F.col("shards"))
+    if not few:  # else the windows below would take over the join's partitions, one a source
+        placed = placed.repartition("missing", "name", "shard")
     shards = placed.groupBy("missing", "name", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
     shards = shards.withColumn("ring", F.greatest(F.lit(1), F.round(F.col("shard_size") / block_words)).cast("long"))
     shards = shards.withColumn("cap", F.when(F.col("shard_size") > 0, max_repeats * F.col("ring")).otherwise(0))
@@ -89,9 +101,9 @@ def mix(docs: DataFrame, block_words: int = 16, max_repeats: int = 3, shard_docs
     shards = shards.drop("source_quota", "cap").join(dealt, ["missing", "name", "shard"])
 
     inside = Window.partitionBy("missing", "name", "shard")
-    placed = placed.withColumn("end", F.sum("size").over(inside.orderBy("order", "doc_id", "size", *key).rowsBetween(Window.unboundedPreceding, 0)))
+    placed = placed.withColumn("end", F.sum("size").over(inside.orderBy("mark", "doc_id", "size", *key).rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.withColumn("start", F.col("end") - F.col("size")).join(shards, ["missing", "name", "shard"])
-    placed = placed.withColumns({"copies": F.expr("quota div ring"), "extra": F.expr("quota % ring"), "first": F.pmod(F.xxhash64(F.lit(seed + 2), "missing", "name", "shard"), F.col("ring"))})
+    placed = placed.withColumns({"copies": F.expr("quota div ring"), "extra": F.expr("quota % ring"), "first": _number(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "missing", "name", "shard")), 1, 15)) % F.col("ring")})
     edge = lambda k: f"(({k}) * shard_size div ring)"  # noqa: E731  the word at which block k of the ring begins
     placed = placed.withColumns({
         "run_from": F.expr(edge("first")), "run_to": F.expr(edge("least(first + extra, ring)")), "wrap_to": F.expr(edge("greatest(first + extra - ring, 0)")),

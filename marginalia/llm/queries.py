@@ -83,4 +83,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_main_text": op10_html_main_text,
 }
 
-ORACLE: dict[str, str] = {"op1_minhash_near_dedup": sql.OP1, "op4_warc": sql.OP4, "op8_quality_rules": sql.OP8}
+ORACLE: dict[str, str] = {"op1_minhash_near_dedup": sql.OP1, "op3_source_mix": sql.OP3, "op4_warc": sql.OP4, "op8_quality_rules": sql.OP8}

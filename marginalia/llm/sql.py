@@ -46,3 +46,23 @@ f AS (SELECT ws.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS w
   coalesce(lost, 0)::BIGINT AS n_lost_words, coalesce(s, 0) AS n_symbol_lines, coalesce(c, 0) AS n_shout_lines, coalesce(b, 0) AS n_boilerplate_lines, coalesce(v, 0) AS n_nav_lines FROM ws LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_lost_words <= 50 * n_words AS kept FROM f
 """
+
+#: Every seat of every source and shard is ranked, where the operator ranks only those near the common divisor.
+OP3 = rf"""
+WITH s AS (SELECT doc_id, source, len({WORDS}) AS size, md5(concat_ws(':', 7, doc_id, md5(text))) AS mark FROM documents),
+per AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs FROM s GROUP BY source),
+weighed AS (SELECT *, ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::DOUBLE AS w FROM per),
+before AS (SELECT *, sum(source_size) OVER () AS total, coalesce(sum(source_size) OVER o, 0) AS size_before, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS w_left FROM weighed WINDOW o AS (ORDER BY 3 * source_size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+capped AS (SELECT *, (total - 3 * size_before) / w_left * w > 3 * source_size AS capped FROM before),
+t AS (SELECT source, source_size, docs, CASE WHEN capped THEN 3.0::DOUBLE * source_size ELSE (total - coalesce(sum(CASE WHEN capped THEN 3 * source_size END) OVER (), 0)) / sum(CASE WHEN NOT capped THEN w END) OVER () * w END AS target FROM capped),
+seat AS (SELECT source, target, unnest(range(ceil(3 * source_size / 16)::BIGINT)) AS k FROM t),
+won AS (SELECT source, count(*) AS quota FROM (SELECT source FROM seat ORDER BY target / (2 * k + 1) DESC, source IS NULL, source LIMIT (SELECT round(round(sum(target) / 16, 6))::BIGINT FROM t)) GROUP BY source),
+placed AS (SELECT s.*, source_size, target, coalesce(quota, 0) AS quota, ('0x' || substr(mark, 17, 15))::BIGINT % ceil(docs / 1000)::BIGINT AS shard FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN won ON s.source IS NOT DISTINCT FROM won.source),
+shard AS (SELECT source, shard, any_value(quota) AS source_quota, sum(size)::BIGINT AS shard_size, greatest(1, round(sum(size) / 16))::BIGINT AS ring FROM placed GROUP BY source, shard),
+place AS (SELECT source, shard, source_quota, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * k + 1) DESC, shard) AS r FROM (SELECT *, unnest(range(CASE WHEN shard_size > 0 THEN 3 * ring ELSE 0 END)) AS k FROM shard)),
+held AS (SELECT source, shard, count(*) AS q FROM place WHERE r <= source_quota GROUP BY source, shard),
+turn AS (SELECT shard.*, coalesce(q, 0) // ring AS copies, coalesce(q, 0) % ring AS extra, ('0x' || substr(md5(concat_ws(':', 7, (shard.source IS NULL)::VARCHAR, coalesce(shard.source, ''), shard.shard)), 1, 15))::BIGINT % ring AS first FROM shard LEFT JOIN held ON shard.source IS NOT DISTINCT FROM held.source AND shard.shard = held.shard),
+run AS (SELECT p.*, copies, first * shard_size // ring AS a, least(first + extra, ring) * shard_size // ring AS b, greatest(first + extra - ring, 0) * shard_size // ring AS c,
+  (sum(size) OVER (PARTITION BY p.source, p.shard ORDER BY mark, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS e FROM placed p JOIN turn ON p.source IS NOT DISTINCT FROM turn.source AND p.shard = turn.shard)
+SELECT doc_id, size, source_size, target, copies * size + greatest(0, least(e, b) - greatest(e - size, a)) + greatest(0, least(e, c) - (e - size)) AS taken, source, shard FROM run
+"""

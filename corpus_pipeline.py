@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.mixing import apply_mix
-from marginalia.llm.neardup import near_duplicates
+from marginalia.llm.neardup import BROADCAST_IDS, near_duplicates
 from marginalia.llm.packing import pack_documents
 from marginalia.llm.pii import redact
 from marginalia.llm.quality import keep_good
@@ -34,11 +34,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A row of null id goes where a row with an id, or another row of null id, has the same text.
     """
     bound_batches(spark)
-    found = near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_n"))
-    rows = docs.join(written(found, "kept-ids"), docs["doc_id"].eqNullSafe(F.col("_kept"))).drop("_kept")
-    apart = rows.where("doc_id is not null and _n = 1").select(*docs.columns)
+    # Ids that go or have several rows are set apart: fewer than those that stay, so up to a stated number they are broadcast and no text is shuffled.
+    found = near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("_stays"), F.count(F.lit(1)).alias("_n")).where("doc_id is not null and (not _stays or _n > 1)")
+    ids = written(found.select(F.col("doc_id").alias("_apart"), "_stays"), "ids-apart")
+    rows = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs["doc_id"] == F.col("_apart"), "left")
+    apart = rows.where("doc_id is not null and _apart is null").select(*docs.columns)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    again = rows.where("doc_id is null or _n > 1").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest")).select("doc_id", "text", "_rest.*").select(*docs.columns)
+    again = rows.where("doc_id is null or _stays").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest")).select("doc_id", "text", "_rest.*").select(*docs.columns)
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     known = docs.where("doc_id is not null").select(digest.alias("_known"))
     bare = again.where("doc_id is null").join(known, digest == F.col("_known"), "left_anti")

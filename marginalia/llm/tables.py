@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -62,10 +63,13 @@ def hand_back() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, which the session names in spark.checkpoint.dir."""
+    """The folder that driver and executors share, which the session names in spark.checkpoint.dir. Where it names none, one of its own if all is in one process, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 

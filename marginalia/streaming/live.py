@@ -7,6 +7,8 @@ checkpoint; results go to files in the folder that the cluster shares, one set f
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,10 +21,12 @@ WATERMARK = "1 day"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share, which the session names in spark.checkpoint.dir."""
+    """A new folder below the one that driver and executors share, which the session names in spark.checkpoint.dir; where it names none, one of its own if all is in one process, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{named.rstrip('/')}/live-{uuid.uuid4().hex}"
 
 

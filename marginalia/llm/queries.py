@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marginalia.llm import sql
 from marginalia.llm.tables import read
@@ -70,6 +71,26 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.divergence import divergence
+
+    return divergence(read(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.merkle import audit, leaf_digest
+
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, leaf_digest(text=F.translate("text", "\n", "")))
+    return audit(read(spark, sf_dir, "documents"), claimed=tampered).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marginalia.llm.passages import fit, scores
+
+    docs = read(spark, sf_dir, "documents")
+    return scores(docs, fit(docs, read(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -81,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_license_scan": op9_license_scan,
     "op10_html_main_text": op10_html_main_text,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_passage_quality": op13_passage_quality,
 }
 
-ORACLE: dict[str, str] = {"op1_minhash_near_dedup": sql.OP1, "op3_source_mix": sql.OP3, "op4_warc": sql.OP4, "op8_quality_rules": sql.OP8}
+ORACLE: dict[str, str] = {"op1_minhash_near_dedup": sql.OP1, "op3_source_mix": sql.OP3, "op4_warc": sql.OP4, "op8_quality_rules": sql.OP8, "op11_source_divergence": sql.OP11, "op12_merkle_manifest": sql.OP12}

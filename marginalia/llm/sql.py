@@ -1,6 +1,6 @@
 r"""DuckDB SQL of the queries that SQL can express over whole tables, written from the contracts and not from the operators.
 
-Not here: op2 and op9 (units, alignment), op5 (trees), op6 (a search that may miss), op7 (tokenizer), op10 (markup).
+Not here: op2 and op9 (units, alignment), op5 (trees), op6 (a search that may miss), op7 (tokenizer), op10 (markup), op13 (a trained model).
 """
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')"
@@ -66,3 +66,52 @@ run AS (SELECT p.*, copies, first * shard_size // ring AS a, least(first + extra
   (sum(size) OVER (PARTITION BY p.source, p.shard ORDER BY mark, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS e FROM placed p JOIN turn ON p.source IS NOT DISTINCT FROM turn.source AND p.shard = turn.shard)
 SELECT doc_id, size, source_size, target, copies * size + greatest(0, least(e, b) - greatest(e - size, a)) + greatest(0, least(e, c) - (e - size)) AS taken, source, shard FROM run
 """
+
+#: Every cell of source and term, then sums over them.
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+grp AS (SELECT DISTINCT lang, source FROM d),
+total AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+cell AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS n_lang, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS size FROM grp g JOIN kept k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, cell.n, 1 + (1000000000::HUGEINT * (cell.n + 5)) // (size + 5 * v) AS p, 1 + (1000000000::HUGEINT * (n_lang + 5)) // (total.n + 5 * v) AS q FROM cell JOIN total USING (lang)),
+gap AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN gap ON gap.lang = a.lang AND gap.source = a.source AND gap.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM (FROM pair UNION ALL FROM term) QUALIFY part = 'pair' OR rank <= 50
+"""
+
+_PREIMAGE = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR END" for c in ("doc_id", "source", "lang", "n_chars", "text"))
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+
+
+def _up(name: str, leaves: str, tree: str) -> str:
+    """A recursive view of the nodes of all levels of trees."""
+    return f"{name} AS (SELECT {tree}, 0 AS level, i, n, h FROM {leaves} UNION ALL SELECT {tree}, level + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY {tree}, level, i // 3)"
+
+
+def _steps(leaves: str, nodes: str, tree: str, offset: int) -> str:
+    """The siblings of each leaf's ancestors on either side."""
+    at = f"({leaves}.i // power(3, {nodes}.level)::BIGINT)"
+    return f"SELECT {leaves}.{tree}, {leaves}.i, {nodes}.level + {offset} AS level, coalesce(string_agg({nodes}.h, '' ORDER BY {nodes}.i) FILTER ({nodes}.i < {at}), '') AS before, coalesce(string_agg({nodes}.h, '' ORDER BY {nodes}.i) FILTER ({nodes}.i > {at}), '') AS after FROM {leaves} JOIN {nodes} ON {leaves}.{tree} IS NOT DISTINCT FROM {nodes}.{tree} AND {nodes}.n > 1 AND {nodes}.i // 3 = {at} // 3 GROUP BY ALL"
+
+
+#: Trees by recursion, the proofs from all nodes of all levels.
+OP12 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, sha256({_PREIMAGE}) AS h, CASE WHEN {_CRC} % 2 = 0 THEN sha256({_PREIMAGE.replace("(text::", "(replace(text, chr(10), '')::").replace("|| text::", "|| replace(text, chr(10), '')::")}) END AS changed FROM documents),
+leaf AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d),
+{_up("node", "leaf", "source")},
+sub AS (SELECT 0 AS top, source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM node WHERE n = 1),
+{_up("high", "sub", "top")},
+root AS (SELECT h AS root FROM high WHERE n = 1),
+low_step AS ({_steps("leaf", "node", "source", 0)}),
+high_step AS ({_steps("sub", "high", "top", 1000)}),
+low AS (SELECT source, i, list({{'h': '', 'before': before, 'after': after}} ORDER BY level) AS steps, string_agg(before || after, '' ORDER BY level) AS said FROM low_step GROUP BY source, i),
+upper AS (SELECT i, list({{'h': '', 'before': before, 'after': after}} ORDER BY level) AS steps, string_agg(before || after, '' ORDER BY level) AS said FROM high_step GROUP BY i),
+proof AS (SELECT leaf.*, sub.h AS subroot, root, coalesce(low.said, '') || coalesce(upper.said, '') AS said, list_concat(coalesce(low.steps, []), coalesce(upper.steps, [])) AS steps
+  FROM leaf JOIN sub ON leaf.source IS NOT DISTINCT FROM sub.source CROSS JOIN root LEFT JOIN low ON low.source IS NOT DISTINCT FROM leaf.source AND low.i = leaf.i LEFT JOIN upper ON upper.i = sub.i),
+folded AS (SELECT doc_id, h AS leaf, subroot, root, sha256(said) AS proof_sha256, list_reduce(list_prepend({{'h': coalesce(changed, h), 'before': '', 'after': ''}}, steps), lambda x, y: {{'h': sha256(y.before || x.h || y.after), 'before': '', 'after': ''}}).h AS folded_root FROM proof)
+SELECT *, folded_root = root AS verified FROM folded
+"""

@@ -50,6 +50,7 @@ def ordered_text(order: str, text: str, separator: str) -> Column:
 
 def merged_maps(df: DataFrame, key: str, maps: str, order: list[str]) -> DataFrame:
     """(key, map): the maps of a key in one, of equal entries the value that comes last in order. The values are compared before they are gathered."""
-    entries = df.select(key, F.struct(*order).alias("_at"), F.explode(maps).alias("_k", "_v"))
+    entries = df.select(key, F.struct(*order).alias("_at"), F.explode_outer(maps).alias("_k", "_v"))  # a key whose maps are all empty stays
     last = entries.groupBy(key, "_k").agg(F.max_by("_v", "_at").alias("_v"))
-    return last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias(maps))
+    held = F.filter(F.collect_list(F.struct("_k", "_v")), lambda e: e["_k"].isNotNull())
+    return last.groupBy(key).agg(F.map_from_entries(held).alias(maps))

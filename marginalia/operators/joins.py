@@ -46,6 +46,24 @@ def model_key(name: Column) -> Column:
     return F.regexp_replace(name, r":(online|1m)$", "")
 
 
+def holding_one_another(left: DataFrame, right: DataFrame, piece: int = 5) -> DataFrame:
+    """(a, b): distinct names of left (a) and right (b) of which one holds the other; empty names hold nothing and are held by none.
+
+    A name that is held shows by its first ``piece`` letters, or all if it has fewer; one that holds has them among its pieces of up to so many. So
+    candidates come from an equi-join of distinct names, and are then looked at.
+    """
+    def pieces(c: str) -> Column:
+        lengths = F.sequence(F.lit(1), F.least(F.lit(piece), F.length(c)))
+        return F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, n))))
+
+    a, b = left.select("a").where("a <> ''").distinct(), right.select("b").where("b <> ''").distinct()
+    found = []
+    for holder, held, names in ((a, b, ("a", "b")), (b, a, ("b", "a"))):
+        wide = holder.select(names[0], F.explode(F.array_distinct(pieces(names[0]))).alias("_piece"))
+        found.append(wide.join(held.withColumn("_piece", F.left(names[1], F.lit(piece))), "_piece").where(F.contains(*names)).select("a", "b"))
+    return found[0].union(found[1]).distinct()
+
+
 def earlier_results(steps: DataFrame, key: str, order: str, text: str, separator: str = "\n") -> DataFrame:
     """Each step with the texts of all earlier steps of its key, in order.
 

@@ -1,3 +1,3 @@
 """Named queries: each module registers its own with the SQL it must agree with."""
 
-from marginalia.plans import edits, graphs, logs, ranking, relations, scalars, scans, search, sync  # noqa: F401
+from marginalia.plans import edits, fulltext, graphs, logs, ranking, relations, scalars, scans, search, sync  # noqa: F401

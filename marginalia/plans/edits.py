@@ -84,9 +84,8 @@ def extension_search(spark: SparkSession, sf: str) -> DataFrame:
 def event_files(spark: SparkSession, sf: str) -> DataFrame:
     """Events appended to a log of JSON lines, a folder a device, and read back with their files."""
     folder = shared_dir(spark)
-    events = activity(spark, sf).select(F.col("id").cast("string").alias("id"), "type", F.col("device").cast("string").alias("deviceId"), F.col("ms").alias("timestamp"), F.col("device").cast("string").alias("of"))
-    for device in ("0", "1", "2"):
-        eventlog.append_log(events.where(F.col("of") == device).drop("of"), f"{folder}/{device}", device)
+    events = activity(spark, sf).select(F.col("id").cast("string").alias("id"), "type", F.col("device").cast("string").alias("deviceId"), F.col("ms").alias("timestamp"))
+    eventlog.append_log(events, folder, by="deviceId")
     found = eventlog.read_log(spark, folder).withColumn("folder", F.element_at(F.split("file", "/"), -2))
     counted = found.groupBy(F.col("deviceId").cast("long").alias("device"), "type").agg(F.count(F.lit(1)).alias("items"), F.max("timestamp").alias("newest"), F.count_distinct("folder").cast("int").alias("files"))
     return counted

@@ -74,17 +74,13 @@ def link_resolve(spark: SparkSession, sf: str) -> DataFrame:
     return joins.resolve_links(own.select(F.col("path").alias("src"), target.alias("link")), own.select("path", "name"))
 
 
-@query("fuzzy_theta", "SELECT p_partkey, s_suppkey FROM (SELECT p_partkey, lower(replace(p_brand, '#', '')) AS a FROM part) JOIN (SELECT s_suppkey, 'brand' || s_nationkey AS b FROM supplier) ON contains(a, b) OR contains(b, a)")
+@query("fuzzy_theta", "SELECT a, b, parts, suppliers FROM (SELECT lower(replace(p_brand, '#', '')) AS a, count(*) AS parts FROM part GROUP BY 1) JOIN (SELECT CASE WHEN s_nationkey % 5 = 0 THEN '' || s_nationkey ELSE 'brand' || s_nationkey END AS b, count(*) AS suppliers FROM supplier GROUP BY 1) ON contains(a, b) OR contains(b, a)")
 def fuzzy_theta(spark: SparkSession, sf: str) -> DataFrame:
-    """Names that hold one another. Equal names meet once: the join is on distinct names, which are few, and then back to rows."""
-    parts = load(spark, sf, "part").select("p_partkey", F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("a"))
-    suppliers = load(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("brand"), F.col("s_nationkey").cast("string")).alias("b"))
-    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 4), lambda i: F.substring(F.col(c), i, F.lit(5)))))
-    # One name within another shares its first five letters, so candidates come from an equi-join.
-    left, right = parts.select("a").distinct(), suppliers.select("b").distinct()
-    near = left.withColumn("g", grams("a")).join(right.withColumn("g", grams("b")), "g").select("a", "b").distinct()
-    near = near.where(F.contains("a", "b") | F.contains("b", "a"))
-    return parts.join(near, "a").join(suppliers, "b").select("p_partkey", "s_suppkey")
+    """Names that hold one another, with how many parts and suppliers have them."""
+    parts = load(spark, sf, "part").groupBy(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("a")).agg(F.count(F.lit(1)).alias("parts"))
+    nation = F.col("s_nationkey").cast("string")
+    suppliers = load(spark, sf, "supplier").groupBy(F.when(F.col("s_nationkey") % 5 == 0, nation).otherwise(F.concat(F.lit("brand"), nation)).alias("b")).agg(F.count(F.lit(1)).alias("suppliers"))
+    return joins.holding_one_another(parts.select("a"), suppliers.select("b")).join(parts, "a").join(suppliers, "b").select("a", "b", "parts", "suppliers")
 
 
 @query("price_lookup", with_views(f"SELECT id, type AS model, provider, price_in FROM activity JOIN {PRICES_SQL} ON type = model"))

@@ -157,14 +157,19 @@ def postings_update(spark: SparkSession, sf: str) -> DataFrame:
     return index.updated(index.postings(own, "doc_id", "content"), stale, fresh).groupBy("word").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def consolidated(results: DataFrame) -> DataFrame:
+    """Results (workspace, type, session, score, snippet) to a row a workspace: methods and sessions of all its results, snippets that differ in more than case and blanks at their ends."""
+    clean = results.withColumn("snippet", F.lower(F.trim("snippet")))
+    once = clean.groupBy("workspace", "snippet", "type", "session").agg(F.max("score").alias("score"))
+    files = once.groupBy("workspace").agg(F.max("score").alias("score"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("methods"), F.count_distinct("session").alias("sessions"))
+    first = top_per(once.select("workspace", "snippet").distinct(), "workspace", [F.col("snippet")], 3).groupBy("workspace").agg(F.array_join(F.array_sort(F.collect_list("snippet")), " ... ").alias("snippets"))
+    return files.join(first, "workspace").select("workspace", "score", "methods", "sessions", "snippets")
+
+
 @query("consolidate", with_views(f"SELECT workspace, max(score) AS score, array_to_string(list_sort(list(DISTINCT type)), ',') AS methods, count(DISTINCT session) AS sessions, array_to_string(list_slice(list_sort(list(DISTINCT lower(trim(type || ' ' || session)))), 1, 3), ' ... ') AS snippets FROM ({SCORED}) GROUP BY workspace"))
 def consolidate(spark: SparkSession, sf: str) -> DataFrame:
     """One row a file: best score, methods, and three snippets. Distinct snippets are found before they are gathered."""
-    own = scored(spark, sf).withColumn("snippet", F.lower(F.trim(F.concat_ws(" ", "type", "session"))))
-    once = own.groupBy("workspace", "snippet").agg(F.max("score").alias("score"), F.first("type").alias("type"), F.first("session").alias("session"))
-    files = once.groupBy("workspace").agg(F.max("score").alias("score"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("methods"), F.count_distinct("session").alias("sessions"))
-    first = top_per(once, "workspace", [F.col("snippet")], 3).groupBy("workspace").agg(F.array_join(F.array_sort(F.collect_list("snippet")), " ... ").alias("snippets"))
-    return files.join(first, "workspace").select("workspace", "score", "methods", "sessions", "snippets")
+    return consolidated(scored(spark, sf).withColumn("snippet", F.concat_ws(" ", "type", "session")))
 
 
 @query("consolidation_stats", with_views(f"SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS results, max(n) AS most, round(avg(n), 6) AS mean, max(m) AS methods FROM (SELECT workspace, count(*) AS n, count(DISTINCT type) AS m FROM ({SCORED}) GROUP BY workspace)"))
@@ -214,5 +219,5 @@ def fts_stored(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fts_stemmed")
 def fts_stemmed(spark: SparkSession, sf: str) -> DataFrame:
-    """As full-text search with a stemming tokenizer has it: no SQL counterpart; the stemmer is tested against known stems."""
-    return index.stemmed(index.postings(notes(spark, sf).where("lang = 'en'"), "doc_id", "content")).groupBy("word").agg(F.count(F.lit(1)).alias("documents"))
+    """All notes as full-text search with a stemming tokenizer has them, whatever their language: no SQL counterpart; the stemmer is tested against known stems."""
+    return index.stemmed(index.postings(notes(spark, sf), "doc_id", "content")).groupBy("word").agg(F.count(F.lit(1)).alias("documents"))

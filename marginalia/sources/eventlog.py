@@ -46,14 +46,17 @@ def file_stats(spark: SparkSession, path: str) -> DataFrame:
     return files.join(lines.groupBy("path").agg(F.count(F.lit(1)).alias("events")), "path", "left").na.fill(0, ["events"])
 
 
-def append_log(events: DataFrame, path: str, device: str | None = None) -> None:
-    """Adds events as JSON lines; files are added, none is rewritten. device: stamps events that have no id, device or time with a new id, this one and now."""
+def append_log(events: DataFrame, path: str, device: str | None = None, by: str | None = None) -> None:
+    """Adds events as JSON lines; files are added, none is rewritten. device: stamps events that have no id, device or time with a new id, this one and now. by: a folder for each value of a column, null too."""
     if device is not None:
         held = lambda c, kind: F.col(c) if c in events.columns else F.lit(None).cast(kind)
         events = events.withColumns({
             "id": F.coalesce(held("id", "string"), F.uuid()), "deviceId": F.coalesce(held("deviceId", "string"), F.lit(device)), "timestamp": F.coalesce(held("timestamp", "long"), F.unix_millis(F.current_timestamp())),
         })
-    events.write.mode("append").json(path)
+    if by is not None:
+        events.withColumn("_of", F.col(by)).write.mode("append").partitionBy("_of").json(path)
+    else:
+        events.write.mode("append").json(path)
 
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:

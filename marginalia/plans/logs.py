@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.operators import events as ev
 from marginalia.plans.registry import query
 from marginalia.sources.tables import activity, load, messages, with_views
-from marginalia.streaming import live
+from marginalia.streaming import live, wire
 
 
 def log(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,9 +99,30 @@ def stream_keyed_fold(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stream_sessions", "SELECT user_id, epoch_us(min(ts)) // 1000 AS begun, count(*) AS items FROM (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE, TRUE) THEN 1 ELSE 0 END AS n FROM events)) GROUP BY user_id, s")
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions of a stream, parted where a user is silent for half an hour; those still open when the stream ends are drained too."""
-    updates = live.drained(live.session_counts(live.event_stream(spark, sf)), "complete", "user_id long, begun long, items long")
-    return updates.where(F.col("batch") == updates.agg(F.max("batch")).scalar()).select("user_id", "begun", "items")
+    """Sessions of a stream, parted where a user is silent for half an hour: each once, when the watermark has passed it; a last tick closes those that are open when the stream ends."""
+    folder = live.shared_dir(spark)
+    ticks = spark.createDataFrame([], "user_id long, ts timestamp")
+    ticks.write.parquet(f"{folder}/ticks")
+    events = lambda: live.event_stream(spark, sf).select("user_id", "ts").unionByName(spark.readStream.schema(ticks.schema).parquet(f"{folder}/ticks"))
+    run = lambda: live.drained(live.session_counts(events()), "append", "user_id long, begun long, items long", folder)
+    run()
+    last = load(spark, sf, "events").agg((F.max("ts") + F.expr("interval 2 days")).cast("timestamp").alias("ts"))
+    last.where("ts is not null").select(F.lit(None).cast("long").alias("user_id"), "ts").write.mode("append").parquet(f"{folder}/ticks")
+    return run().where("user_id is not null").select("user_id", "begun", "items")
+
+
+@query("stream_late", "WITH m AS (SELECT max(epoch_us(ts)) // 1000 * 1000 - 86400000000 AS mark FROM events WHERE event_id % 2 = 0) SELECT event_id % 2 AS run, count(*) AS came, CAST(sum(CASE WHEN event_id % 2 = 1 AND epoch_us(ts) <= mark THEN 1 ELSE 0 END) AS BIGINT) AS dropped FROM events, m GROUP BY 1")
+def stream_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Every second event comes in a later batch, when the watermark has passed most days: how many rows each batch dropped, from the table that a listener keeps."""
+    folder = live.shared_dir(spark)
+    own = load(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    with live.late_rows(spark, f"{folder}/late"):
+        for batch, half in enumerate((own.where("event_id % 2 = 0"), own.where("event_id % 2 = 1"))):
+            half.coalesce(1).write.parquet(f"{folder}/in/half={batch}")
+            live.drained(live.deduplicated(spark.readStream.schema(own.schema).parquet(f"{folder}/in/*"), "event_id").select("event_id"), "append", "event_id long", folder)
+    runs = spark.read.schema(live.LATE).json(f"{folder}/late").where("rows > 0")
+    first = runs.agg(F.min("batch")).scalar()
+    return runs.groupBy((F.col("batch") > first).cast("long").alias("run")).agg(F.sum("rows").alias("came"), F.sum("dropped").alias("dropped"))
 
 
 @query("stream_fragments", "SELECT conv_id || '' AS call, string_agg(text, '' ORDER BY turn) AS text, count(*) AS fragments FROM conversations GROUP BY conv_id HAVING count(*) = max(turn) + 1")
@@ -111,3 +132,44 @@ def stream_fragments(spark: SparkSession, sf: str) -> DataFrame:
     rows = live.table_stream(spark, sf, "conversations").join(ends, "conv_id")
     parts = rows.select(F.col("conv_id").cast("string").alias("call"), F.col("turn").alias("seq"), F.col("text").alias("part"), (F.col("turn") == F.col("end")).alias("last"))
     return live.drained(live.fragment_fold(parts), "append", "call string, text string, fragments long").select("call", "text", "fragments")
+
+
+_H = 3_600_000
+
+def captured(spark: SparkSession, sf: str) -> DataFrame:
+    """(stream, n, ts, chunk): responses cut into chunks of 300 characters, a second apart and an hour from response to response."""
+    turns = load(spark, sf, "conversations")
+    said = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices")))
+    fragment = F.struct((F.col("turn") % 2).alias("index"), F.concat(F.lit("c"), (F.col("turn") % 2).cast("string")).alias("id"), F.struct(F.concat(F.lit("f"), F.col("turn").cast("string")).alias("name"), F.col("text").alias("arguments")).alias("function"))
+    call = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(fragment).alias("tool_calls")).alias("delta"))).alias("choices")))
+    frame = F.when(F.col("role") == "user", F.concat(F.lit("data: "), said)).when(F.col("role") == "assistant", F.concat(F.lit("event: x\r\ndata:"), call)).otherwise(F.lit(": note\ndata: (oops"))
+    frames = turns.select("conv_id", "turn", F.concat(frame, F.lit("\n\n")).alias("frame"))
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "frame"))), lambda x: x["frame"]), "")
+    usage = F.concat(F.lit('data: {"usage":{"prompt_tokens":'), F.col("conv_id").cast("string"), F.lit(',"completion_tokens":2}}\n\n'))
+    ends = F.when(F.col("conv_id") % 4 == 0, 'data: {"choices":[{"finish_reason":"stop","delta":{}}]}\n\ndata: {"choices":[{"delta":{"content":"late"}}]}\n\n').when(F.col("conv_id") % 4 < 3, "data: [DONE]\r\n\r\n").otherwise("")
+    whole = frames.groupBy("conv_id").agg(told.alias("told")).withColumn("told", F.concat("told", usage, ends))
+    cut = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("told") - 1) / 300)), lambda k: F.substring(F.col("told"), (k * 300 + 1).cast("int"), F.lit(300)))).alias("n", "chunk")
+    pieces = whole.select("conv_id", cut)
+    at = F.timestamp_millis(F.lit(1704067200000) + F.col("conv_id") * _H + F.col("n") * 1000)
+    return pieces.select(F.col("conv_id").cast("string").alias("stream"), F.col("n").cast("long").alias("n"), at.alias("ts"), "chunk", "conv_id")
+
+
+@query("stream_wire", f"""WITH last AS (SELECT max(conv_id) AS top FROM conversations), c AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN text END, '' ORDER BY turn) AS content, count(*) FILTER (role NOT IN ('user', 'assistant')) AS bad, count(*) AS turns,
+  string_agg(CASE WHEN role = 'assistant' AND turn % 2 = 0 THEN text END, '' ORDER BY turn) AS even, string_agg(CASE WHEN role = 'assistant' AND turn % 2 = 1 THEN text END, '' ORDER BY turn) AS odd,
+  max(CASE WHEN role = 'assistant' AND turn % 2 = 0 THEN turn END) AS te, max(CASE WHEN role = 'assistant' AND turn % 2 = 1 THEN turn END) AS to_ FROM conversations GROUP BY conv_id)
+SELECT conv_id || '' AS stream, coalesce(content, '') AS content, concat_ws(';', '0:c0:f' || te || ':' || even, '1:c1:f' || to_ || ':' || odd) AS calls, conv_id AS prompt_tokens, CASE conv_id % 4 WHEN 0 THEN 'stop' WHEN 3 THEN 'expired' ELSE 'done' END AS ending, turns + CASE WHEN conv_id % 4 = 3 THEN 1 ELSE 2 END AS events, bad
+FROM c, last WHERE conv_id % 4 < 3 OR conv_id + 4 <= top""")
+def stream_wire(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers put together from captured chunks, which come in two runs of a stream, some of them late and some twice; answers without an end expire."""
+    folder = live.shared_dir(spark)
+    own = captured(spark, sf)
+    half = own.agg(F.floor(F.max("conv_id") / 2)).scalar()
+    dealt = own.withColumn("second", (F.col("conv_id") > half) | ((F.col("conv_id") == half) & (F.col("n") % 2 == 1)))
+    dealt.drop("conv_id").write.parquet(f"{folder}/all")
+    chunks = spark.read.parquet(f"{folder}/all")
+    stream = lambda: spark.readStream.schema(wire.CHUNKS).json(f"{folder}/in")
+    for run in (chunks.where("not second"), chunks.where("second or n = 0")):
+        run.drop("second").write.mode("append").json(f"{folder}/in")
+        found = live.drained(wire.answers(stream(), 5_400_000), "append", wire.ANSWER, folder)
+    calls = F.array_join(F.transform("calls", lambda c: F.concat_ws(":", c["index"].cast("string"), c["id"], c["name"], c["arguments"])), ";")
+    return found.select("stream", "content", calls.alias("calls"), "prompt_tokens", "ending", "events", "bad")

@@ -1,7 +1,7 @@
 """Structured Streaming twins of the log's operators.
 
 Late data: the watermark is one day. A row that is later than that is dropped by the stateful operators and shows in the
-query's progress (numRowsDroppedByWatermark). Streams run on whatever is there and end (availableNow), and resume from their
+query's progress, which ``late_rows`` keeps as a table. Streams run on whatever is there and end (availableNow), and resume from their
 checkpoint; results go to files in the folder that the cluster shares, one set for each micro-batch.
 """
 
@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 WATERMARK = "1 day"
@@ -52,6 +55,51 @@ def drained(stream: DataFrame, mode: str, schema: str, folder: str | None = None
     return spark.read.schema(f"{schema}, batch int").option("recursiveFileLookup", "false").parquet(f"{folder}/out")
 
 
+LATE = "name string, batch long, rows long, dropped long"
+
+
+class _Late(StreamingQueryListener):
+    """Notes the progress of each micro-batch of the queries that start while it listens."""
+
+    def __init__(self) -> None:
+        self.rows: list[dict] = []
+        self.open: set[str] = set()
+        self.changed = threading.Condition()
+
+    def _note(self, act) -> None:
+        with self.changed:
+            act()
+            self.changed.notify_all()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self._note(lambda: self.open.add(str(event.runId)))
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        dropped = sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+        self._note(lambda: self.rows.append({"name": str(p.id), "batch": p.batchId, "rows": p.numInputRows, "dropped": dropped}))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self._note(lambda: self.open.discard(str(event.runId)))
+
+
+@contextmanager
+def late_rows(spark: SparkSession, path: str) -> Iterator[None]:
+    """While it is open, every micro-batch leaves a row (query, batch, rows read, rows dropped as later than the watermark), which are added to a table of JSON lines at its end."""
+    listener = _Late()
+    spark.streams.addListener(listener)
+    try:
+        yield
+    finally:
+        with listener.changed:  # the last events come by themselves, soon after a query has ended
+            listener.changed.wait_for(lambda: not listener.open, timeout=30)
+        spark.streams.removeListener(listener)
+        spark.createDataFrame(listener.rows, LATE).coalesce(1).write.mode("append").json(path)
+
+
 def newest(updates: DataFrame, keys: list[str]) -> DataFrame:
     """Of the updates of a key, the one of the last batch."""
     return updates.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in updates.columns if c != "batch")), "batch").alias("_row")).select("_row.*")
@@ -77,16 +125,24 @@ def keyed_fold(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").agg(F.count(F.lit(1)).alias("items"), F.sum("value").alias("total"), F.max(F.unix_millis("ts")).alias("last_ms"))
 
 
-def fragment_fold(fragments: DataFrame) -> DataFrame:
+def fragment_fold(fragments: DataFrame, expires_ms: int = 86_400_000) -> DataFrame:
     """(call, seq, part, last) to (call, text, fragments): the parts of each call joined in order once the last and all before it are there.
 
-    Fragments may come in any order and batch, and more than once; what is waiting is a call's own parts, and goes when the call is complete.
+    Fragments may come in any order and batch, and more than once; what is waiting is a call's own parts, and goes when the call is complete, or has
+    had no fragment for ``expires_ms`` of event time, where fragments have a column ts: then its text is null and fragments the number of those that came.
     """
+    timed = "ts" in fragments.columns
+    fragments = fragments.withWatermark("ts", WATERMARK) if timed else fragments
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         numbers, parts, end = state.get if state.exists else ([], [], -1)
-        held = dict(zip(numbers, parts, strict=True))
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"call": [key[0]], "text": [None], "fragments": [len(numbers)]})
+            return
+        held, at = dict(zip(numbers, parts, strict=True)), 0
         for frame in frames:
+            at = max(at, int(frame["ts"].max().timestamp() * 1000)) if timed else 0
             held.update(zip(frame["seq"].tolist(), frame["part"].tolist(), strict=True))
             end = max(end, *frame.loc[frame["last"], "seq"].tolist(), -1)
         if end >= 0 and len(held) == end + 1:
@@ -95,5 +151,7 @@ def fragment_fold(fragments: DataFrame) -> DataFrame:
             yield pd.DataFrame({"call": [key[0]], "text": ["".join(held[k] or "" for k in sorted(held))], "fragments": [end + 1]})
         else:
             state.update(([int(k) for k in held], list(held.values()), int(end)))
+            if timed:
+                state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs()) + expires_ms)
 
-    return fragments.groupBy("call").applyInPandasWithState(fold, "call string, text string, fragments long", "numbers array<bigint>, parts array<string>, end bigint", "append", GroupStateTimeout.NoTimeout)
+    return fragments.groupBy("call").applyInPandasWithState(fold, "call string, text string, fragments long", "numbers array<bigint>, parts array<string>, end bigint", "append", GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout)

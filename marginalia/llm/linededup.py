@@ -5,10 +5,11 @@ space, no punctuation at its ends) and hashed to 128 bits. A unit of fewer than
 together with as many units before it as it takes to have ``min_words`` words; so short lines that anyone writes stay, but go with a
 passage that repeats, however short its lines are. A passage that was set into the middle of a line is no line of its own:
 lines are therefore cut further (``inner``), where ``.``, ``!`` or ``?`` is followed by white space, and these sentences are hashed in
-chains of ``inner_words`` words. The span of a chain begins at its first unit, so the first units of a passage go too,
-and spans of neighbouring chains overlap: what is removed is their union.
+chains of ``inner_words`` words. The span of a chain begins at its first unit, so the first units of a passage go too.
 
-Of equal digests the one of smallest (doc_id, start) stays, everywhere else its unit is removed. Digests are counted with a
+Of equal digests the one of smallest (doc_id, start) stays, whole; everywhere else its span is a copy. Chains overlap, so a copy may reach into
+a chain that has its first place there: what is removed is the union of a document's copies without the spans of repeated digests that are first in
+it. Spans begin and end with units, so whole units go, and every digest is left where it stood first. Digests are counted with a
 partial sum before the shuffle, and only those seen twice meet the units again in a join that Spark can split, so a line
 of a third of the corpus is no single task's work. Spans are code points of the original text, ends exclusive.
 
@@ -67,8 +68,25 @@ def union(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def without(spans: list[tuple[int, int]], kept: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of sorted spans apart from each other without other such ones."""
+    out, k = [], 0
+    for start, end in spans:
+        while k < len(kept) and kept[k][1] <= start:
+            k += 1
+        at = k
+        while at < len(kept) and kept[at][0] < end:
+            if start < kept[at][0]:
+                out.append((start, kept[at][0]))
+            start = max(start, kept[at][1])
+            at += 1
+        if start < end:
+            out.append((start, end))
+    return out
+
+
 def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 15, inner: str | None = "sentence", inner_words: int = 25) -> DataFrame:
-    """(doc_id, spans): the units of each document that stood earlier, as sorted structs (start, end); documents without any are absent."""
+    """(doc_id, copies, firsts): of each document the spans of digests that stood earlier, and of repeated ones that stand first in it, as sorted structs (start, end); documents without copies are absent."""
     cuts = [(unit, min_words), *([(inner, inner_words)] if inner else [])]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,33 +102,40 @@ def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 15, inn
     place = F.struct("doc_id", "start")
     twice = found.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("_digest"), "first")
     twice = twice.repartition("_digest")  # a plain exchange below the join, so that Spark can split the other side
-    copies = found.repartition("digest").join(twice, F.col("digest") == F.col("_digest")).where(place > F.col("first"))
-    return copies.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    placed = found.repartition("digest").join(twice, F.col("digest") == F.col("_digest")).withColumn("copy", place > F.col("first"))
+    span = F.struct("start", "end")
+    spans = placed.groupBy("doc_id").agg(*(F.array_sort(F.collect_set(F.when(which, span))).alias(name) for name, which in (("copies", F.col("copy")), ("firsts", ~F.col("copy")))))
+    return spans.where(F.size("copies") > 0)
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, text without the removed units, n_removed, removed (their spans in the original, chains overlapping), chars_removed (of the union). Options are those of repeated_units."""
-    spans = repeated_units(docs, **options).select(F.col("doc_id").alias("_id"), "spans")
+    """One row per row of docs (doc_id, text): doc_id, text without the removed units, removed (spans of the original, sorted and apart), n_removed (their number), chars_removed. Options are those of repeated_units."""
+    spans = repeated_units(docs, **options).select(F.col("doc_id").alias("_id"), "copies", "firsts")
     own = take_columns(docs, "doc_id", "text")
-    joined = own.join(spans, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "spans")
+    joined = own.join(spans, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "copies", "firsts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone = [], []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                n = 0
-                if spans and text:
+            texts, gone, removed = [], [], []
+            for text, *both in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                copies, firsts = (union((s["start"], s["end"]) for s in spans or ()) for spans in both)
+                # White space between a unit that goes and one that stays is no unit.
+                own = [(a, b) for a, b in without(copies, firsts) if text[a:b].strip()] if text else []
+                own = [(a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip())) for a, b in own]
+                if own:
                     parts, at, last = [], 0, ""
-                    for start, end in union((s["start"], s["end"]) for s in spans):
+                    for start, end in own:
                         parts.append(text[at:start])
                         at, last = end, parts[-1][-1:] or last
-                        if (not last or last.isspace()) and text[at : at + 1].isspace():
-                            at += 1  # one of the two separators goes with the unit
-                        n += end - start
+                        # One of the two separators goes with the unit, and lines stay lines.
+                        if text[at : at + 1] == "\n" and parts[-1][-1:].isspace() and last != "\n":
+                            parts[-1] = parts[-1][:-1]
+                        elif (not last or last.isspace()) and text[at : at + 1].isspace():
+                            at += 1
                     text = "".join([*parts, text[at:]])
-                texts.append(text), gone.append(n)
-            spans = batch.column(2)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string()), pa.array([len(x or ()) for x in spans.to_pylist()], pa.int64()), pa.array(gone, pa.int64()), spans], names=["doc_id", "text", "n_removed", "chars_removed", "removed"])
+                texts.append(text), gone.append(sum(b - a for a, b in own)), removed.append([{"start": a, "end": b} for a, b in own])
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+            columns = [batch.column(0).to_pylist(), texts, [len(x) for x in removed], gone, removed]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "text", "n_removed", "chars_removed", "removed"])
 
-    kept = joined.mapInArrow(tidy(cut), "doc_id long, text string, n_removed long, chars_removed long, removed array<struct<start: int, end: int>>")
-    return kept.withColumn("removed", F.coalesce("removed", F.expr("cast(array() as array<struct<start: int, end: int>>)")))
+    return joined.mapInArrow(tidy(cut), "doc_id long, text string, n_removed long, chars_removed long, removed array<struct<start: int, end: int>>")

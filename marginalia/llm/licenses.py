@@ -2,8 +2,8 @@
 
 A text and every template are sequences of lower-cased words of letters and digits. Of each ``WINDOW`` neighbouring hashes of
 ``GRAM`` words the smallest is a fingerprint, so any GRAM + WINDOW - 1 words that a text shares with a template share
-one. Fingerprints that meet in the index propose (template, place); word alignment within ``BAND`` of that diagonal then
-gives the matched words, from which come ``coverage`` (matched words by the template's words) and the span (code points
+one. Fingerprints that meet in the index propose (template, place); where enough of the template's words stand within ``BAND`` of that diagonal for
+the coverage wanted, word alignment in that band gives the matched words, from which come ``coverage`` (matched words by the template's words) and the span (code points
 of the text, end exclusive). Templates too short for that promise are looked up at every hash instead. A finding whose text has other words that tell licenses
 apart (``TELLING``) than its template is dropped. Of findings that overlap, whatever their templates, the one with more matched words stays.
 
@@ -103,6 +103,7 @@ class Index:
 
     def __init__(self, templates: dict[str, str]) -> None:
         self.words = {k: [w.lower() for w in TOKEN.findall(t)] for k, t in templates.items()}
+        self.vocabulary = {w for words in self.words.values() for w in words}
         hashes = WordHashes()
         self.postings: dict[int, list[tuple[str, int]]] = defaultdict(list)
         for name, words in self.words.items():
@@ -141,12 +142,30 @@ def align(template: list[str], words: list[str], shift: int, band: int = BAND) -
     return best[1:]
 
 
+def most_matched(template: list[str], places: dict[str, np.ndarray], shifts: np.ndarray, band: int = BAND) -> np.ndarray:
+    """For each shift, how many words of the template stand in the text at all within the band: no alignment there can match more. places: of each word of the text."""
+    most = np.zeros(len(shifts), np.int64)
+    for i, want in enumerate(template):
+        own = places.get(want)
+        if own is not None:
+            most += np.searchsorted(own, shifts + i + band, "right") > np.searchsorted(own, shifts + i - band, "left")
+    return most
+
+
 def telling(words: list[str], length: int | None = None) -> set[str]:
     """The words among these that tell one license from another; length is that of the template."""
     short = (len(words) if length is None else length) < SHORT
     return {w for w in words if w in TELLING or (short and w.isdigit())}
 
 
+def _places(words: list[str], wanted: set[str]) -> dict[str, list[int]]:
+    out: dict[str, list[int]] = defaultdict(list)
+    for i, w in enumerate(words):
+        if w in wanted:
+            out[w].append(i)
+    return out
+
+
 def findings(text: str, index: Index, known: WordHashes, min_coverage: float) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, matched words, start, end) by start."""
     words = [w.lower() for w in TOKEN.findall(text)]
@@ -158,17 +177,21 @@ def findings(text: str, index: Index, known: WordHashes, min_coverage: float) ->
     hits = np.union1d(spots[index.keys[at] == grams[spots]], np.flatnonzero(np.isin(grams, index.short)))
     if not len(hits):
         return []
-    tried: set[tuple[str, int]] = set()
-    found: list[tuple[float, int, str, int, int]] = []
+    # A place for each template and band of diagonals; only those where enough words stand at all are aligned.
+    tried: dict[str, dict[int, int]] = defaultdict(dict)
     for hit in hits.tolist():
         for name, place in index.postings[int(grams[hit])]:
-            shift = hit - place
-            if (name, shift // BAND) in tried:
-                continue
-            tried |= {(name, shift // BAND)}
-            matched, first, end = align(index.words[name], words, shift)
-            coverage = matched / len(index.words[name])
-            if coverage >= min_coverage and telling(index.words[name]) == telling(words[first:end], len(index.words[name])):
+            tried[name].setdefault((hit - place) // BAND, hit - place)
+    places = {w: np.array(at) for w, at in _places(words, index.vocabulary).items()}
+    found: list[tuple[float, int, str, int, int]] = []
+    for name, bands in tried.items():
+        template = index.words[name]
+        shifts = np.fromiter(bands.values(), np.int64, len(bands))
+        enough = most_matched(template, places, shifts) >= min_coverage * len(template)
+        for shift in shifts[enough].tolist():
+            matched, first, end = align(template, words, shift)
+            coverage = matched / len(template)
+            if coverage >= min_coverage and telling(template) == telling(words[first:end], len(template)):
                 found.append((coverage, matched, name, first, end))
     if not found:
         return []

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.tables import take_columns, written
+from marginalia.llm.tables import take_columns, unused_prefix, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of so many sources at most are broadcast; with more, documents meet their source by a shuffled join.
@@ -121,17 +121,20 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     Columns are those of docs; n_chars, where there is one, follows the text. Each row is taken by its own plan, repeated ids and null ids too.
     """
     # Written once, so that the plan and the rows have the same keys.
-    keyed = written(docs.withColumn("_row", F.struct(F.xxhash64("text").alias("text"), F.monotonically_increasing_id().alias("n"))), "mix-rows")
-    plan = mix(keyed, row="_row", **options)
-    plan = plan.select(F.col("_row").alias("_key"), *(F.col(c).alias(f"_{c}") for c in ("size", "copies", "part_from", "part_to", "part2_from", "part2_to")))
-    rows = keyed.join(plan, F.col("_row") == F.col("_key"))
-    whole = (F.col("_part_to") - F.col("_part_from") + F.col("_part2_to") - F.col("_part2_from")) == F.col("_size")
-    some = (F.col("_part_to") > F.col("_part_from")) | (F.col("_part2_to") > F.col("_part2_from"))
-    pieces = F.array_compact(F.concat(F.array_repeat(F.lit(0), F.col("_copies").cast("int")), F.array(F.when(some & whole, 0).when(some, 1))))
-    rows = rows.withColumn("_cut", F.explode(pieces))
+    p = unused_prefix(docs)
+    row, key, cut = p + "row", p + "key", p + "cut"
+    keyed = written(docs.withColumn(row, F.struct(F.xxhash64("text").alias("text"), F.monotonically_increasing_id().alias("n"))), "mix-rows")
+    plan = mix(keyed.select("doc_id", "text", "source", F.col(row).alias("row")), row="row", **options)
+    plan = plan.select(F.col("row").alias(key), *(F.col(c).alias(p + c) for c in ("size", "copies", "part_from", "part_to", "part2_from", "part2_to")))
+    rows = keyed.join(plan, F.col(row) == F.col(key))
+    part = lambda c: F.col(p + c)
+    whole = (part("part_to") - part("part_from") + part("part2_to") - part("part2_from")) == part("size")
+    some = (part("part_to") > part("part_from")) | (part("part2_to") > part("part2_from"))
+    pieces = F.array_compact(F.concat(F.array_repeat(F.lit(0), part("copies").cast("int")), F.array(F.when(some & whole, 0).when(some, 1))))
+    rows = rows.withColumn(cut, F.explode(pieces))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    run = lambda a, b: F.array_join(F.slice(words, F.col(a).cast("int") + 1, (F.col(b) - F.col(a)).cast("int")), "")
-    text = F.when(F.col("_cut") == 0, F.col("text")).otherwise(F.concat_ws("\n", F.nullif(run("_part_from", "_part_to"), F.lit("")), F.nullif(run("_part2_from", "_part2_to"), F.lit(""))))
+    run = lambda a, b: F.array_join(F.slice(words, part(a).cast("int") + 1, (part(b) - part(a)).cast("int")), "")
+    text = F.when(F.col(cut) == 0, F.col("text")).otherwise(F.concat_ws("\n", F.nullif(run("part_from", "part_to"), F.lit("")), F.nullif(run("part2_from", "part2_to"), F.lit(""))))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))

@@ -77,16 +77,16 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-#: Tables that the innermost scratch() will delete.
-_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+#: Tables that each scratch() will delete, the innermost last.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and outlives lost executors. keep: beyond the scratch() it is written in."""
+    """Write df to the shared folder and read it back: cuts lineage, and outlives lost executors. keep: beyond the innermost scratch(), until the one around it ends, if there is one."""
     path = fresh_path(df.sparkSession, label)
-    own = _scratch.get()
-    if own is not None and not keep:
-        own.append(path)
+    own = _scratch.get()[: -1 if keep else None]
+    if own:
+        own[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -94,11 +94,11 @@ def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end what was written within, but for what is kept: for operators whose result is a written table itself."""
-    token = _scratch.set([])
+    paths: list[str] = []
+    token = _scratch.set((*_scratch.get(), paths))
     try:
         yield
     finally:
-        paths = _scratch.get()
         _scratch.reset(token)
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         for name in paths:
@@ -106,6 +106,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(conf).delete(path, True)
 
 
+def unused_prefix(df: DataFrame, prefix: str = "_") -> str:
+    """A prefix that no column of df has, whatever its case: for derived columns beside columns of any name."""
+    names = [c.lower() for c in df.columns]
+    while any(c.startswith(prefix) for c in names):
+        prefix += "_"
+    return prefix
+
+
 def take_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of any name can't clash with derived ones."""
     return df.select(*(df[n] for n in names))

@@ -1,4 +1,5 @@
 import zlib
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -60,10 +61,16 @@ def test_the_last_stage_holds_the_sequences(spark, sf):
 
 
 def test_sequences_of_the_run_are_the_mixed_texts(spark, sf, monkeypatch):
-    kept = {}
-    monkeypatch.setattr(corpus_pipeline, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    texts = []
+
+    def watched(df, name, **more):
+        out = written(df, name, **more)
+        if name == "source-mix":  # looked at now: the run deletes it
+            texts.extend(packing.pieces(out, with_ids=True).select("ids").collect())
+        return out
+
+    monkeypatch.setattr(corpus_pipeline, "written", watched)
     placed = corpus_pipeline.run(spark, sf).select("doc_id", "piece", "start", "ids", "length", "sequence_id", "offset").toPandas()
-    texts = packing.pieces(kept["source-mix"], with_ids=True).select("ids").collect()
     assert sorted(tuple(x) for x in placed["ids"]) == sorted(tuple(r["ids"]) for r in texts)
     for _, own in placed.sort_values("offset").groupby("sequence_id"):
         assert own["offset"].tolist() == [0, *own["ids"].map(len).cumsum()[:-1]]
@@ -76,3 +83,37 @@ def test_near_dedup_keeps_one_row_of_exact_copies(spark, sf):
     got = corpus_pipeline.near_dedup(spark, docs, sf)
     assert got.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(1, a), (2, b), (2, c), (None, a + " more " + b), (None, None)], key=repr)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _stays int, _apart string, _row string, _size long, `_mixrow` int, extra map<string, int>"
+
+
+def odd_rows():
+    prose = lambda k: " ".join(f"word{k}x{i}" for i in range(70)).capitalize() + "."
+    rows = [(1, prose(1)), (1, prose(1)), (2, prose(1)), (3, prose(3)), (4, None), (None, prose(1)), (None, prose(6)), (None, prose(6)), (5, ""), (7, prose(7) + "\n" + "\n".join(prose(k) for k in range(100, 400)))]
+    return [(i, t, "en", None if i == 3 else "s", None if t is None else len(t), k, "a", "r", k, k, {"k": k}) for k, (i, t) in enumerate(rows)]
+
+
+def test_stages_on_odd_tables(spark, sf):
+    """Clashing names, maps, nulls, repeats and a long text through every stage; then the same stages on no rows."""
+    docs = spark.createDataFrame(odd_rows(), ODD)
+    kept = corpus_pipeline.near_dedup(spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], (r["text"] or "")[:6]) for r in kept.collect()), key=repr) == sorted([(1, "Word1x"), (3, "Word3x"), (4, ""), (None, "Word6x"), (5, ""), (7, "Word7x")], key=repr)
+    assert {r["extra"]["k"] == r["_stays"] for r in kept.collect()} == {True}
+    mixed = corpus_pipeline.source_mix(spark, kept, sf)
+    assert mixed.columns == docs.columns and {r["_row"] for r in mixed.collect()} == {"r"}
+    for rows in (docs, docs.where("false")):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            rows = written(stage(spark, rows, sf), "stage")
+            assert rows.columns == docs.columns
+        placed = corpus_pipeline.packing(spark, rows, sf)
+        assert placed.count() >= rows.count()
+
+
+def test_a_run_leaves_its_result_alone(spark, sf):
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(folder.iterdir())
+    rows = corpus_pipeline.run(spark, sf)
+    left = sorted(p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before)
+    assert left == ["packing"] and rows.count() > 0

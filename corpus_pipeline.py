@@ -16,7 +16,7 @@ from marginalia.llm.neardup import BROADCAST_IDS, near_duplicates
 from marginalia.llm.packing import pack_documents
 from marginalia.llm.pii import redact
 from marginalia.llm.quality import keep_good
-from marginalia.llm.tables import bound_batches, read, written
+from marginalia.llm.tables import bound_batches, read, scratch, unused_prefix, written
 
 #: No single SQL statement has the trees, the tokenizer and the seeded mix; tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -34,17 +34,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A row of null id goes where a row with an id, or another row of null id, has the same text.
     """
     bound_batches(spark)
+    p = unused_prefix(docs)
+    apart, stays, n, rest, known = (p + x for x in ("apart", "stays", "n", "rest", "known"))
     # Ids that go or have several rows are set apart: fewer than those that stay, so up to a stated number they are broadcast and no text is shuffled.
-    found = near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("_stays"), F.count(F.lit(1)).alias("_n")).where("doc_id is not null and (not _stays or _n > 1)")
-    ids = written(found.select(F.col("doc_id").alias("_apart"), "_stays"), "ids-apart")
-    rows = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs["doc_id"] == F.col("_apart"), "left")
-    apart = rows.where("doc_id is not null and _apart is null").select(*docs.columns)
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    again = rows.where("doc_id is null or _stays").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest")).select("doc_id", "text", "_rest.*").select(*docs.columns)
+    found = near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias(stays), F.count(F.lit(1)).alias(n)).where(F.col("doc_id").isNotNull() & (~F.col(stays) | (F.col(n) > 1)))
+    ids = written(found.select(F.col("doc_id").alias(apart), stays), "ids-apart")
+    rows = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs["doc_id"] == F.col(apart), "left")
+    alone = rows.where(F.col("doc_id").isNotNull() & F.col(apart).isNull()).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    again = rows.where(F.col("doc_id").isNull() | F.col(stays))
+    # Of rows with equal id and text the one whose other columns come first as JSON, which maps have too.
+    picked = F.min_by(F.struct(*others), F.to_json(F.struct(*others))) if others else F.lit(None)
+    again = again.groupBy("doc_id", "text").agg(picked.alias(rest)).select("doc_id", "text", *(F.col(rest)[c].alias(c) for c in others)).select(*docs.columns)
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    known = docs.where("doc_id is not null").select(digest.alias("_known"))
-    bare = again.where("doc_id is null").join(known, digest == F.col("_known"), "left_anti")
-    return apart.unionByName(again.where("doc_id is not null")).unionByName(bare)
+    texts = docs.where("doc_id is not null").select(digest.alias(known))
+    bare = again.where("doc_id is null").join(texts, digest == F.col(known), "left_anti")
+    return alone.unionByName(again.where("doc_id is not null")).unionByName(bare)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,6 +79,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark):  # of the stages' tables the last alone is left
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=name == STAGES[-1][0])
+    return docs

@@ -60,9 +60,13 @@ BY_WORD = {
     }.items()
     for word in words.split()
 }
+#: Words that a token may have beside those of a role, words that claim nothing below an article, and whole tokens of a role.
+FILLING = set("area bar banner block bottom box buttons col container global group head inner item items left links list outer page panel primary right row secondary section site slot top unit wrap wrapper".split())
+WEAK = set("alert copyright disclaimer discussion foot search side story tags tools".split())
+BY_TOKEN = {f"related-{x}": "side" for x in ("articles", "links", "posts", "stories")}
 ARTICLE, HEADER = 1 << ROLES.index("article"), 1 << ROLES.index("header")
 CLOSING = tuple(".!?:;\"'”»)…。")
-FEATURES = [*ROLES, "heading", "paragraph", "item", "link_share", "log_words", "closed", "few_words", "constant"]
+FEATURES = [*ROLES, "heading", "paragraph", "item", "link_share", "article_links", "log_words", "closed", "few_words", "constant"]
 NEXT, SIBLING, CLIP = 0.4, 0.8, 6.0
 FIT_PAGES, FIT_SEED = 240, 11
 
@@ -79,21 +83,29 @@ class Block:
 
 
 @lru_cache(maxsize=4096)
-def roles_of(tag: str, attributes: str) -> int:
-    """Bits of the roles that an element's name, class, id and role claim; -1 if it is hidden."""
-    bits = 1 << ROLES.index(BY_TAG[tag]) if tag in BY_TAG else 0
-    if not attributes:
-        return bits
-    for name, a, b, c in ATTR.findall(attributes):
-        name, value = name.lower(), a or b or c
-        if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return -1
-        if name in ("class", "id", "role", "aria-label", "itemprop"):
-            for word in _words.findall(value):
-                role = BY_WORD.get(word.lower())
-                if role and (role != "article" or tag in ("div", "section", "main", "article", "td")):
-                    bits |= 1 << ROLES.index(role)
-    return bits
+def roles_of(tag: str, attributes: str) -> tuple[int, int]:
+    """Bits of the roles that an element's name, class, id and role claim; those of words that mean little within an article apart.
+
+    A class or id is looked at token by token, and a token claims a role only if all of its words are known: ad-slot does, ad-hoc doesn't.
+    """
+    bits, weak = 1 << ROLES.index(BY_TAG[tag]) if tag in BY_TAG else 0, 0
+    for name, a, b, c in ATTR.findall(attributes) if attributes else ():
+        if name.lower() not in ("class", "id", "role", "aria-label", "itemprop"):
+            continue
+        value = a or b or c
+        for token in [value] if name.lower() == "aria-label" else value.split():
+            parts = [w.lower() for w in _words.findall(token)]
+            if "-".join(parts) in BY_TOKEN:
+                bits |= 1 << ROLES.index(BY_TOKEN["-".join(parts)])
+            elif all(w in BY_WORD or w in FILLING for w in parts) and not set(re.sub("[A-Za-z _-]", "", token)) - set("0123456789"):
+                for word in parts:
+                    role = BY_WORD.get(word)
+                    if role and (role != "article" or tag in ("div", "section", "main", "article", "td")):
+                        if word in WEAK:
+                            weak |= 1 << ROLES.index(role)
+                        else:
+                            bits |= 1 << ROLES.index(role)
+    return bits, weak
 
 
 def blocks(page: str) -> list[tuple[str, Block]]:
@@ -128,9 +140,9 @@ def blocks(page: str) -> list[tuple[str, Block]]:
 
     def pop(k: int) -> None:
         nonlocal links, quiet
-        for tag, bits, _ in stack[k:]:
+        for tag, _, _ in stack[k:]:
             links -= tag == "a"
-            quiet -= tag == "head" or bits < 0
+            quiet -= tag == "head"
         del stack[k:]
 
     size = len(page)
@@ -184,13 +196,15 @@ def blocks(page: str) -> list[tuple[str, Block]]:
                     break
                 if stack[k][0] in BLOCK:
                     break
-        own = roles_of(tag, (m[3] or m[6] or "").strip())
+        own, weak = roles_of(tag, (m[3] or m[6] or "").strip())
         number += 1
         above = stack[-1][1] if stack else 0
-        if tag == "header" and above > 0 and above & ARTICLE and own >= 0:
+        if not above & ARTICLE:
+            own |= weak
+        elif tag == "header":
             own &= ~HEADER  # an article's own header holds its title
-        bits = -1 if own < 0 or above < 0 else above | own
-        quiet += tag == "head" or bits < 0
+        bits = above | own
+        quiet += tag == "head"
         links += tag == "a"
         stack.append((tag, bits, number))
     close()
@@ -203,7 +217,7 @@ def features(text: str, block: Block) -> list[float]:
     tag = block.tag
     return [
         *(float(block.roles >> k & 1) for k in range(len(ROLES))), float(tag[0] == "h" and tag[1:].isdigit()), float(tag in ("p", "blockquote", "pre")), float(tag in ("li", "dt", "dd", "td", "th", "option")),
-        min(1.0, block.linked / letters), math.log1p(n), float(text.endswith(CLOSING)), float(n < 4), 1.0,
+        (linked := min(1.0, block.linked / letters)), linked * bool(block.roles & ARTICLE), math.log1p(n), float(text.endswith(CLOSING)), float(n < 4), 1.0,
     ]
 
 
@@ -222,7 +236,7 @@ def _page(rng: np.random.Generator) -> list[tuple[str, int]]:
         "notice": lambda: pick(f'<div class="cookie-notice"><p>{sentence(8, 25)}</p><button>ok</button></div>', f'<div id="newsletter"><p>{sentence(6, 20)}</p></div>', f'<div class="alert">{sentence(5, 15)}</div>'),
         "ad": lambda: pick(f'<div class="ad">{sentence(3, 15)}</div>', f'<div class="sponsored"><p>{sentence(5, 20)}</p></div>', f'<div id="ad-top"><a href="x">{line(3, 9)}</a></div>'),
         "form": lambda: f"<form><label>{line(1, 3)}</label><input name=q><button>{word()}</button><p>{sentence(4, 12)}</p></form>",
-        "comment": lambda: pick(*(f'<{t} {a}><h3>{line(1, 3)}</h3>' + "".join(f'<div class="{c}"><p>{sentence(4, 40)}</p></div>' for _ in range(rng.integers(1, 5))) + f"</{t}>" for t, a, c in (("section", 'id="comments"', "comment"), ("div", 'class="comments"', "body"), ("div", 'class="discussion"', "reply")))),
+        "comment": lambda: pick(*(f'<{t} {a}><h3>{line(1, 3)}</h3>' + "".join(f'<div class="{c}"><p>{sentence(4, 40)}</p></div>' for _ in range(rng.integers(1, 5))) + f"</{t}>" for t, a, c in (("section", 'id="comments"', "comment"), ("div", 'class="comments"', "body"), ("div", 'class="replies"', "reply")))),
         "share": lambda: f'<div class="share"><a href="x">{word()}</a> <a href="y">{word()}</a></div>',
     }
     out: list[tuple[str, int]] = []
@@ -232,6 +246,8 @@ def _page(rng: np.random.Generator) -> list[tuple[str, int]]:
     out.append((opened, -1))
     out.append((f"<h1>{line(2, 12)}</h1>", 1))
     for _ in range(rng.integers(1, 14)):
+        if "article" in opened and rng.random() < 0.15:  # a list of links may be what an article says
+            out.append((menu(), 1))
         body = " ".join(sentence(*pick((1, 4), (4, 18), (10, 40))) for _ in range(rng.integers(1, 4)))
         out.append((pick(f"<p>{body}</p>", f"<p>{body}</p>", f"<p>{body}</p>", f"<h2>{line(1, 6)}</h2>", f"<ul><li>{body}</li><li>{sentence(2, 12)}</li></ul>", f"<blockquote>{body}</blockquote>", f'<p>{body} <a href="z">{line(1, 4)}</a>, {sentence(2, 8)}</p>', f"<div>{body}</div>"), 1))
         if rng.random() < 0.12:
@@ -331,6 +347,8 @@ def main_text(page: str | None, weights: tuple[float, ...]) -> str:
     found = blocks(page or "")
     if not found:
         return ""
+    if not TAG.search(page or ""):
+        return "\n".join(text for text, _ in found)  # a page without any markup is text
     odds = [max(-CLIP, min(CLIP, x)) for x in (np.array([features(t, b) for t, b in found]) @ np.array(weights)).tolist()]
     edges = [(i, i + 1, NEXT) for i in range(len(found) - 1)]
     last: dict[int, int] = {}

@@ -267,3 +267,24 @@ def test_cells_hold_their_points_and_far_cells_are_left_out():
 
 def test_equal_points_make_one_cell():
     assert len(ann.Cells(np.ones((50, 3)), 8).low) == 1 and ann.Cells(np.empty((0, 3)), 8).of(np.ones((2, 3))).tolist() == [0, 0]
+
+
+def test_parts_of_an_article_stay_whatever_they_are_called():
+    weights = htmltext.fit()
+    frame = "<html><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>About us</a></li></ul></nav><article><h1>On sorting lists</h1><p>The first paragraph has a good many words in it, as articles do.</p>{}<p>The last paragraph also has more than a few words, and ends.</p></article><div class='ad-slot'>Buy this now.</div><footer>All rights reserved.</footer></body></html>"
+    page = lambda part: htmltext.main_text(frame.format(part), weights).split("\n")
+    bare = page("")
+    assert len(bare) == 3
+    text = "This part belongs to the article, and says a thing or two about the matter."
+    for attribute in ('class="ad-hoc"', 'class="side-by-side"', 'class="discussion"', 'id="search"', "hidden", 'style="display: none"', 'class="related-work"', 'class="notice-period"'):
+        assert page(f"<section {attribute}><p>{text}</p></section>") == [*bare[:2], text, bare[2]], attribute
+    links = page('<ul><li><a href="/q">Quick sort explained</a></li><li><a href="/m">Merge sort in depth</a></li></ul>')
+    assert links == [*bare[:2], "Quick sort explained", "Merge sort in depth", bare[2]]
+    for part in (f'<div class="ad-slot"><p>{text}</p></div>', f'<div class="cookie-banner"><p>{text}</p></div>', f'<section id="comments"><div class="comment"><p>{text}</p></div></section>', '<div class="related-posts"><ul><li><a href="/q">Quick sort explained</a></li></ul></div>', f"<aside><p>{text}</p></aside>"):
+        assert page(part) == bare, part
+
+
+def test_pages_without_markup_are_text():
+    weights = htmltext.fit()
+    assert htmltext.main_text("one unclosed line &amp; more", weights) == "one unclosed line & more"
+    assert htmltext.main_text("a < b", weights) == "a < b" and htmltext.main_text(" \n", weights) == ""

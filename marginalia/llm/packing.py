@@ -271,9 +271,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, shard_rows: int = 20_000) -
     return found.select(*parts.columns, "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """The pieces with their ids, sequence_id and offset: a sequence is the ids of its pieces in order of offset.
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS, with_ids: bool = True) -> DataFrame:
+    """The pieces with their ids, sequence_id and offset: a sequence is the ids of its pieces in order of offset. with_ids: else only their digests are kept.
 
     cache_words: what a worker remembers, some 200 bytes each; it trades memory for time and changes no result.
     """
-    return pack(written(pieces(docs, tokenizer_path, capacity, with_ids=True, cache_words=cache_words), "pieces"), capacity)
+    return pack(written(pieces(docs, tokenizer_path, capacity, with_ids=with_ids, cache_words=cache_words), "pieces"), capacity)

@@ -50,7 +50,7 @@ def op6_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marginalia.llm.packing import pack_documents
 
-    return pack_documents(read(spark, sf_dir, "documents")).drop("ids")  # the digest stands for them
+    return pack_documents(read(spark, sf_dir, "documents"), with_ids=False)  # digests stand for them
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

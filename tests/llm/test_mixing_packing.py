@@ -213,3 +213,9 @@ def test_pieces_over_a_whole_table(spark, sf, tokenizer):
 def test_rows_of_one_id_are_packed_apart(spark):
     got = packing.pack_documents(spark.createDataFrame([(1, "a b", "x", "y", 3), (1, "a b", "x", "y", 3), (None, "c", None, None, None)], DOCS)).collect()
     assert sorted(r["offset"] for r in got) == [0, 3, 6] and {r["sequence_id"] for r in got} == {0}
+
+
+def test_packing_without_ids_is_the_same(spark):
+    docs = documents(spark, ["Some words, here.", None, "x " * 9000, ""])
+    both = [sorted(map(tuple, packing.pack_documents(docs, with_ids=k).drop("ids").collect())) for k in (True, False)]
+    assert both[0] == both[1] and "ids" not in packing.pack_documents(docs, with_ids=False).columns

@@ -13,9 +13,9 @@ def query_words(query: str) -> list[str]:
     return [w for w in query.lower().split() if len(w) > 2]
 
 
-def keyword_score(text: Column, query: str) -> Column:
-    """0.9 for the phrase, else by the share of its words, 0.3 at least; null without a match."""
-    low, phrase, words = F.lower(text), query.lower().strip(), query_words(query)
+def keyword_score(text: Column, query: str, lowered: bool = False) -> Column:
+    """0.9 for the phrase, else by the share of its words, 0.3 at least; null without a match. lowered: text has small letters already, so that it is lowered once and not once a word."""
+    low, phrase, words = text if lowered else F.lower(text), query.lower().strip(), query_words(query)
     if not phrase:
         return F.lit(None).cast("double")
     n = reduce(lambda a, b: a + b, (F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.operators.ranking import scanned
+
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key: an upsert replayed. An aggregate with partial results, not a sort."""
@@ -42,16 +44,24 @@ def without_deleted(rows: DataFrame, deletes: DataFrame, key: str) -> DataFrame:
     return rows.join(last, key, "left").where("deleted_ms is null or ms > deleted_ms").drop("deleted_ms")
 
 
-def gap_sessions(df: DataFrame, key: str, gap_ms: int) -> DataFrame:
-    """(key, session, items, begun, ended): a session ends where the next row is more than gap_ms later."""
-    order = Window.partitionBy(key).orderBy("ms", "id")
-    opened = (F.col("ms") - F.lag("ms").over(order) > gap_ms) | F.lag("ms").over(order).isNull()
-    rows = df.withColumn("session", F.sum(opened.cast("long")).over(order))
-    return rows.groupBy(key, "session").agg(F.count(F.lit(1)).alias("items"), F.min("ms").alias("begun"), F.max("ms").alias("ended"))
-
+def gap_sessions(df: DataFrame, key: str, gap_ms: int, bucket_ms: int | None = None) -> DataFrame:
+    """(key, session, items, begun, ended): a session ends where the next row is more than gap_ms later.
 
-def throttled(df: DataFrame, key: str, order: str, length: str, every: int = 50) -> DataFrame:
-    """Rows at which the running length has passed another multiple of ``every``."""
-    upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("running", F.sum(length).over(upto))
+    bucket_ms: rows are looked at in spans of so much time, and each span gets from the ones before it when they ended and how many sessions they
+    opened, so that a key of very many rows is no single task's work.
+    """
+    rows = df.withColumn("_span", F.floor(F.col("ms") / bucket_ms) if bucket_ms else F.lit(0).cast("long"))
+    order, spans = Window.partitionBy(key, "_span").orderBy("ms", "id"), Window.partitionBy("_key").orderBy("_of")
+    ended = rows.groupBy(F.col(key).alias("_key"), F.col("_span").alias("_of")).agg(F.max("ms").alias("_last"))
+    ended = ended.select("_key", "_of", F.lag("_last").over(spans).alias("_before"))
+    joined = rows.join(ended, rows[key].eqNullSafe(F.col("_key")) & (rows["_span"] == F.col("_of"))).drop("_key", "_of")
+    last = F.coalesce(F.lag("ms").over(order), "_before")
+    opened = joined.withColumn("_opens", (last.isNull() | (F.col("ms") - last > gap_ms)).cast("long")).drop("_before")
+    numbers = scanned(opened, key, ["ms", "id"], "_opens", "session", F.col("_span"))
+    return numbers.groupBy(key, "session").agg(F.count(F.lit(1)).alias("items"), F.min("ms").alias("begun"), F.max("ms").alias("ended"))
+
+
+def throttled(df: DataFrame, key: str, order: str, length: str, every: int = 50, bucket: Column | None = None) -> DataFrame:
+    """Rows at which the running length has passed another multiple of ``every``. bucket: rises along with order, see ``scanned``."""
+    rows = scanned(df, key, [order], length, "running", bucket)
     return rows.where(F.floor(F.col("running") / every) > F.floor((F.col("running") - F.col(length)) / every))

@@ -39,6 +39,11 @@ def holding(text: Column, words: Sequence[str], every: bool = True) -> Column:
     return F.size(F.array_intersect(terms(text), wanted)) == F.size(wanted) if every else F.arrays_overlap(terms(text), wanted)
 
 
+def matched(text: Column, words: Sequence[str]) -> Column:
+    """How many of the words a text holds."""
+    return F.size(F.array_intersect(terms(text), F.array(*(F.lit(w) for w in sorted({w.lower() for w in words})))))
+
+
 def store(index: DataFrame, path: str, buckets: int = 64) -> None:
     """Keeps postings by the bucket of their word, sorted by word within, so that a search reads the buckets and row groups of its words alone."""
     dealt = index.withColumn("bucket", (F.crc32(F.col("word").cast("binary")) % buckets).cast("int"))

@@ -35,9 +35,27 @@ def sorted_by(df: DataFrame, allowed: dict[str, str], by: str, descending: bool,
     return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), tie)
 
 
-def numbered(df: DataFrame, key: str, order: Sequence[str], name: str) -> DataFrame:
-    """Numbers from 0 within each key."""
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))
+def scanned(df: DataFrame, key: str, order: Sequence[Column | str], value: str, name: str, bucket: Column | None = None) -> DataFrame:
+    """Running sum of value within each key, this row included.
+
+    bucket: rises along with order; then rows are summed inside (key, bucket), and what the key's earlier buckets sum to is carried over, so a key of
+    very many rows is as many tasks' work as it has buckets, and a window by key sees a row a bucket. Without it a key is one task's sort.
+    """
+    upto = Window.unboundedPreceding, 0
+    if bucket is None:
+        return df.withColumn(name, F.sum(value).over(Window.partitionBy(key).orderBy(*order).rowsBetween(*upto)))
+    rows = df.withColumn("_bucket", bucket)
+    before = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(F.col(key).alias("_key"), F.col("_bucket").alias("_of")).agg(F.sum(value).alias("_sum"))
+    totals = totals.select("_key", "_of", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = rows.withColumn("_inside", F.sum(value).over(Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(*upto)))
+    both = inside.join(totals, inside[key].eqNullSafe(F.col("_key")) & inside["_bucket"].eqNullSafe(F.col("_of")))
+    return both.withColumn(name, F.col("_before") + F.coalesce("_inside", F.lit(0))).drop("_bucket", "_inside", "_before", "_key", "_of")
+
+
+def numbered(df: DataFrame, key: str, order: Sequence[Column | str], name: str, bucket: Column | None = None) -> DataFrame:
+    """Numbers from 0 within each key; bucket as for ``scanned``."""
+    return scanned(df.withColumn("_one", F.lit(1).cast("long")), key, order, "_one", name, bucket).withColumn(name, F.col(name) - 1).drop("_one")
 
 
 def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -51,10 +69,10 @@ def top_per(df: DataFrame, key: str, order: Sequence[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long")).where(F.col(rank) <= k)
 
 
-def diversified(df: DataFrame, key: str, score: str, tie: str, step: float = 0.1) -> DataFrame:
-    """A later result of the same key loses step for each better one, down to 0."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), tie)) - 1
-    return df.withColumn(score, F.greatest(F.lit(0.0), F.col(score) - step * place))
+def diversified(df: DataFrame, key: str, score: str, tie: str, step: float = 0.1, bucket: Column | None = None) -> DataFrame:
+    """A later result of the same key loses step for each better one, down to 0. bucket: falls as score rises, as for ``scanned``."""
+    placed = numbered(df, key, [F.desc(score), F.col(tie)], "_place", bucket)
+    return placed.withColumn(score, F.greatest(F.lit(0.0), F.col(score) - step * F.col("_place"))).drop("_place")
 
 
 def running_sum(df: DataFrame, bucket: Column, order: Sequence[Column], value: str, name: str) -> DataFrame:

@@ -61,12 +61,12 @@ def fragment_concat(spark: SparkSession, sf: str) -> DataFrame:
 @query("throttle", with_views("SELECT id, CAST(running AS BIGINT) AS running FROM (SELECT id, length(content) AS n, sum(length(content)) OVER (PARTITION BY conv_id ORDER BY seq) AS running FROM messages) WHERE floor(running / 500) > floor((running - n) / 500)"))
 def throttle(spark: SparkSession, sf: str) -> DataFrame:
     sized = messages(spark, sf).select("id", "conv_id", "seq", F.length("content").cast("long").alias("n"))
-    return ev.throttled(sized, "conv_id", "seq", "n", 500).select("id", "running")
+    return ev.throttled(sized, "conv_id", "seq", "n", 500, F.floor(F.col("seq") / 4)).select("id", "running")
 
 
 @query("gap_sessions", with_views("SELECT workspace, CAST(s AS BIGINT) AS session, count(*) AS items, min(ms) AS begun, max(ms) AS ended FROM (SELECT workspace, ms, sum(n) OVER (PARTITION BY workspace ORDER BY ms, id) AS s FROM (SELECT workspace, id, ms, CASE WHEN coalesce(ms - lag(ms) OVER (PARTITION BY workspace ORDER BY ms, id) > 1800000, TRUE) THEN 1 ELSE 0 END AS n FROM activity)) GROUP BY workspace, s"))
 def gap_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.gap_sessions(activity(spark, sf).select("workspace", "id", "ms"), "workspace", 1_800_000)
+    return ev.gap_sessions(activity(spark, sf).select("workspace", "id", "ms"), "workspace", 1_800_000, 7 * 86_400_000)
 
 
 @query("export_finetune", with_views("SELECT conv_id, to_json({'messages': list({'role': role, 'content': content} ORDER BY seq)})::VARCHAR AS line FROM messages WHERE role <> 'system' GROUP BY conv_id"))

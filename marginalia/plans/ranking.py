@@ -22,12 +22,12 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("seq_renumber", with_views("SELECT id, conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY ms, id) - 1 AS sequence_number FROM messages"))
 def seq_renumber(spark: SparkSession, sf: str) -> DataFrame:
-    return rank.numbered(messages(spark, sf), "conv_id", ["ms", "id"], "sequence_number").select("id", "conv_id", "sequence_number")
+    return rank.numbered(messages(spark, sf), "conv_id", ["ms", "id"], "sequence_number", F.floor(F.col("ms") / 600_000)).select("id", "conv_id", "sequence_number")
 
 
 @query("diversity_penalty", with_views(f"SELECT id, workspace, round(greatest(0.0, score - 0.1 * (row_number() OVER (PARTITION BY workspace ORDER BY score DESC, id) - 1)), 6) AS score FROM ({SCORED}) WHERE type = 'click'"))
 def diversity_penalty(spark: SparkSession, sf: str) -> DataFrame:
-    return rank.diversified(scored(spark, sf).where("type = 'click'"), "workspace", "score", "id").select("id", "workspace", F.round("score", 6).alias("score"))
+    return rank.diversified(scored(spark, sf).where("type = 'click'"), "workspace", "score", "id", bucket=F.floor(F.col("score") * -4)).select("id", "workspace", F.round("score", 6).alias("score"))
 
 
 @query("first_wins", with_views("SELECT session, id, type FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ms, id) AS r FROM activity) WHERE r = 1"))
@@ -124,4 +124,6 @@ TERMS_SQL = "SELECT DISTINCT unnest(list_filter(string_split_regex(regexp_replac
 
 @query("postings_or", with_views(f"SELECT id, count(*) AS matched FROM ({TERMS_SQL}) WHERE word IN ('the', 'and', 'nicht') GROUP BY id"))
 def postings_or(spark: SparkSession, sf: str) -> DataFrame:
-    return index.any_of(index.postings(notes(spark, sf), "doc_id", "content"), ["The", "and", "nicht"])
+    """Without a kept index: each text is looked at once, and no words are dealt out."""
+    found = index.matched(F.col("content"), ["The", "and", "nicht"]).cast("long").alias("matched")
+    return notes(spark, sf).select(F.col("doc_id").alias("id"), found).where("matched > 0")

@@ -48,8 +48,10 @@ def content_search(spark: SparkSession, sf: str) -> DataFrame:
 
     Scores come first and snippets only for the ten rows that are left.
     """
-    score = tx.combined(tx.keyword_score(F.col("content"), QUERY), tx.fuzzy_score(F.col("name"), "doc1"))
-    best = notes(spark, sf).select("doc_id", "path", "content", F.round(score, 6).alias("score")).where("score is not null").orderBy(F.desc("score"), "doc_id").limit(10)
+    score = tx.combined(tx.keyword_score(F.col("low"), QUERY, lowered=True), tx.fuzzy_score(F.col("name"), "doc1"))
+    scored_notes = notes(spark, sf).withColumn("low", F.lower("content")).select("doc_id", "path", "content", F.round(score, 6).alias("score"))
+    # Notes without a score go after the limit: a filter before it would be pushed to the scan and work every score out twice.
+    best = scored_notes.orderBy(F.col("score").desc_nulls_last(), "doc_id").limit(10).where("score is not null")
     return best.select("doc_id", "path", "score", tx.snippet(F.col("content"), tx.found_at(F.col("content"), QUERY), len(QUERY)).alias("snippet"))
 
 

@@ -224,3 +224,26 @@ def test_trees_without_circles(spark):
 
     nodes = spark.createDataFrame([(1, None, "r"), (2, 1, "a"), (3, 2, "b"), (4, 5, "c"), (5, 4, "d"), (6, 3, "deep")], "id int, parent int, name string")
     assert sorted((r["id"], r["path"], r["level"]) for r in flattened(nodes, 2).collect()) == [(1, "r", 0), (2, "r/a", 1), (3, "r/a/b", 2)]
+
+
+def test_windows_in_two_levels_are_those_of_one(spark):
+    """A hot key, null keys and ties: the same rows with and without buckets, and no window by the key alone sees more than a row a bucket."""
+    import random
+
+    from marginalia.operators import events as ev
+    from marginalia.operators import ranking
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["hot", "hot", "a", None]), rng.randrange(5000), rng.randrange(20), round(rng.random(), 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k string, ms long, n long, score double")
+    span = F.floor(F.col("ms") / 300)
+    both = lambda f, bucket: [sorted(map(tuple, f(b).collect()), key=repr) for b in (None, bucket)]
+    for one, two in (
+        both(lambda b: ranking.numbered(df, "k", ["ms", "id"], "at", b).select("id", "at"), span), both(lambda b: ranking.scanned(df, "k", ["ms", "id"], "n", "sum", b).select("id", "sum"), span),
+        both(lambda b: ranking.diversified(df, "k", "score", "id", bucket=b).select("id", F.round("score", 6)), F.floor(F.col("score") * -7)), both(lambda b: ev.gap_sessions(df.select("k", "id", "ms"), "k", 40, b), 300),
+        both(lambda b: ev.gap_sessions(df.select("k", "id", "ms"), "k", 700, b), 300), both(lambda b: ev.throttled(df.withColumn("o", F.col("ms") * 1000 + F.col("id")), "k", "o", "n", 50, b).select("id", "running"), span),
+    ):
+        assert one == two and len(one) >= 3
+    plan = ranking.numbered(df, "k", ["ms", "id"], "at", span)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.split("\n") if "Window [" in x]
+    assert len(windows) == 2 and sum("_bucket" in x for x in windows) == 1 and any("Aggregate" in x for x in plan[plan.index("_key"):].split("\n"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.paths import folder
-from marginalia.operators import graph
+from marginalia.operators import graph, pointers
 from marginalia.operators.joins import link_key
 from marginalia.plans.registry import query
 from marginalia.sources.tables import activity, load, notes, with_views
@@ -62,3 +62,47 @@ def subtree(spark: SparkSession, sf: str) -> DataFrame:
 def key_files(spark: SparkSession, sf: str) -> DataFrame:
     own = notes(spark, sf).select(folder(F.col("path")).alias("folder"), "name", "modified")
     return own.groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("name").rlike("^doc_[0-9]*0$")).alias("key_files"), F.max("modified").alias("newest"))
+
+
+def _deep(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as a tree in which each number's parent is its half, with a circle: 3 is below 6."""
+    c = load(spark, sf, "customer")
+    parent = F.when(F.col("c_custkey") == 3, 6).when(F.col("c_custkey") > 1, F.floor(F.col("c_custkey") / 2))
+    return c.select(F.col("c_custkey").alias("id"), parent.cast("long").alias("parent"), F.col("c_nationkey").cast("string").alias("name"))
+
+
+_DEEP = "WITH RECURSIVE n AS (SELECT c_custkey AS id, CASE WHEN c_custkey = 3 THEN 6 WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent, c_nationkey || '' AS name FROM customer), t AS (SELECT id, name AS path, 0 AS level FROM n WHERE parent IS NULL UNION ALL SELECT n.id, path || '/' || name, level + 1 FROM n JOIN t ON n.parent = t.id)"
+
+
+@query("tree_deep", f"{_DEEP} SELECT n.id, path, level FROM n LEFT JOIN t ON n.id = t.id")
+def tree_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths in a tree whose depth nobody says; nodes in a circle and below it have none."""
+    return pointers.tree_paths(_deep(spark, sf))
+
+
+@query("tree_below", f"{_DEEP}, top AS (SELECT path FROM t WHERE id = 5) SELECT t.id, t.level FROM t, top WHERE starts_with(t.path, top.path || '/')")
+def tree_below(spark: SparkSession, sf: str) -> DataFrame:
+    """A node of the tree found by its path, and everything whose path is below it."""
+    found = pointers.tree_paths(_deep(spark, sf))
+    path = found.where("id = 5").select("path").scalar()
+    return found.where(graph.below(F.col("path"), path)).select("id", "level")
+
+
+def file_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as events of files: of each seven of a customer the first makes a file, the next move it from folder to folder, the last deletes it."""
+    o = load(spark, sf, "orders").select("o_orderkey", "o_custkey", F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("at"))
+    own = o.withColumn("k", F.row_number().over(Window.partitionBy("o_custkey").orderBy("at", "o_orderkey")))
+    place = lambda k: F.concat(F.lit("f"), (k % 5).cast("string"), F.lit("/c"), F.col("o_custkey").cast("string"))
+    kind = F.when(F.col("k") % 7 == 1, "create").when(F.col("k") % 7 == 0, "delete").otherwise("rename")
+    # A creation is where the file is made; a rename or deletion starts from where the last event left it.
+    return own.select(F.col("o_orderkey").alias("id"), "at", kind.alias("type"), F.when(kind == "create", place(F.col("k"))).otherwise(place(F.col("k") - 1)).alias("path"), F.when(kind == "rename", place(F.col("k"))).alias("new_path"))
+
+
+@query("file_renames", """WITH e AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders)
+SELECT o_custkey, (k - 1) // 7 + 1 AS life, count(*) FILTER (k % 7 > 1) AS renames, CASE WHEN max(k) % 7 = 0 THEN 'deleted' END AS ending, 'f' || (max(k) - CASE WHEN max(k) % 7 = 0 THEN 1 ELSE 0 END) % 5 AS folder FROM e GROUP BY o_custkey, (k - 1) // 7""")
+def file_renames(spark: SparkSession, sf: str) -> DataFrame:
+    """Every file that ever was: how often it moved, where it is or last was, and how it ended."""
+    files = pointers.renamed(file_events(spark, sf))
+    customer = F.regexp_extract("path", "c([0-9]+)$", 1).cast("long")
+    life = F.row_number().over(Window.partitionBy(customer).orderBy("born", "id"))
+    return files.select(customer.alias("o_custkey"), life.cast("long").alias("life"), F.col("renames").cast("long").alias("renames"), "ending", F.substring_index("path", "/", 1).alias("folder"))

@@ -247,3 +247,42 @@ def test_windows_in_two_levels_are_those_of_one(spark):
     plan = ranking.numbered(df, "k", ["ms", "id"], "at", span)._jdf.queryExecution().optimizedPlan().toString()
     windows = [x for x in plan.split("\n") if "Window [" in x]
     assert len(windows) == 2 and sum("_bucket" in x for x in windows) == 1 and any("Aggregate" in x for x in plan[plan.index("_key"):].split("\n"))
+
+
+def test_trees_of_any_depth_and_circles(spark):
+    from marginalia.operators import pointers
+
+    rows = [(i, i - 1 if i else None, f"n{i}") for i in range(70)] + [(100, 101, "a"), (101, 102, "b"), (102, 100, "c"), (103, 101, "d"), (104, 999, "e"), (105, 104, "f"), (106, None, "g"), (107, 107, "h")]
+    got = {r["id"]: (r["path"], r["level"]) for r in pointers.tree_paths(spark.createDataFrame(rows, "id long, parent long, name string")).collect()}
+    assert got == {i: ("/".join(f"n{k}" for k in range(i + 1)), i) if i < 70 else ("g", 0) if i == 106 else (None, None) for i, _, _ in rows}
+    assert pointers.tree_paths(spark.createDataFrame([], "id long, parent long, name string")).collect() == []
+
+
+def test_files_through_their_renames(spark):
+    import random
+
+    from marginalia.operators import pointers
+
+    for seed in range(3):
+        rng = random.Random(seed)
+        events = [(i, i, rng.choice(["create", "create", "rename", "rename", "rename", "delete"]), rng.choice("abcdef"), None) for i in range(120)]
+        events = [(i, at, kind, path, rng.choice([x for x in "abcdef" if x != path]) if kind == "rename" else None) for i, at, kind, path, _ in events]
+        there, files = {}, {}
+        for i, _, kind, path, new in events:
+            if kind == "delete":
+                if path in there:
+                    files[there.pop(path)][2] = "deleted"
+                continue
+            if kind == "rename" and path in there:
+                own = there.pop(path)
+                files[own][1] += 1
+            else:
+                own = i
+                files[own] = [None, 0, None]
+            at = new if kind == "rename" else path
+            if at in there:
+                files[there[at]][2] = "replaced"
+            there[at] = own
+            files[own][0] = at
+        got = pointers.renamed(spark.createDataFrame(events, "id long, at long, type string, path string, new_path string")).collect()
+        assert {r["id"]: [r["path"], r["renames"], r["ending"]] for r in got} == files

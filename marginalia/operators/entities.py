@@ -186,3 +186,9 @@ def tables(log: DataFrame) -> dict[str, DataFrame]:
     """All six from a log of ENVELOPE. An event may be there more than once."""
     found, touched = accounts(log), touches(log).distinct()
     return {name: table(found, name, touched) for name in ENTITIES}
+
+
+def ask(held: dict[str, DataFrame], sql: str, **values: object) -> DataFrame:
+    """SQL over the tables, which it names in braces, with parameters (``:name``) that are bound and never become SQL text."""
+    spark = next(iter(held.values())).sparkSession
+    return spark.sql(sql, args=values, **{name: df for name, df in held.items() if "{" + name + "}" in sql})

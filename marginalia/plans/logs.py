@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.operators import events as ev
 from marginalia.plans.registry import query
 from marginalia.sources.tables import activity, load, messages, with_views
-from marginalia.streaming import live, wire
+from marginalia.streaming import binding, live, wire
 
 
 def log(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,3 +173,22 @@ def stream_wire(spark: SparkSession, sf: str) -> DataFrame:
         found = live.drained(wire.answers(stream(), 5_400_000), "append", wire.ANSWER, folder)
     calls = F.array_join(F.transform("calls", lambda c: F.concat_ws(":", c["index"].cast("string"), c["id"], c["name"], c["arguments"])), ";")
     return found.select("stream", "content", calls.alias("calls"), "prompt_tokens", "ending", "events", "bad")
+
+
+@query("stream_binding", """WITH c AS (SELECT event_id AS id, ts, user_id, k, CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN 'plan ' || user_id ELSE 's-' || strftime(ts, '%Y%m%d') || lpad(user_id || '', 6, '0') END AS session, CASE WHEN k > 30 THEN 'w' || k % 3 END AS workspace, user_id % 10 = 3 AS there FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)),
+b AS (SELECT *, CASE WHEN there THEN 'w9' ELSE first_value(workspace IGNORE NULLS) OVER (PARTITION BY session ORDER BY ts, id ROWS UNBOUNDED PRECEDING) END AS held, NOT there AND row_number() OVER (PARTITION BY session ORDER BY ts, id) = 1 AS made FROM c WHERE k % 4 > 1)
+SELECT id, 's-' || strftime(ts, '%Y%m%d%H%M%S') || '-' || id AS session_id, CASE session WHEN '' THEN 'Default Session' ELSE session END AS name, TRUE AS created, workspace, FALSE AS refused FROM c WHERE k % 4 < 2
+UNION ALL SELECT id, session, CASE WHEN made THEN 'Session ' || session END, made, held, workspace IS NOT NULL AND workspace <> held FROM b""")
+def stream_binding(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as calls that name a session by id, by a friendly name or not at all, in two runs of a stream; a tenth of the users have sessions already."""
+    folder = live.shared_dir(spark)
+    e = load(spark, sf, "events").withColumns({"ts": F.col("ts").cast("timestamp"), "k": F.get_json_object("props", "$.k").cast("long")})
+    own = F.concat(F.lit("s-"), F.date_format("ts", "yyyyMMdd"), F.lpad(F.col("user_id").cast("string"), 6, "0"))
+    named = F.when(F.col("k") % 4 == 0, "").when(F.col("k") % 4 == 1, F.concat(F.lit("plan "), F.col("user_id").cast("string"))).otherwise(own)
+    calls = e.select(F.col("event_id").alias("id"), "ts", named.alias("session"), F.when(F.col("k") > 30, F.concat(F.lit("w"), (F.col("k") % 3).cast("string"))).alias("workspace"))
+    known = e.where("user_id % 10 = 3").select(own.alias("session_id"), F.lit("w9").alias("workspace")).distinct()
+    middle = e.agg(F.min("ts") + (F.max("ts") - F.min("ts")) / 2).scalar()
+    for second in (False, True):
+        calls.where((F.col("ts") >= middle) == F.lit(second)).write.parquet(f"{folder}/in/second={second}")
+        found = live.drained(binding.bound(spark.readStream.schema(binding.CALLS).parquet(f"{folder}/in/*"), known), "append", binding.BOUND, folder)
+    return found.drop("batch")

@@ -204,3 +204,11 @@ def log_files(spark: SparkSession, sf: str) -> DataFrame:
     lines.repartition(3, "device").write.partitionBy("device").text(path)
     stats = eventlog.file_stats(spark, path)
     return stats.agg(F.sum("events").alias("events"), F.count_distinct(F.regexp_extract("path", "device=([^/]*)", 1)).alias("files"))
+
+
+@query("tables_ask", f"SELECT c.title, m.role, count(*) AS messages, max(m.sequence_number) AS last FROM ({SQL['conversations']}) c JOIN ({SQL['messages']}) m ON m.conversation_id = c.id WHERE m.state = 'complete' AND c.title <> 'reborn' GROUP BY c.title, m.role HAVING count(*) >= 2")
+def tables_ask(spark: SparkSession, sf: str) -> DataFrame:
+    """SQL with parameters over the tables that the log has become."""
+    tables = ent.tables(written_log(spark, sf))
+    sql = "SELECT c.title, m.role, count(*) AS messages, max(m.sequence_number) AS last FROM {conversations} c JOIN {messages} m ON m.conversation_id = c.id WHERE m.state = :state AND c.title <> :title GROUP BY c.title, m.role HAVING count(*) >= :least"
+    return ent.ask(tables, sql, state="complete", title="reborn", least=2)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from marginalia.operators import aggregates, joins
 from marginalia.operators.textindex import TextIndex
 from marginalia.plans.search import consolidated
-from marginalia.streaming import live, wire
+from marginalia.streaming import binding, live, wire
 
 WORDS = ["a", "b", "the", "naïve", "running", "run", "x1"]
 
@@ -146,3 +146,20 @@ def test_names_that_hold_one_another(spark):
     b = {"".join(rng.choice("ab") for _ in range(rng.randrange(0, 9))) for _ in range(40)} | {"a brand", "é"}
     got = joins.holding_one_another(spark.createDataFrame([(x,) for x in a], "a string"), spark.createDataFrame([(x,) for x in b], "b string")).collect()
     assert sorted(map(tuple, got)) == sorted((x, y) for x in a for y in b if x and y and (x in y or y in x))
+
+
+def test_sessions_are_bound_once_and_forgotten_when_idle(spark, tmp_path):
+    put = lambda name, rows: spark.createDataFrame(rows, "id long, ts string, session string, workspace string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+    known = spark.createDataFrame([("s-00000000000009", "k")], "session_id string, workspace string")
+    run = lambda: live.drained(binding.bound(spark.readStream.schema(binding.CALLS).parquet(f"{tmp_path}/in/*"), known), "append", binding.BOUND, f"file://{tmp_path}/run")
+    one, nine = "s-00000000000001", "s-00000000000009"
+    put("a", [(3, "2024-01-01 00:00:03", one, "b"), (1, "2024-01-01 00:00:01", one, None), (2, "2024-01-01 00:00:02", one, "a"), (4, "2024-01-01 00:00:04", None, "a"), (5, "2024-01-01 00:00:04", "my plan", None), (6, "2024-01-01 00:00:04", nine, "x"), (7, "2024-01-01 00:00:04", "s-123", None)])
+    run()
+    put("b", [(8, "2024-01-02 00:00:00", one, "b"), (9, "2024-03-01 00:00:00", nine, None)])
+    run()
+    put("c", [(10, "2024-03-02 00:00:00", one, "b")])  # idle for so long that it is made again
+    got = {r["id"]: (r["session_id"], r["name"], r["created"], r["workspace"], r["refused"]) for r in run().collect()}
+    assert got == {
+        1: (one, f"Session {one}", True, None, False), 2: (one, None, False, "a", False), 3: (one, None, False, "a", True), 4: ("s-20240101000004-4", "Default Session", True, "a", False), 5: ("s-20240101000004-5", "my plan", True, None, False),
+        6: (nine, None, False, "k", True), 7: ("s-20240101000004-7", "s-123", True, None, False), 8: (one, None, False, "a", True), 9: (nine, None, False, "k", False), 10: (one, f"Session {one}", True, "b", False),
+    }

@@ -51,22 +51,27 @@ def tree_paths(nodes: DataFrame) -> DataFrame:
     return below.select("id", F.when(whole, F.col("path")).alias("path"), F.when(whole, F.col("level")).alias("level"))
 
 
-def renamed(events: DataFrame) -> DataFrame:
-    """File events (id, at, type, path, new_path) to files (id, path, born, renames, ending): one row for each file that ever was.
+def renamed(events: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """File events (id, at, type, path, new_path, carried) to files (id, path, born, renames, ending, carried): one row for each file that ever was.
 
-    type is create, rename (path to new_path) or delete; events of one path are taken in order of (at, id). id is that of the event that the file came with:
-    its creation, or a rename of a path that no event before it had made, which came from elsewhere. path is the last one; ending is null for files that
-    are there, deleted, or replaced by another that came to the same path. Renames and deletions of paths where nothing is are ignored otherwise.
+    type is create, rename (path to new_path), modify or delete; events of one path are taken in order of (at, id). id is that of the event that the file came
+    with: its creation, or a rename or change of a path where nothing was, which came from elsewhere. path is the last one; ending is null for
+    files that are there, deleted, or replaced by another that came to the same path. Deletions of paths where nothing is are ignored. carried
+    columns have what the last event of the file gave that wasn't null.
     """
-    arrives = events.where("type in ('create', 'rename')").select(F.when(F.col("type") == "create", F.col("path")).otherwise(F.col("new_path")).alias("path"), "at", "id", F.lit(True).alias("arrival"), F.lit(None).cast("string").alias("does"))
-    leaves = events.where("type in ('rename', 'delete')").select("path", "at", "id", F.lit(False).alias("arrival"), F.col("type").alias("does"))
-    order = Window.partitionBy("path").orderBy("at", "id", "arrival")
+    comes = F.col("type").isin("create", "rename", "modify")
+    arrives = events.where(comes).select(F.when(F.col("type") == "rename", F.col("new_path")).otherwise(F.col("path")).alias("path"), "at", "id", F.lit(True).alias("arrival"), F.lit(None).cast("string").alias("does"))
+    leaves = events.where("type in ('rename', 'modify', 'delete')").select("path", "at", "id", F.lit(False).alias("arrival"), F.col("type").alias("does"))
+    order = Window.partitionBy("path").orderBy("at", "id", "arrival")  # a change leaves a path and comes back to it
     line = arrives.unionByName(leaves).withColumns({"next_id": F.lead("id").over(order), "next_does": F.lead("does").over(order), "next_arrival": F.lead("arrival").over(order), "held": F.lag("arrival").over(order)})
-    # A rename takes a file along only where one is; else the file came with it.
-    took = line.where("not arrival and does = 'rename'").select("id", F.coalesce("held", F.lit(False)).alias("took"))
-    spans = line.where("arrival")
+    # A rename or change takes a file along only where one is; else the file came with it.
+    took = line.where("not arrival and does <> 'delete'").select("id", F.coalesce("held", F.lit(False)).alias("took"))
     ending = F.when(F.col("next_arrival"), "replaced").when(F.col("next_does") == "delete", "deleted")
-    start = spans.select("id", F.when(F.col("next_does") == "rename", F.col("next_id")).alias("next"), "path", ending.alias("ending"), F.lit(0).alias("renames"))
-    found = chased(start, {"path": F.col("b.path"), "ending": F.col("b.ending"), "renames": F.col("a.renames") + F.col("b.renames") + 1})
-    first = events.where("type in ('create', 'rename')").join(took, "id", "left").where("took is null or not took").select("id", F.col("at").alias("born"))
-    return found.join(first, "id").select("id", "path", "born", "renames", "ending")
+    moves = F.when(F.col("next_does") == "rename", 1).otherwise(0)
+    start = line.where("arrival").select("id", F.when(F.col("next_does").isin("rename", "modify"), F.col("next_id")).alias("next"), "path", ending.alias("ending"), moves.alias("renames"))
+    if carried:
+        start = start.join(events.select("id", *carried), "id")
+    more = {"path": F.col("b.path"), "ending": F.col("b.ending"), "renames": F.col("a.renames") + F.col("b.renames")} | {c: F.coalesce(f"b.{c}", f"a.{c}") for c in carried}
+    found = chased(start, more)
+    first = events.where(comes).join(took, "id", "left").where("took is null or not took").select("id", F.col("at").alias("born"))
+    return found.join(first, "id").select("id", "path", "born", "renames", "ending", *carried)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.paths import folder
 from marginalia.operators import graph, pointers
+from marginalia.operators.fileindex import FileIndex
 from marginalia.operators.joins import link_key
 from marginalia.plans.registry import query
 from marginalia.sources.tables import activity, load, notes, with_views
+from marginalia.streaming.live import shared_dir
 
 EDGES = "(SELECT src, dst FROM (SELECT workspace AS src, (workspace + k) % 150 AS dst FROM activity UNION SELECT (workspace + k) % 150, workspace FROM activity) WHERE src <> dst)"
 NODES = "(SELECT workspace AS node, round(avg(value) / 100, 6) AS score FROM activity GROUP BY workspace)"
@@ -106,3 +108,34 @@ def file_renames(spark: SparkSession, sf: str) -> DataFrame:
     customer = F.regexp_extract("path", "c([0-9]+)$", 1).cast("long")
     life = F.row_number().over(Window.partitionBy(customer).orderBy("born", "id"))
     return files.select(customer.alias("o_custkey"), life.cast("long").alias("life"), F.col("renames").cast("long").alias("renames"), "ending", F.substring_index("path", "/", 1).alias("folder"))
+
+
+_FILES = """WITH e AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders),
+f AS (SELECT o_custkey, 'f' || max(k) % 5 AS folder, CASE WHEN max(k) % 3 = 0 OR max(k) % 7 = 1 THEN max(k) ELSE greatest(max(k) - max(k) % 3, (max(k) - 1) // 7 * 7 + 1) END AS told FROM e GROUP BY o_custkey HAVING max(k) % 7 > 0)"""
+
+
+def _followed(spark: SparkSession, sf: str) -> FileIndex:
+    """An index that took the file events in two batches by time. Every third event of a customer, and each creation, says what tag the file has."""
+    e = file_events(spark, sf)
+    k = F.row_number().over(Window.partitionBy(F.regexp_extract("path", "c([0-9]+)$", 1)).orderBy("at", "id"))
+    own = e.withColumn("k", k).select(F.lpad(F.col("id").cast("string"), 20, "0").alias("id"), "at", "type", "path", "new_path", F.when((F.col("k") % 3 == 0) | (F.col("type") == "create"), F.array(F.concat(F.lit("t"), F.col("k").cast("string")))).alias("tags"), F.col("at").alias("modified"))
+    path = shared_dir(spark)
+    own.write.parquet(f"{path}/events")
+    events, index = spark.read.parquet(f"{path}/events"), FileIndex(spark, path)
+    middle = events.agg(F.percentile_approx("at", 0.6)).scalar()
+    index.update(events.where(F.col("at") <= middle))
+    index.update(events.where(F.col("at") > middle))
+    return index
+
+
+@query("file_index_folders", f"{_FILES} SELECT folder, count(*) AS files, count(DISTINCT o_custkey) AS customers FROM f WHERE folder IN ('f1', 'f3') GROUP BY folder")
+def file_index_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of two folders, from an index that followed creations, renames and deletions."""
+    found = _followed(spark, sf).in_folder(spark.createDataFrame([("f1",), ("f3",)], "folder string"))
+    return found.groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.count_distinct("path").alias("customers"))
+
+
+@query("file_index_tags", f"{_FILES} SELECT 't' || told AS tag, folder || '/c' || o_custkey AS path FROM f WHERE told IN (3, 8, 9)")
+def file_index_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that have one of three tags now, whatever they had before and wherever they were."""
+    return _followed(spark, sf).with_tag(spark.createDataFrame([("t3",), ("t8",), ("t9",)], "tag string"))

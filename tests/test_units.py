@@ -286,3 +286,37 @@ def test_files_through_their_renames(spark):
             files[own][0] = at
         got = pointers.renamed(spark.createDataFrame(events, "id long, at long, type string, path string, new_path string")).collect()
         assert {r["id"]: [r["path"], r["renames"], r["ending"]] for r in got} == files
+
+
+def test_file_index_is_that_of_a_plain_replay(spark, tmp_path):
+    import random
+
+    from marginalia.operators.fileindex import EVENTS, FileIndex
+
+    rng, files, at = random.Random(4), {}, 0
+    index = FileIndex(spark, f"file://{tmp_path}", buckets=3)
+    paths = [f"{d}{n}" for d in ("", "a/", "a/b/") for n in "xyz"]
+    for batch in range(4):
+        events = []
+        for i in range(25):
+            at += 1
+            kind, path = rng.choice(["create", "create", "modify", "rename", "rename", "delete"]), rng.choice(paths)
+            new = rng.choice([p for p in paths if p != path]) if kind == "rename" else None
+            tags = rng.choice([None, ["t"], ["t", "u"], []]) if kind != "delete" else None
+            events.append((f"{i:03}", at, kind, path, new, tags, at if kind != "delete" else None))
+            if kind == "delete":
+                files.pop(path, None)
+                continue
+            was = files.pop(path, (None, None)) if kind != "create" else (None, None)
+            files[new or path] = (tags if tags is not None else was[0], at)
+        df = spark.createDataFrame(events, EVENTS)
+        version = index.update(df)
+        if batch == 2:
+            index.update(df, version)  # done again
+        got = {r["path"]: (r["tags"], r["modified"]) for r in index.all_files().collect()}
+        assert got == files
+    folders = index.in_folder(spark.createDataFrame([("",), ("a/b",), ("no",)], "folder string")).collect()
+    assert sorted((r["folder"], r["path"]) for r in folders) == sorted((f, p) for p in files for f in [p.rsplit("/", 1)[0] if "/" in p else ""] if f in ("", "a/b"))
+    tags = index.with_tag(spark.createDataFrame([("t",), ("u",)], "tag string")).collect()
+    assert sorted((r["tag"], r["path"]) for r in tags) == sorted((t, p) for p, (own, _) in files.items() for t in own or ())
+    assert [r["path"] for r in index.file(spark.createDataFrame([("x",), ("q",)], "path string")).collect()] == ["x"] * ("x" in files)

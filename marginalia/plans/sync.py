@@ -15,6 +15,8 @@ from marginalia.streaming.sync import Sync
 #: Events from the tables: suppliers are workspaces, customers sessions, parts states, events traces and changes of workspaces, turns messages.
 #: Each is (type, number that gives id and device, time, references, data, table, condition), in SQL that both engines read; references and data are JSON, so that null and absent differ.
 T0 = 1704067200000
+#: The names of files that Spark writes lines to.
+TEXT = "*.txt"
 _SOURCES = [
     ("workspace_created", "s_suppkey * 10", f"{T0} + s_suppkey", "", """'{"id":"w' || s_suppkey || '","name":"' || s_name || '","rootFolder":"r' || s_nationkey || '","created":' || (1704067200000 + s_suppkey) || CASE WHEN s_suppkey % 2 = 0 THEN ',"dedicatedAgentId":"a' || s_nationkey || '"' ELSE '' END || '}'""", "supplier", "true"),
     ("workspace_created", "event_id * 10 + 1", "ms", "", """'{"id":"w' || user_id || '","name":"again ' || event_id || '"' || CASE WHEN k > 50 THEN ',"created":' || ms ELSE '' END || '}'""", "act", "event_type = 'signup' AND k > 30"),
@@ -59,7 +61,7 @@ def written_log(spark: SparkSession, sf: str) -> DataFrame:
     """The log, written as JSON lines and read back."""
     path = f"{live.shared_dir(spark)}/log"
     write_lines(log_lines(spark, sf), path)
-    return eventlog.read_log(spark, path, ent.ENVELOPE)
+    return eventlog.read_log(spark, path, ent.ENVELOPE, TEXT)
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
@@ -161,7 +163,7 @@ def in_parts(spark: SparkSession, sf: str, folder: str, part: Column, order: tup
     lines, sync = spark.read.parquet(f"{folder}/lines"), Sync(spark, f"{folder}/store")
     for n in order:
         write_lines(lines.where(F.col("part") == n), f"{folder}/log")
-        sync.drain(f"{folder}/log")
+        sync.drain(f"{folder}/log", TEXT)
     return sync
 
 
@@ -193,7 +195,7 @@ def log_unread(spark: SparkSession, sf: str) -> DataFrame:
     broken = F.when(number == 3, F.concat(F.lit('{"id":"'), "id")).when(number == 4, F.concat(F.lit('["'), "id", F.lit('"]'))).when(number == 5, F.concat(F.lit('{"type":"'), kind, F.lit('"}'))).otherwise(F.col("value"))
     path = f"{live.shared_dir(spark)}/log"
     write_lines(lines.select(broken.alias("value")), path)
-    return eventlog.unread(spark, path, ent.ENVELOPE).select("value", "why")
+    return eventlog.unread(spark, path, ent.ENVELOPE, TEXT).select("value", "why")
 
 
 @query("log_files", f"WITH {_LOG} SELECT count(*) AS events, count(DISTINCT device) AS files FROM (SELECT CAST(regexp_replace(tid.id, '[^0-9]', '', 'g') AS BIGINT) % 3 AS device FROM log)")
@@ -202,7 +204,7 @@ def log_files(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{live.shared_dir(spark)}/log"
     lines = log_lines(spark, sf).select("value", F.get_json_object("value", "$.deviceId").alias("device"))
     lines.repartition(3, "device").write.partitionBy("device").text(path)
-    stats = eventlog.file_stats(spark, path)
+    stats = eventlog.file_stats(spark, path, TEXT)
     return stats.agg(F.sum("events").alias("events"), F.count_distinct(F.regexp_extract("path", "device=([^/]*)", 1)).alias("files"))
 
 

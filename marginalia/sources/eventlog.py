@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 SCHEMA = "id string, type string, deviceId string, timestamp long, workspaceId string, sessionId string, conversationId string, data string"
 
 
-#: Logs that others append to, those that append_log adds, and lines written as text.
-GLOB = "*.{jsonl,json,txt}"
+#: Logs that others append to, and those that append_log adds.
+GLOB = "*.{jsonl,json}"
 
 
 def parse_lines(lines: DataFrame, schema: str = SCHEMA) -> DataFrame:
@@ -20,18 +20,18 @@ def parse_lines(lines: DataFrame, schema: str = SCHEMA) -> DataFrame:
     return lines.where(F.trim("value") != "").select(event.alias("e"), *more).where("e._bad is null and e.id is not null").select("e.*", *more).drop("_bad")
 
 
-def read_log(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
-    """Every event of the JSON lines files below path, with the ``file`` it came from. A missing folder is an error of Spark's, an empty one has no events."""
-    lines = spark.read.option("pathGlobFilter", GLOB).option("recursiveFileLookup", "true").text(path)
+def read_log(spark: SparkSession, path: str, schema: str = SCHEMA, glob: str = GLOB) -> DataFrame:
+    """Every event of the JSON lines files below path whose names match, with the ``file`` it came from. A missing folder is an error of Spark's, an empty one has no events."""
+    lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
     return parse_lines(lines.select("value", F.col("_metadata.file_path").alias("file")), schema)
 
 
-def unread(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
+def unread(spark: SparkSession, path: str, schema: str = SCHEMA, glob: str = GLOB) -> DataFrame:
     """(file, line, why, value) of the lines of a log that parse_lines skips; blank ones aside. The line is a number within its file, from 1.
 
     A file is read as one text, so that its lines can be counted; files must fit a task, as a log's do that is cut by size.
     """
-    files = spark.read.option("pathGlobFilter", GLOB).option("recursiveFileLookup", "true").text(path, wholetext=True)
+    files = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path, wholetext=True)
     lines = files.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "value"))
     event = F.from_json(F.trim("value"), f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     read = lines.where(F.trim("value") != "").select("file", (F.col("at") + 1).alias("line"), "value", event.alias("e"))
@@ -39,10 +39,10 @@ def unread(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
     return read.select("file", "line", why.alias("why"), "value").where("why is not null")
 
 
-def file_stats(spark: SparkSession, path: str) -> DataFrame:
+def file_stats(spark: SparkSession, path: str, glob: str = GLOB) -> DataFrame:
     """One row per log file: name, bytes, time of change and number of events."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", GLOB).load(path).select("path", "length", "modificationTime")
-    lines = spark.read.option("pathGlobFilter", GLOB).text(path).select("value", F.col("_metadata.file_path").alias("path")).where(F.trim("value") != "")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "length", "modificationTime")
+    lines = spark.read.option("pathGlobFilter", glob).text(path).select("value", F.col("_metadata.file_path").alias("path")).where(F.trim("value") != "")
     return files.join(lines.groupBy("path").agg(F.count(F.lit(1)).alias("events")), "path", "left").na.fill(0, ["events"])
 
 

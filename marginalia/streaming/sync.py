@@ -63,9 +63,9 @@ class Sync:
         self.applied.compact(version, lambda rows: rows)
         self.marks.compact(version, _totals)
 
-    def drain(self, log: str) -> None:
-        """Applies the files below log that no run before has read. Batches make odd versions, compacting after one makes the even one that follows."""
-        lines = self.spark.readStream.schema("value string").format("text").option("pathGlobFilter", eventlog.GLOB).option("recursiveFileLookup", "true").load(log)
+    def drain(self, log: str, glob: str = eventlog.GLOB) -> None:
+        """Applies the files below log whose names match and that no run before has read. Batches make odd versions, compacting after one makes the even one that follows."""
+        lines = self.spark.readStream.schema("value string").format("text").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(log)
         run = lines.writeStream.foreachBatch(self._batch).option("checkpointLocation", f"{self.path}/checkpoint").trigger(availableNow=True)
         run.start().awaitTermination()
 

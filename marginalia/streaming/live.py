@@ -34,8 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    """A stored table as a stream, be it one file or a folder of part files."""
+    path = f"{sf_dir}/{table}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +45,11 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str, schema: str, folder: str | None = None) -> DataFrame:
-    """Run a stream over all there is; its output with a column batch."""
+    """Run a stream over all there is; its output with a column batch. A stream without input has no rows."""
     spark = stream.sparkSession
     folder = folder or shared_dir(spark)
+    out = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    out.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(out)
 
     def keep(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")  # again after a failure: the same files anew

@@ -163,3 +163,13 @@ def test_sessions_are_bound_once_and_forgotten_when_idle(spark, tmp_path):
         1: (one, f"Session {one}", True, None, False), 2: (one, None, False, "a", False), 3: (one, None, False, "a", True), 4: ("s-20240101000004-4", "Default Session", True, "a", False), 5: ("s-20240101000004-5", "my plan", True, None, False),
         6: (nine, None, False, "k", True), 7: ("s-20240101000004-7", "s-123", True, None, False), 8: (one, None, False, "a", True), 9: (nine, None, False, "k", False), 10: (one, f"Session {one}", True, "b", False),
     }
+
+
+def test_streams_of_tables_in_several_files(spark, tmp_path):
+    from marginalia.plans.logs import stream_fragments
+
+    rows = spark.createDataFrame([(1, 0, "A"), (2, 1, "x"), (1, 1, "B")], "conv_id long, turn long, text string")
+    for n in (0, 1):  # a folder of part files, and an empty one
+        rows.limit(3 * n).repartition(2).write.parquet(f"{tmp_path}/{n}/conversations.parquet")
+    assert [tuple(r) for r in stream_fragments(spark, f"{tmp_path}/1").collect()] == [("1", "AB", 2)]
+    assert stream_fragments(spark, f"{tmp_path}/0").collect() == []

@@ -10,12 +10,12 @@ after that makes it again, so stores of sessions are asked first (``known``).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from marginalia.streaming.live import folded
 
 CALLS = "id long, ts timestamp, session string, workspace string"
 BOUND = "id long, session_id string, name string, created boolean, workspace string, refused boolean"
@@ -32,28 +32,24 @@ def bound(calls: DataFrame, known: DataFrame | None = None, idle_ms: int = IDLE_
     name = F.when(F.coalesce(F.trim("session"), F.lit("")) == "", "Default Session").otherwise(F.col("session"))
     made = calls.where(~standard).select("id", own_id.alias("session_id"), name.alias("name"), F.lit(True).alias("created"), "workspace", F.lit(False).alias("refused"))
 
-    def bind(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        exists, held = (True, state.get[0]) if state.exists else (False, None)
-        rows = pd.concat(frames).sort_values(["ts", "id"])
-        last, out = state.getCurrentWatermarkMs(), []
-        for row in rows.itertuples(index=False):
-            if not exists and row.there:
-                exists, held = True, row.held
+    def bind(session: str, new: list[tuple] | None, state: str | None, mark: int) -> tuple[list[tuple], str | None, int | None]:
+        if new is None:
+            return [], None, None
+        exists, (held, last), out = state is not None, json.loads(state) if state else (None, 0), []
+        for _, id_, workspace, us, there, known_held in sorted(new, key=lambda row: (row[3], row[1])):
+            if not exists and there:
+                exists, held = True, known_held
             created, exists = not exists, True
-            held = held if held is not None else row.workspace
-            out.append((row.id, key[0], f"Session {key[0]}" if created else None, created, held, row.workspace is not None and row.workspace != held))
-            last = max(last, int(row.ts.timestamp() * 1000))
-        state.update((held,))
-        state.setTimeoutTimestamp(last + idle_ms)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in BOUND.split(", ")]).astype({"workspace": object, "name": object})
+            held = held if held is not None else workspace
+            out.append((id_, session, f"Session {session}" if created else None, created, held, workspace is not None and workspace != held))
+            last = max(last, us // 1000)
+        last = max(last, mark)
+        return out, json.dumps([held, last]), last + idle_ms
 
     own = calls.where(standard)
     if known is None:
         own = own.withColumns({"there": F.lit(False), "held": F.lit(None).cast("string")})
     else:
         own = own.join(known.select(F.col("session_id").alias("session"), F.col("workspace").alias("held"), F.lit(True).alias("there")), "session", "left").withColumn("there", F.coalesce("there", F.lit(False)))
-    kept = own.groupBy("session").applyInPandasWithState(bind, BOUND, "workspace string", "append", GroupStateTimeout.EventTimeTimeout)
-    return made.unionByName(kept)
+    rows = own.select("session", "id", "workspace", F.coalesce(F.unix_micros("ts"), F.lit(0)).alias("us"), "there", "held", "ts")
+    return made.unionByName(folded(rows, "session", bind, BOUND))

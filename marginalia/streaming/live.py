@@ -7,11 +7,12 @@ checkpoint; results go to files in the folder that the cluster shares, one set f
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
@@ -128,6 +129,48 @@ def keyed_fold(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").agg(F.count(F.lit(1)).alias("items"), F.sum("value").alias("total"), F.max(F.unix_millis("ts")).alias("last_ms"))
 
 
+#: Buckets of keys whose state is kept together; fixed for as long as a stream has its checkpoint.
+KEYS = 4096
+
+
+def folded(rows: DataFrame, key: str, fold: Callable, schema: str, timed: bool = True, buckets: int = KEYS) -> DataFrame:
+    """A stream folded by key, with a text as state for each key that waits for more.
+
+    fold(key, new, held, mark) gets the new rows of a key as tuples of rows' columns but for timestamps, its state (None for a new key) and the watermark in milliseconds (0 if not
+    timed), and gives (tuples of schema, state or None, the time when the key is over or None). When that time has passed, it is called with new as None.
+    Spark's groups are buckets of keys: calling Python for every key takes milliseconds, so keys with a row or two would take longer than their rows. A bucket's state
+    is written anew with the keys that it still has when one of them has rows.
+    """
+    names, columns = rows.sparkSession.createDataFrame([], schema).columns, [c for c, kind in rows.dtypes if kind != "timestamp"]
+    at = columns.index(key)
+
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs() if timed else 0
+        held = {k: (text, due) for k, text, due in zip(*state.get, strict=True)} if state.exists else {}
+        came, out = {}, []
+        if not state.hasTimedOut:
+            for frame in frames:
+                for row in zip(*(frame[c].tolist() for c in columns), strict=True):
+                    came.setdefault(row[at], []).append(row)
+        over = [k for k, (_, due) in held.items() if timed and due <= mark and k not in came]
+        for k, new in [*came.items(), *((k, None) for k in over)]:
+            found, text, due = fold(k, new, held.pop(k, (None, 0))[0], mark)
+            out.extend(found)
+            if text is not None:
+                held[k] = (text, due or 0)
+        if held:
+            state.update((list(held), [x[0] for x in held.values()], [x[1] for x in held.values()]))
+            if timed:
+                state.setTimeoutTimestamp(min(x[1] for x in held.values()))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).groupBy("_bucket")
+    return dealt.applyInPandasWithState(step, schema, "keys array<string>, held array<string>, due array<bigint>", "append", GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout)
+
+
 def fragment_fold(fragments: DataFrame, expires_ms: int = 86_400_000) -> DataFrame:
     """(call, seq, part, last) to (call, text, fragments): the parts of each call joined in order once the last and all before it are there.
 
@@ -135,26 +178,16 @@ def fragment_fold(fragments: DataFrame, expires_ms: int = 86_400_000) -> DataFra
     had no fragment for ``expires_ms`` of event time, where fragments have a column ts: then its text is null and fragments the number of those that came.
     """
     timed = "ts" in fragments.columns
-    fragments = fragments.withWatermark("ts", WATERMARK) if timed else fragments
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        numbers, parts, end = state.get if state.exists else ([], [], -1)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"call": [key[0]], "text": [None], "fragments": [len(numbers)]})
-            return
-        held, at = dict(zip(numbers, parts, strict=True)), 0
-        for frame in frames:
-            at = max(at, int(frame["ts"].max().timestamp() * 1000)) if timed else 0
-            held.update(zip(frame["seq"].tolist(), frame["part"].tolist(), strict=True))
-            end = max(end, *frame.loc[frame["last"], "seq"].tolist(), -1)
-        if end >= 0 and len(held) == end + 1:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"call": [key[0]], "text": ["".join(held[k] or "" for k in sorted(held))], "fragments": [end + 1]})
-        else:
-            state.update(([int(k) for k in held], list(held.values()), int(end)))
-            if timed:
-                state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs()) + expires_ms)
-
-    return fragments.groupBy("call").applyInPandasWithState(fold, "call string, text string, fragments long", "numbers array<bigint>, parts array<string>, end bigint", "append", GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout)
+    rows = (fragments.withWatermark("ts", WATERMARK) if timed else fragments).withColumn("ms", F.unix_millis("ts") if timed else F.lit(0).cast("long"))
+
+    def fold(call: str, new: list[tuple] | None, held: str | None, mark: int) -> tuple[list[tuple], str | None, int | None]:
+        parts, end = json.loads(held) if held else ({}, -1)
+        if new is None:
+            return [(call, None, len(parts))], None, None
+        parts |= {str(seq): part for _, seq, part, *_ in new}
+        end = max([end, *(seq for _, seq, _, last, *_ in new if last)])
+        if end >= 0 and len(parts) == end + 1:
+            return [(call, "".join(parts[k] or "" for k in sorted(parts, key=int)), end + 1)], None, None
+        return [], json.dumps([parts, end]), max([mark, *(row[4] for row in new)]) + expires_ms
+
+    return folded(rows.select("call", "seq", "part", "last", "ms", *(["ts"] if timed else [])), "call", fold, "call string, text string, fragments long", timed)

@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+
+from marginalia.streaming.live import folded
 
 CHUNKS = "stream string, n long, ts timestamp, chunk string"
 ANSWER = "stream string, content string, reasoning string, calls array<struct<index: int, id: string, name: string, arguments: string>>, prompt_tokens long, completion_tokens long, ending string, events long, bad long"
@@ -92,22 +92,17 @@ def answer(stream: str, held: dict) -> dict:
 def answers(chunks: DataFrame, expires_ms: int = EXPIRES_MS, delay: str = DELAY) -> DataFrame:
     """A stream of CHUNKS to a stream of ANSWER: each answer once, when it is complete or has expired. A null chunk is an empty one."""
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else fresh()
-        if state.hasTimedOut:
-            state.remove()
-            if held["ending"] is None:
-                yield pd.DataFrame([answer(key[0], held)])
-            return
-        was, last = held["ending"], state.getCurrentWatermarkMs()
-        for frame in frames:
-            for n, ts, chunk in sorted(zip(frame["n"], frame["ts"], frame["chunk"], strict=True), key=lambda x: x[0]):
-                arrive(held, int(n), chunk or "")
-                last = max(last, int(ts.timestamp() * 1000))
+    def fold(stream: str, new: list[tuple] | None, state: str | None, mark: int) -> tuple[list[tuple], str | None, int | None]:
+        held = json.loads(state) if state else fresh()
+        if new is None:
+            return [] if held["ending"] else [tuple(answer(stream, held).values())], None, None
+        was, out = held["ending"], []
+        for _, n, chunk, _ in sorted(new, key=lambda row: row[1]):
+            arrive(held, n, chunk or "")
         if held["ending"] and not was:
-            yield pd.DataFrame([answer(key[0], held)])
+            out = [tuple(answer(stream, held).values())]
             held = fresh() | {"ending": held["ending"]}  # so that chunks which come again open nothing; it expires as others do
-        state.update((json.dumps(held),))
-        state.setTimeoutTimestamp(last + expires_ms)
+        return out, json.dumps(held), max([mark, *(row[3] for row in new)]) + expires_ms
 
-    return chunks.withWatermark("ts", delay).groupBy("stream").applyInPandasWithState(fold, ANSWER, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = chunks.withWatermark("ts", delay).select("stream", "n", "ts", "chunk", F.unix_millis("ts").alias("ms"))
+    return folded(rows, "stream", fold, ANSWER)

@@ -173,3 +173,17 @@ def test_streams_of_tables_in_several_files(spark, tmp_path):
         rows.limit(3 * n).repartition(2).write.parquet(f"{tmp_path}/{n}/conversations.parquet")
     assert [tuple(r) for r in stream_fragments(spark, f"{tmp_path}/1").collect()] == [("1", "AB", 2)]
     assert stream_fragments(spark, f"{tmp_path}/0").collect() == []
+
+
+def test_keys_of_a_bucket_are_folded_apart(spark, tmp_path):
+    """Keys that share a bucket, and with it a group of Spark's state, have states and times of their own."""
+    put = lambda name, rows: spark.createDataFrame(rows, "k string, n long, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+    seen = lambda k, new, held, mark: ([(k, held, -1)], None, None) if new is None else ([(k, held, len(new))], f"{held or ''}+{sum(n for _, n in new)}", 1704067200000 + new[-1][1] * 86_400_000)
+    stream = lambda: spark.readStream.schema("k string, n long, ts timestamp").parquet(f"{tmp_path}/in/*").withWatermark("ts", "1 second")
+    run = lambda: live.drained(live.folded(stream(), "k", seen, "k string, held string, n long", buckets=1), "append", "k string, held string, n long", f"file://{tmp_path}/run")
+    put("a", [("x", 1, "2024-01-01 00:00:00"), ("x", 1, "2024-01-01 00:00:00"), ("y", 9, "2024-01-01 00:00:00"), (None, 9, "2024-01-01 00:00:00")])
+    first = [(None, None, 1), ("x", None, 2), ("y", None, 1)]
+    by = lambda r: (str(r[0]), str(r[1]), r[2])
+    assert sorted((tuple(r)[:3] for r in run().collect()), key=by) == first
+    put("b", [("y", 9, "2024-01-03 00:00:00")])  # x's time is over, which the next watermark shows
+    assert sorted((tuple(r)[:3] for r in run().collect()), key=by) == sorted([*first, ("y", "+9", 1), ("x", "+2", -1)], key=by)

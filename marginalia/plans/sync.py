@@ -200,10 +200,10 @@ def log_unread(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("log_files", f"WITH {_LOG} SELECT count(*) AS events, count(DISTINCT device) AS files FROM (SELECT CAST(regexp_replace(tid.id, '[^0-9]', '', 'g') AS BIGINT) % 3 AS device FROM log)")
 def log_files(spark: SparkSession, sf: str) -> DataFrame:
-    """A log file a device, and the statistics of the files: their number and events."""
+    """A folder of log files a device, and the statistics of the files: the number of devices and of events."""
     path = f"{live.shared_dir(spark)}/log"
     lines = log_lines(spark, sf).select("value", F.get_json_object("value", "$.deviceId").alias("device"))
-    lines.repartition(3, "device").write.partitionBy("device").text(path)
+    lines.hint("rebalance", "device").write.partitionBy("device").text(path)  # a device's lines are cut to files, each a task's
     stats = eventlog.file_stats(spark, path, TEXT)
     return stats.agg(F.sum("events").alias("events"), F.count_distinct(F.regexp_extract("path", "device=([^/]*)", 1)).alias("files"))
 

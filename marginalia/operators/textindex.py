@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.functions.stem import stem, stem_words
+from marginalia.functions.stem import stem, stem_lists
 from marginalia.sources.buckets import Buckets
 
 TOKEN = r"[a-z0-9\x{80}-\x{10FFFF}]+"
@@ -24,6 +24,16 @@ PARTS = 8
 NEAR = 10
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """(id, _words) to (id, word, places): a row for each distinct word of a list, with its places from 0. Lists are sorted and cut where they stand; no word is shuffled to meet its like."""
+    sorted_ = F.sort_array(F.transform("_words", lambda word, place: F.struct(word.alias("word"), place.alias("place"))))
+    runs = rows.select("id", sorted_.alias("_by"))
+    starts = F.filter(F.transform("_by", lambda _, i: i), lambda i: (i == 0) | (F.get("_by", i)["word"] != F.get("_by", F.greatest(i - 1, F.lit(0)))["word"]))
+    cut = runs.select("id", "_by", starts.alias("_starts"))
+    each = F.transform("_starts", lambda start, k: F.struct(F.get("_by", start)["word"].alias("word"), F.slice("_by", start + 1, F.coalesce(F.get("_starts", k + 1), F.size("_by")) - start)["place"].alias("places")))
+    return cut.select("id", F.inline(each))
+
+
 def tokens(text: Column) -> Column:
     """The words of a text in order, repeated ones too."""
     low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -51,13 +61,11 @@ class TextIndex:
         if self.postings.versions():
             self.gone.add(dead.select("id", F.lit(version).alias("died")), version)
         if rows is not None:
-            placed = rows.select(F.col("id").cast("string").alias("id"), F.posexplode(tokens(F.col("text"))).alias("place", "word")).where("id is not null")
-            if self.stems:  # of distinct words, which are far fewer
-                stemmed = placed.select("word").distinct().select("word", stem_words("word").alias("stem"))
-                placed = placed.join(stemmed, "word").select("id", "place", F.col("stem").alias("word"))
+            own = rows.select(F.col("id").cast("string").alias("id"), tokens(F.col("text")).alias("_words")).where("id is not null")
+            if self.stems:
+                own = own.withColumn("_words", stem_lists("_words"))
             part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part")
-            found = placed.groupBy("word", "id").agg(F.sort_array(F.collect_list("place")).alias("places")).select("word", part, "id", "places", F.lit(version).alias("born"))
-            self.postings.add(found, version)
+            self.postings.add(placed(own).select("word", part, "id", "places", F.lit(version).alias("born")), version)
             segment = self.postings.read(upto=version).where(F.col("version") == version)
             self.words.add(segment.select(F.left("word", F.lit(1)).alias("head"), "word").distinct(), version)
         return version
@@ -70,6 +78,11 @@ class TextIndex:
         self.gone.compact(version, lambda rows: rows.groupBy("bucket", "id").agg(F.max("died").alias("died")))
         return version
 
+    def _live(self, rows: DataFrame) -> DataFrame:
+        """Live postings, one for each word and id: rows of one id in one update have a posting each."""
+        alive = self._alive(rows, self.gone.read().groupBy("id").agg(F.max("died").alias("died")))
+        return alive.groupBy("word", "id").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+
     @staticmethod
     def _alive(rows: DataFrame, last: DataFrame) -> DataFrame:
         return rows.join(last, "id", "left").where("died is null or died <= born").drop("died")
@@ -83,7 +96,7 @@ class TextIndex:
         wanted = sorted({self._term(w) for w in words})
         keys = self.spark.createDataFrame([(w, p) for w in wanted for p in range(PARTS)], "word string, part int")
         rows = self.postings.lookup(keys).where(F.col("word").isin(wanted))
-        return self._alive(rows, self.gone.read().groupBy("id").agg(F.max("died").alias("died"))).select("word", "id", "places")
+        return self._live(rows)
 
     def _by_id(self, words: Sequence[str]) -> tuple[DataFrame, list[str]]:
         """Ids that hold all of the words, with a column of places for each: one shuffle by id."""
@@ -125,7 +138,7 @@ class TextIndex:
         found = self.words.lookup(heads).where(F.col("word").startswith(low)).select("word").distinct()
         keys = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
         rows = self.postings.lookup(keys).where(F.col("word").startswith(low))
-        return self._alive(rows, self.gone.read().groupBy("id").agg(F.max("died").alias("died"))).select("word", "id", "places")
+        return self._live(rows)
 
 
 def _minus(k: int) -> Callable[[Column], Column]:

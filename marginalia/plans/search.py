@@ -222,4 +222,4 @@ def fts_stored(spark: SparkSession, sf: str) -> DataFrame:
 @query("fts_stemmed")
 def fts_stemmed(spark: SparkSession, sf: str) -> DataFrame:
     """All notes as full-text search with a stemming tokenizer has them, whatever their language: no SQL counterpart; the stemmer is tested against known stems."""
-    return index.stemmed(index.postings(notes(spark, sf), "doc_id", "content")).groupBy("word").agg(F.count(F.lit(1)).alias("documents"))
+    return index.stemmed(notes(spark, sf), "doc_id", "content").groupBy("word").agg(F.count(F.lit(1)).alias("documents"))

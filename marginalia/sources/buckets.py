@@ -73,9 +73,9 @@ class Buckets:
         return self.read(self.buckets_of(keys), upto)
 
     def add(self, rows: DataFrame, version: int) -> list[int]:
-        """Makes a version with some rows more, as a segment of the buckets that they fall into, which it returns. One shuffle, by bucket."""
+        """Makes a version with some rows more, as a segment of the buckets that they fall into, which it returns. One shuffle, by bucket; Spark cuts large buckets to several tasks, which write a file each."""
         before = self.manifest(version - 1)
-        return self._write(rows.withColumn("bucket", self.bucket()).repartition(self.buckets, "bucket"), version, before)
+        return self._write(rows.withColumn("bucket", self.bucket()).hint("rebalance", "bucket"), version, before)
 
     def wants_compacting(self) -> bool:
         return max(map(len, self.manifest().values()), default=0) > SEGMENTS

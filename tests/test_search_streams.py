@@ -187,3 +187,21 @@ def test_keys_of_a_bucket_are_folded_apart(spark, tmp_path):
     assert sorted((tuple(r)[:3] for r in run().collect()), key=by) == first
     put("b", [("y", 9, "2024-01-03 00:00:00")])  # x's time is over, which the next watermark shows
     assert sorted((tuple(r)[:3] for r in run().collect()), key=by) == sorted([*first, ("y", "+9", 1), ("x", "+2", -1)], key=by)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_words_of_a_text_are_placed_without_a_shuffle(spark):
+    from marginalia.operators.textindex import placed
+
+    rows = placed(spark.createDataFrame([("1", ["b", "a", "b"]), ("2", []), ("3", ["é"])], "id string, _words array<string>"))
+    assert exchanges(rows) == 0
+    assert sorted(map(tuple, rows.collect())) == [("1", "a", [1]), ("1", "b", [0, 2]), ("3", "é", [0])]
+
+
+def test_rows_of_one_id_have_one_posting(spark, tmp_path):
+    index = TextIndex(spark, f"file://{tmp_path}", buckets=2)
+    index.update(spark.createDataFrame([(1, "a b"), (1, "c a")], "id long, text string"))
+    assert [tuple(r) for r in index.held(["a"]).collect()] == [("a", "1", [0, 1])]

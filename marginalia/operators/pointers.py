@@ -1,12 +1,14 @@
 """Chains followed by pointer doubling: paths in trees of any depth, and files through their renames.
 
 Each round joins what every row has reached so far with what that one has reached, so a chain of n links takes log2(n) rounds, each one shuffled join and
-one written table (lineage is cut, and lost executors cost a task). A round in which no further chain came to its end is the last: what is
+one written table of the rows whose chains go on (lineage is cut, and lost executors cost a task). A round in which no further chain came to its end is the last: what is
 left then goes in circles.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,19 +27,23 @@ def chased(links: DataFrame, more: dict[str, Column]) -> DataFrame:
     """
     folder = shared_dir(links.sparkSession)
     others = [c for c in links.columns if c not in ("id", "next")]
-    rows, done, step = links.withColumn("last", F.col("id")), -1, 0
-    rows = _kept(rows, folder, "round=0")
-    while True:
-        ended = rows.where("next is null").count()
-        if ended == done or rows.where("next is not null").isEmpty():
-            return rows
-        done, step = ended, step + 1
-        a, b = rows.alias("a"), rows.alias("b")
+    start = _kept(links.withColumn("last", F.col("id")), folder, "round=0")
+    # Rows that came to their end are written once and only looked up from then on: with those that go on they'd all meet the null of next in one task.
+    done, rows, step = [start.where("next is null")], start.where("next is not null"), 0
+    while not rows.isEmpty():
+        step += 1
+        whole = reduce(DataFrame.unionByName, [*done, rows])
+        a, b = rows.alias("a"), whole.alias("b")
         taken = F.col("b.id").isNotNull()
         kept = [F.when(taken, more[c]).otherwise(F.col(f"a.{c}")).alias(c) if c in more else F.col(f"a.{c}").alias(c) for c in others]
         # A next that is no row ends the chain too.
         found = a.join(b, F.col("a.next") == F.col("b.id"), "left").select(F.col("a.id").alias("id"), F.col("b.next").alias("next"), *kept, F.coalesce("b.last", "a.last").alias("last"))
-        rows = _kept(found, folder, f"round={step}")
+        found = _kept(found, folder, f"round={step}")
+        ended, rows = found.where("next is null"), found.where("next is not null")
+        if ended.isEmpty():
+            break
+        done.append(ended)
+    return reduce(DataFrame.unionByName, [*done, rows])
 
 
 def tree_paths(nodes: DataFrame) -> DataFrame:

@@ -74,13 +74,23 @@ def link_resolve(spark: SparkSession, sf: str) -> DataFrame:
     return joins.resolve_links(own.select(F.col("path").alias("src"), target.alias("link")), own.select("path", "name"))
 
 
-@query("fuzzy_theta", "SELECT a, b, parts, suppliers FROM (SELECT lower(replace(p_brand, '#', '')) AS a, count(*) AS parts FROM part GROUP BY 1) JOIN (SELECT CASE WHEN s_nationkey % 5 = 0 THEN '' || s_nationkey ELSE 'brand' || s_nationkey END AS b, count(*) AS suppliers FROM supplier GROUP BY 1) ON contains(a, b) OR contains(b, a)")
+@query("fuzzy_theta", """WITH p AS (SELECT p_partkey, lower(replace(p_brand, '#', '')) AS a FROM part), s AS (SELECT s_suppkey, CASE WHEN s_nationkey % 5 = 0 THEN '' || s_nationkey ELSE 'brand' || s_nationkey END AS b FROM supplier),
+near AS (SELECT a, b, parts, suppliers FROM (SELECT a, count(*) AS parts FROM p GROUP BY a) JOIN (SELECT b, count(*) AS suppliers FROM s GROUP BY b) ON contains(a, b) OR contains(b, a))
+SELECT 'pair' AS kind, NULL::BIGINT AS id, a, b, parts * suppliers AS links FROM near
+UNION ALL SELECT 'part', p_partkey, p.a, NULL, coalesce(n, 0)::BIGINT FROM p LEFT JOIN (SELECT a, sum(suppliers) AS n FROM near GROUP BY a) t ON p.a = t.a
+UNION ALL SELECT 'supplier', s_suppkey, NULL, s.b, coalesce(n, 0)::BIGINT FROM s LEFT JOIN (SELECT b, sum(parts) AS n FROM near GROUP BY b) t ON s.b = t.b""")
 def fuzzy_theta(spark: SparkSession, sf: str) -> DataFrame:
-    """Names that hold one another, with how many parts and suppliers have them."""
-    parts = load(spark, sf, "part").groupBy(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("a")).agg(F.count(F.lit(1)).alias("parts"))
+    """Names that hold one another, and what parts and suppliers have them: a row for each pair of names, and for each part and each supplier with its name and number of links. Parts and suppliers of names that are a pair are linked, all with all."""
     nation = F.col("s_nationkey").cast("string")
-    suppliers = load(spark, sf, "supplier").groupBy(F.when(F.col("s_nationkey") % 5 == 0, nation).otherwise(F.concat(F.lit("brand"), nation)).alias("b")).agg(F.count(F.lit(1)).alias("suppliers"))
-    return joins.holding_one_another(parts.select("a"), suppliers.select("b")).join(parts, "a").join(suppliers, "b").select("a", "b", "parts", "suppliers")
+    parts = load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("a"))
+    suppliers = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_nationkey") % 5 == 0, nation).otherwise(F.concat(F.lit("brand"), nation)).alias("b"))
+    counted = lambda df, name, n: df.groupBy(name).agg(F.count(F.lit(1)).alias(n))
+    near = joins.holding_one_another(parts.select("a"), suppliers.select("b")).join(counted(parts, "a", "parts"), "a").join(counted(suppliers, "b", "suppliers"), "b")
+    linked = lambda df, name, n: df.join(near.groupBy(name).agg(F.sum(n).alias("links")), name, "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    own = linked(parts, "a", "suppliers").select(F.lit("part").alias("kind"), "id", "a", F.lit(None).cast("string").alias("b"), "links")
+    theirs = linked(suppliers, "b", "parts").select(F.lit("supplier").alias("kind"), "id", F.lit(None).cast("string").alias("a"), "b", "links")
+    pairs = near.select(F.lit("pair").alias("kind"), F.lit(None).cast("long").alias("id"), "a", "b", (F.col("parts") * F.col("suppliers")).alias("links"))
+    return pairs.unionByName(own).unionByName(theirs)
 
 
 @query("price_lookup", with_views(f"SELECT id, type AS model, provider, price_in FROM activity JOIN {PRICES_SQL} ON type = model"))

@@ -37,8 +37,8 @@ class Sync:
         events = eventlog.parse_lines(lines.select("value"), ent.ENVELOPE)
         if self.own is not None:
             events = events.where(~F.col("deviceId").eqNullSafe(F.lit(self.own)))
-        kept = [c for c in events.columns if c != "id"]
-        once = events.groupBy("id").agg(F.min_by(F.struct(*kept), F.struct("timestamp", "type", "data")).alias("e"), F.count(F.lit(1)).alias("sent")).select("id", "e.*", "sent")
+        first = ["timestamp", "type", "data"]  # what an event is ordered by comes first in the struct, so that it is shuffled once
+        once = events.groupBy("id").agg(F.min(F.struct(*first, *(c for c in events.columns if c not in ("id", *first)))).alias("e"), F.count(F.lit(1)).alias("sent")).select("id", "e.*", "sent")
         # Written, since it is read four times, and so that all three tables take the same events.
         path = f"{self.path}/batch/version={version}"
         once.write.mode("overwrite").parquet(path)

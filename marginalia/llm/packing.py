@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,14 @@ from marginalia.llm.tables import BATCH_BYTES, take_columns, tidy, utf8, written
 
 CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a task remembers before it starts anew.
+#: Words whose ids a task remembers, about: when half as many have come, those not met since the half before are forgotten.
 CACHE_WORDS = 200_000
 #: Words that are encoded at a time: the tokenizer's own notes take about a kilobyte a word while it runs.
 LEARN_WORDS = 5_000
 
 #: ASCII marks; not the apostrophe, which can stand within a word.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+MARK_BYTES = MARKS.encode()
 
 Segment = tuple[int, int, int, int, int, int]
 
@@ -169,17 +171,34 @@ class WordIds(dict):
     """Word: the bytes of its ids. White space ends every token of this vocabulary, so a text's ids are its words' ids.
 
     The vocabulary has small letters only, and marks after a letter or digit are tokens of their own: a word is first looked
-    for in small letters and without its last marks. What is left to encode is handed to the tokenizer a batch of texts at a time.
+    for in small letters and without its last marks. A word of plain letters is what the normaliser and the pre-tokenizer would
+    hand on as it is, so it goes to the tokenizer's model at once; what else is left is encoded a batch of texts at a time.
     """
 
     def __init__(self, path: str, most: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.older: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        small = [c for c in map(chr, range(0x80, 0x100)) if c.isalpha() and c == c.lower()]
+        self.letters = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in small}  # as the model has them
+
+    def plain(self, word: bytes) -> str | None:
+        """The model's form of a word of small Latin-1 letters alone, else None. Their normal form is their own, and the pre-tokenizer doesn't cut them."""
+        if word.isalpha():  # ASCII alone
+            return word.decode() if word.islower() else None
+        if max(word) > 0xC3:  # the first byte of a letter beyond Latin-1
+            return None
+        text = word.decode()
+        return text.translate(self.letters) if text.isalpha() and text == text.lower() else None
 
     @staticmethod
     def shorter(word: bytes) -> tuple[bytes, bytes]:
         """A simpler word and marks whose ids together are the word's; (word, b"") if there is none."""
+        letters = word.rstrip(MARK_BYTES)
+        if letters.isalpha() and len(word) - len(letters) < 2:  # ASCII, as most words are
+            return letters.lower(), word[len(letters) :]
         text = word.decode()
         if "<|" in text or "|>" in text:
             return word, b""
@@ -189,11 +208,34 @@ class WordIds(dict):
             return bare.encode(), text[len(bare) :].encode()
         return text.encode(), b""
 
+    def simple(self, word: bytes) -> bytes | None:
+        """The ids of a word that is remembered or plain, else None."""
+        ids = self.get(word)
+        if ids is None:
+            ids = self.older.get(word)
+            if ids is None:
+                letters = self.plain(word)
+                if letters is None:
+                    return None
+                found = [t.id for t in self.model.tokenize(letters)]
+                ids = pack_ids(f"<{len(found)}I", *found)
+            self[word] = ids
+        return ids
+
     def learn(self, words: set[bytes]) -> None:
-        if len(self) >= self.most:
+        if 2 * len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        new = {w: self.shorter(w) for w in words if w not in self}
-        bases = list({x for both in new.values() for x in both if x and x not in self})
+        later: dict[bytes, tuple[bytes, bytes]] = {}
+        for w in words:
+            if w not in self:
+                base, mark = (w, b"") if w in self.older else self.shorter(w)
+                ids, end = self.simple(base), self.simple(mark) if mark else b""
+                if ids is None or end is None:
+                    later[w] = base, mark
+                else:
+                    self[w] = ids + end
+        bases = list({x for both in later.values() for x in both if x and x not in self})
         for k in range(0, len(bases), LEARN_WORDS):
             part = bases[k : k + LEARN_WORDS]
             texts = [w.decode() for w in part]
@@ -203,11 +245,8 @@ class WordIds(dict):
             ids, ends = np.array(got.ids, "<u4"), np.searchsorted(first, starts)
             whole, at = ids.tobytes(), (4 * ends).tolist()
             self.update(zip(part, (whole[x:y] for x, y in zip(at, at[1:], strict=False)), strict=True))
-        for w, (base, mark) in new.items():
-            if mark:
-                self[w] = self[base] + self[mark]
-            elif w != base:
-                self[w] = self[base]
+        for w, (base, mark) in later.items():
+            self[w] = self[base] + (self[mark] if mark else b"")
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()

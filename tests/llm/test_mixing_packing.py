@@ -191,6 +191,58 @@ def test_words_give_the_ids_of_their_text(tokenizer, texts):
         assert ids == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+class Watched:
+    """A tokenizer that notes the texts which it encodes."""
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer, self.seen = tokenizer, []
+
+    def encode(self, text, **more):
+        self.seen += text.split()
+        return self.tokenizer.encode(text, **more)
+
+
+@pytest.fixture(scope="module")
+def word_ids():
+    import public_tokenizers
+
+    return packing.WordIds(public_tokenizers.path(packing.TOKENIZER))
+
+
+LETTERS = "".join(c for c in map(chr, range(0x41, 0x180)) if c.isalpha())
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(LETTERS + ".,-"), min_size=1, max_size=12), min_size=1, max_size=6))
+def test_words_of_letters_give_the_ids_of_their_text(tokenizer, word_ids, words):
+    word_ids.learn({w.encode() for w in words})
+    for w in words:
+        assert np.frombuffer(word_ids[w.encode()], "<u4").tolist() == tokenizer.encode(w, add_special_tokens=False).ids
+
+
+def test_plain_words_go_to_the_model_at_once(tokenizer):
+    import public_tokenizers
+
+    known = packing.WordIds(public_tokenizers.path(packing.TOKENIZER))
+    known.tokenizer = Watched(known.tokenizer)
+    words = ["plain", "Words,", "GR\u00dcSSE.", "gr\u00fc\u00dfe", "ni\u00f1os", "\u00e9t\u00e9!", "it's", "a1", "\u0142\u00f3d\u017a", "\u0435\u0449\u0451", "e\u0301t"]
+    known.learn({w.encode() for w in words})
+    assert set(known.tokenizer.seen) == {",", ".", "!", *words[6:]}
+    assert all(np.frombuffer(known[w.encode()], "<u4").tolist() == tokenizer.encode(w, add_special_tokens=False).ids for w in words)
+
+
+def test_words_that_keep_coming_are_not_forgotten(tokenizer):
+    import public_tokenizers
+
+    known = packing.WordIds(public_tokenizers.path(packing.TOKENIZER), 40)
+    known.tokenizer = Watched(known.tokenizer)
+    for k in range(30):
+        known.learn({b"it's", *(b"x%d" % i for i in range(10 * k, 10 * k + 10))})
+        assert len(known) + len(known.older) <= 40 + 2 * 11
+        assert np.frombuffer(known[b"it's"], "<u4").tolist() == tokenizer.encode("it's", add_special_tokens=False).ids
+    assert known.tokenizer.seen.count("it's") == 1 and len(known.tokenizer.seen) == 301
+
+
 def test_pieces_over_a_whole_table(spark, sf, tokenizer):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     extra = spark.createDataFrame([(900001, None, None, None, None), (900002, "", None, None, None), (900003, "word " * 9000, None, None, None)], DOCS)

@@ -16,7 +16,6 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -180,7 +179,8 @@ class WordIds(dict):
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.older: dict[bytes, bytes] = {}
-        self.model = self.tokenizer.model
+        self.tokens = self.tokenizer.model.tokenize
+        self.token_bytes = [x.tobytes() for x in np.arange(max(self.tokenizer.get_vocab().values()) + 1, dtype="<u4")]
         small = [c for c in map(chr, range(0x80, 0x100)) if c.isalpha() and c == c.lower()]
         self.letters = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in small}  # as the model has them
 
@@ -217,8 +217,7 @@ class WordIds(dict):
                 letters = self.plain(word)
                 if letters is None:
                     return None
-                found = [t.id for t in self.model.tokenize(letters)]
-                ids = pack_ids(f"<{len(found)}I", *found)
+                ids = b"".join([self.token_bytes[t.id] for t in self.tokens(letters)])
             self[word] = ids
         return ids
 
@@ -226,15 +225,19 @@ class WordIds(dict):
         if 2 * len(self) >= self.most:
             self.older = dict(self)
             self.clear()
-        later: dict[bytes, tuple[bytes, bytes]] = {}
+        older, later = self.older, {}
         for w in words:
-            if w not in self:
-                base, mark = (w, b"") if w in self.older else self.shorter(w)
-                ids, end = self.simple(base), self.simple(mark) if mark else b""
-                if ids is None or end is None:
-                    later[w] = base, mark
-                else:
-                    self[w] = ids + end
+            if w in self:
+                continue
+            if w in older:
+                self[w] = older[w]
+                continue
+            base, mark = self.shorter(w)
+            ids, end = self.simple(base), self.simple(mark) if mark else b""
+            if ids is None or end is None:
+                later[w] = base, mark
+            elif base != w:
+                self[w] = ids + end
         bases = list({x for both in later.values() for x in both if x and x not in self})
         for k in range(0, len(bases), LEARN_WORDS):
             part = bases[k : k + LEARN_WORDS]

@@ -37,7 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
 def table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A stored table as a stream, be it one file or a folder of part files."""
     path = f"{sf_dir}/{table}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    one = any(s.isFile() for s in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or ())
+    # A stream takes its path as the base of partition columns, which must be a folder, but not if it is a pattern.
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/[{table[0]}]{table[1:]}.parquet" if one else path)
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,3 +205,33 @@ def test_rows_of_one_id_have_one_posting(spark, tmp_path):
     index = TextIndex(spark, f"file://{tmp_path}", buckets=2)
     index.update(spark.createDataFrame([(1, "a b"), (1, "c a")], "id long, text string"))
     assert [tuple(r) for r in index.held(["a"]).collect()] == [("a", "1", [0, 1])]
+
+
+def one_file(spark, path, sql, table="events"):
+    """The table of rows that the SQL makes, as a single file."""
+    spark.sql(sql).coalesce(1).write.parquet(f"{path}/made")
+    (part,) = path.glob("made/part-*.parquet")
+    part.rename(path / f"{table}.parquet")
+    return str(path)
+
+
+EVENTS = "select id as event_id, cast(at as timestamp_ntz) as ts, user as user_id, type as event_type, value, '{}' as props from values %s as t(id, at, user, type, value)"
+
+
+def test_streams_of_tables_in_one_file_or_folders(spark, tmp_path):
+    """The same rows from one file, part files and folders of a column, and from nothing beside them."""
+    rows = EVENTS % "(1, '2024-01-01', 7, 'view', 1.5D), (2, null, null, 'a b', null)"
+    one = one_file(spark, tmp_path / "one", rows)
+    spark.sql(rows).repartition(2).write.parquet(f"{tmp_path}/parts/events.parquet")
+    spark.sql(rows).write.partitionBy("event_type").parquet(f"{tmp_path}/columns/events.parquet")
+    spark.sql(rows).write.parquet(f"{one}/sub/events.parquet")
+    for folder in (one, f"{one}/", f"file://{one}", f"{tmp_path}/parts", f"{tmp_path}/columns", f"{tmp_path}/o*e"):
+        got = live.drained(live.event_stream(spark, folder).select("event_id", "user_id", "event_type", "value"), "append", "event_id int, user_id int, event_type string, value double").drop("batch")
+        assert sorted(map(tuple, got.collect())) == [(1, 7, "view", 1.5), (2, None, "a b", None)]
+
+
+def test_events_of_one_file_are_taken_once(spark, tmp_path):
+    from marginalia.plans.logs import stream_dedup
+
+    path = one_file(spark, tmp_path, EVENTS % "(1L, '2024-01-01', 7L, 'view', 1.5D), (2L, '2024-01-09', 7L, null, 1D), (3L, null, null, 'view', null)")
+    assert sorted(map(tuple, stream_dedup(spark, path).collect())) == [(1, "view"), (2, None), (3, "view")]

@@ -235,3 +235,10 @@ def test_events_of_one_file_are_taken_once(spark, tmp_path):
 
     path = one_file(spark, tmp_path, EVENTS % "(1L, '2024-01-01', 7L, 'view', 1.5D), (2L, '2024-01-09', 7L, null, 1D), (3L, null, null, 'view', null)")
     assert sorted(map(tuple, stream_dedup(spark, path).collect())) == [(1, "view"), (2, None), (3, "view")]
+
+
+def test_users_of_one_file_are_folded(spark, tmp_path):
+    from marginalia.plans.logs import stream_keyed_fold
+
+    path = one_file(spark, tmp_path, EVENTS % "(1L, '2024-01-01', 7L, 'view', 1.5D), (2L, '2024-01-09', 7L, 'view', 1D), (3L, null, null, 'view', null)")
+    assert sorted(map(tuple, stream_keyed_fold(spark, path).collect()), key=str) == [(7, 2, 2.5, 1704758400000), (None, 1, None, None)]

@@ -108,7 +108,7 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     run()
     last = load(spark, sf, "events").agg((F.max("ts") + F.expr("interval 2 days")).cast("timestamp").alias("ts"))
     last.where("ts is not null").select(F.lit(None).cast("long").alias("user_id"), "ts").write.mode("append").parquet(f"{folder}/ticks")
-    return run().where("user_id is not null").select("user_id", "begun", "items")
+    return run().select("user_id", "begun", "items")  # the tick's own session stays open
 
 
 @query("stream_late", "WITH m AS (SELECT max(epoch_us(ts)) // 1000 * 1000 - 86400000000 AS mark FROM events WHERE event_id % 2 = 0) SELECT event_id % 2 AS run, count(*) AS came, CAST(sum(CASE WHEN event_id % 2 = 1 AND epoch_us(ts) <= mark THEN 1 ELSE 0 END) AS BIGINT) AS dropped FROM events, m GROUP BY 1")

@@ -123,8 +123,12 @@ def tumbling_counts(stream: DataFrame, width: str = "1 day") -> DataFrame:
 
 
 def session_counts(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    counted = stream.withWatermark("ts", WATERMARK).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("items"))
-    return counted.select("user_id", F.unix_millis("session_window.start").alias("begun"), "items")
+    """(user_id, begun, items): a user's events, parted where the user is silent for the gap or longer; an event without a time is a session of its own."""
+    # Spark's sessions also hold events that are exactly the gap apart, so theirs is the shortest time less.
+    window = F.session_window("ts", f"{gap} -1 microsecond")
+    counted = stream.withWatermark("ts", WATERMARK).groupBy(window, "user_id").agg(F.count(F.lit(1)).alias("items"))
+    untimed = stream.where("ts is null").select("user_id", F.lit(None).cast("long").alias("begun"), F.lit(1).cast("long").alias("items"))
+    return counted.select("user_id", F.unix_millis("session_window.start").alias("begun"), "items").unionByName(untimed)
 
 
 def keyed_fold(stream: DataFrame) -> DataFrame:

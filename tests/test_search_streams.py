@@ -242,3 +242,12 @@ def test_users_of_one_file_are_folded(spark, tmp_path):
 
     path = one_file(spark, tmp_path, EVENTS % "(1L, '2024-01-01', 7L, 'view', 1.5D), (2L, '2024-01-09', 7L, 'view', 1D), (3L, null, null, 'view', null)")
     assert sorted(map(tuple, stream_keyed_fold(spark, path).collect()), key=str) == [(7, 2, 2.5, 1704758400000), (None, 1, None, None)]
+
+
+def test_sessions_of_one_file_part_at_the_gap(spark, tmp_path):
+    """Silence of half an hour parts, a microsecond less does not; events without a user or a time have sessions too."""
+    from marginalia.plans.logs import stream_sessions
+
+    rows = "(1L, '2024-01-01 00:00:00', 7L, 'x', 1D), (2L, '2024-01-01 00:29:59.999999', 7L, 'x', 1D), (3L, '2024-01-01 00:59:59.999999', 7L, 'x', 1D), (4L, '2024-01-01 00:10:00', 8L, 'x', 1D), (5L, '2024-01-09 00:00:00', null, 'x', 1D), (6L, '2024-01-09 00:01:00', null, 'x', 1D), (7L, null, 8L, 'x', 1D), (8L, null, 8L, 'x', 1D)"
+    got = stream_sessions(spark, one_file(spark, tmp_path, EVENTS % rows)).collect()
+    assert sorted(map(tuple, got), key=str) == [(7, 1704067200000, 2), (7, 1704070799999, 1), (8, 1704067800000, 1), (8, None, 1), (8, None, 1), (None, 1704758400000, 2)]

@@ -88,7 +88,8 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query("stream_tumbling", "SELECT epoch_ms(date_trunc('day', ts)) AS begins, event_type, count(*) AS items, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     updates = live.drained(live.tumbling_counts(live.event_stream(spark, sf)), "update", "begins long, event_type string, items long, total double")
-    return live.newest(updates, ["begins", "event_type"]).withColumn("total", F.round("total", 4))
+    untimed = updates.where("begins is null").groupBy("begins", "event_type").agg(F.sum("items").alias("items"), F.sum("total").alias("total"))
+    return live.newest(updates.where("begins is not null"), ["begins", "event_type"]).unionByName(untimed).withColumn("total", F.round("total", 4))
 
 
 @query("stream_keyed_fold", "SELECT user_id, count(*) AS items, round(sum(value), 4) AS total, max(epoch_us(ts) // 1000) AS last_ms FROM events GROUP BY user_id")

@@ -118,8 +118,10 @@ def deduplicated(stream: DataFrame, key: str) -> DataFrame:
 
 
 def tumbling_counts(stream: DataFrame, width: str = "1 day") -> DataFrame:
+    """(begins, event_type, items, total), as updates of each window; events without a time, which are in no window, come as rows of their own, to be summed."""
     counted = stream.withWatermark("ts", WATERMARK).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("items"), F.sum("value").alias("total"))
-    return counted.select(F.unix_millis("window.start").alias("begins"), "event_type", "items", "total")
+    untimed = stream.where("ts is null").select(F.lit(None).cast("long").alias("begins"), "event_type", F.lit(1).cast("long").alias("items"), F.col("value").alias("total"))
+    return counted.select(F.unix_millis("window.start").alias("begins"), "event_type", "items", "total").unionByName(untimed)
 
 
 def session_counts(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:

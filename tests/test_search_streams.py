@@ -251,3 +251,11 @@ def test_sessions_of_one_file_part_at_the_gap(spark, tmp_path):
     rows = "(1L, '2024-01-01 00:00:00', 7L, 'x', 1D), (2L, '2024-01-01 00:29:59.999999', 7L, 'x', 1D), (3L, '2024-01-01 00:59:59.999999', 7L, 'x', 1D), (4L, '2024-01-01 00:10:00', 8L, 'x', 1D), (5L, '2024-01-09 00:00:00', null, 'x', 1D), (6L, '2024-01-09 00:01:00', null, 'x', 1D), (7L, null, 8L, 'x', 1D), (8L, null, 8L, 'x', 1D)"
     got = stream_sessions(spark, one_file(spark, tmp_path, EVENTS % rows)).collect()
     assert sorted(map(tuple, got), key=str) == [(7, 1704067200000, 2), (7, 1704070799999, 1), (8, 1704067800000, 1), (8, None, 1), (8, None, 1), (None, 1704758400000, 2)]
+
+
+def test_windows_of_one_file_and_events_without_a_time(spark, tmp_path):
+    from marginalia.plans.logs import stream_tumbling
+
+    rows = "(1L, '2024-01-01 00:00:00', 7L, 'x', 1D), (2L, '2024-01-01 23:59:59.999999', 7L, 'x', 2D), (3L, '2024-01-02 00:00:00', 7L, 'x', null), (4L, null, 8L, 'x', 1D), (5L, null, 8L, 'x', 1.5D), (6L, null, 8L, null, null)"
+    got = stream_tumbling(spark, one_file(spark, tmp_path, EVENTS % rows)).collect()
+    assert sorted(map(tuple, got), key=str) == [(1704067200000, "x", 2, 3.0), (1704153600000, "x", 1, None), (None, "x", 2, 2.5), (None, None, 1, None)]
